@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselar.llm import p08_tokens
+from tesselar.llm import p03_split, p08_tokens, p09_leaks
 from tesselar.session import table
 
 
@@ -14,8 +14,24 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p08_tokens.encode_texts(table(spark, sf_dir, "documents"))
 
 
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p03_split.split_oversized(table(spark, sf_dir, "chunks"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_pieces(spark, sf_dir).select("chunk_id").distinct()
+
+
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p09_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p8_ids": p8_ids}
+    return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
