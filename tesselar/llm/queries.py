@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselar.llm import p03_split, p08_tokens, p09_leaks
+from tesselar.llm import p02_near, p03_split, p08_tokens, p09_leaks
 from tesselar.session import table
 
 
@@ -14,6 +14,10 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p08_tokens.encode_texts(table(spark, sf_dir, "documents"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p02_near.expand(p02_near.near_pairs(table(spark, sf_dir, "chunks")))
+
+
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p03_split.split_oversized(table(spark, sf_dir, "chunks"))
 
