@@ -2,7 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once per application, through the driver's file server."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    here = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="tesselar-")) / "tesselar.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(here.rglob("*.py")):
+            out.write(source, Path(here.name) / source.relative_to(here))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(app)
 
 
 def local_session(cores: int | str = 8, app: str = "tesselar", **extra: str) -> SparkSession:
@@ -25,6 +45,7 @@ def local_session(cores: int | str = 8, app: str = "tesselar", **extra: str) ->
     return spark
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
