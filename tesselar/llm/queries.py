@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselar.llm import p02_near, p03_split, p08_tokens, p09_leaks
+from tesselar.llm import p02_near, p03_split, p04_similar, p08_tokens, p09_leaks
 from tesselar.session import table
 
 
+def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p04_similar.most_similar(table(spark, sf_dir, "embedded_chunks"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p04_similar.close_pairs(p04_similar.most_similar(table(spark, sf_dir, "embedded_chunks"), min_cosine=0.9), 0.9)
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p08_tokens.encode_texts(table(spark, sf_dir, "documents"))
 
