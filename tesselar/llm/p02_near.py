@@ -1,15 +1,15 @@
 """Problem 2: near-duplicate texts by b-bit MinHash.
 
 Each text becomes the set of its shingles (runs of ``width`` words). Of 64
-minima, 48 in bands of three make the candidate buckets; of each of the 64 one
-bit is kept, and the 64 bits packed in one number. Two texts in a bucket are
-compared by counting differing bits; since unequal minima agree in a bit half of
-the time, a share m of equal bits estimates a similarity of 2m - 1. Pairs whose
-estimate is within ``margin`` of the threshold or above it go on to an exact
-comparison of their shingle sets.
-
-Texts with equal shingle sets are one node from the start, so copies, however
-many, cost one row each and no pairs. Buckets are compared inside a join whose
+minima, 48 in bands of three make the candidate buckets; of each of the 64 two
+bits are kept, packed in two numbers. Two texts in a bucket are compared by
+counting the places in which either bit differs; since unequal minima agree in
+both bits a quarter of the time, a share m of equal places estimates a
+similarity of (m - 1/4) / (3/4). Pairs whose estimate is not clearly below the
+threshold go on to an exact comparison of their shingle sets.
+
+Texts with equal shingle sets are one node from the start. A task sends a node's
+bands once, so copies, however many, cost a row each and no pairs. Buckets are compared inside a join whose
 condition is the bit count: nothing that fails it leaves the join, and adaptive
 execution splits a bucket that is hot. Nothing is capped.
 
@@ -81,26 +81,27 @@ class Shingler:
 
 
 def sketch(texts: list[str], shingler: Shingler, min_words: int):
-    """(kept rows, node, packed bits, bands): arrays over the texts of at least ``min_words`` words."""
+    """(kept rows, node, low bits, high bits, bands): arrays over the texts of at least ``min_words`` words."""
     hashes, starts, sizes = shingler.sets(texts)
     counts = np.diff(np.append(starts, len(hashes)))
     kept = np.flatnonzero((counts > 0) & (sizes >= min_words))
     if not len(kept):
-        return kept, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BANDS), np.int64)
+        return kept, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BANDS), np.int64)
     take = np.repeat(sizes >= min_words, counts)
     hashes = hashes[take]
     counts = counts[kept]
     starts = np.cumsum(counts) - counts
     with np.errstate(over="ignore"):
         node = _scramble(np.add.reduceat(_scramble(hashes), starts) + _scramble(counts.astype(np.uint64)))
-        packed = np.zeros(len(kept), np.uint64)
+        low, high = np.zeros(len(kept), np.uint64), np.zeros(len(kept), np.uint64)
         bands = np.zeros((len(kept), BANDS), np.uint64)
         for i in range(BITS):
             least = np.minimum.reduceat(hashes * FACTORS[i] + SHIFTS[i], starts)
-            packed |= ((least >> np.uint64(17)) & np.uint64(1)) << np.uint64(i)
+            low |= ((least >> np.uint64(17)) & np.uint64(1)) << np.uint64(i)
+            high |= ((least >> np.uint64(18)) & np.uint64(1)) << np.uint64(i)
             if i < BANDS * ROWS:
                 bands[:, i // ROWS] = _scramble(bands[:, i // ROWS] * MIX + least + np.uint64(i))
-    return kept, node.view(np.int64), packed.view(np.int64), bands.view(np.int64)
+    return kept, node.view(np.int64), low.view(np.int64), high.view(np.int64), bands.view(np.int64)
 
 
 @dataclass
@@ -111,54 +112,69 @@ class NearPairs:
     links: DataFrame
 
 
-def near_pairs(rows: DataFrame, threshold: float = 0.6, width: int = 3, min_words: int = 30, key: str = "chunk_id", text: str = "text", margin: float = 0.35) -> NearPairs:
+def near_pairs(rows: DataFrame, threshold: float = 0.6, width: int = 3, min_words: int = 30, key: str = "chunk_id", text: str = "text", deviations: float = 3.3) -> NearPairs:
+    """``deviations``: by how many standard deviations the estimate may fall short of the threshold."""
     kind = rows.schema[key].dataType.simpleString()
-    names = [f"b{i}" for i in range(BANDS)]
 
     def sketches(batches):
         shingler = Shingler(width)
+        sent: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):  # a block's hashes stay in the cache
                 part = batch.slice(at, 512)
-                kept, node, packed, bands = sketch(part.column(1).to_pylist(), shingler, min_words)
-                columns = [part.column(0).take(pa.array(kept)), pa.array(node), pa.array(packed), *(pa.array(np.ascontiguousarray(bands[:, i])) for i in range(BANDS))]
-                yield pa.RecordBatch.from_arrays(columns, [key, "node", "bits", *names])
+                kept, node, low, high, bands = sketch(part.column(1).to_pylist(), shingler, min_words)
+                first = np.zeros(len(node), bool)
+                for i, n in enumerate(node.tolist()):
+                    if n not in sent:
+                        first[i] = True
+                        sent.add(n)
+                if len(sent) > 500_000:
+                    sent.clear()
+                ends = np.append(0, np.cumsum(first * BANDS)).astype("i4")
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(bands[first]).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept)), pa.array(node), pa.array(low), pa.array(high), lists], [key, "node", "low", "high", "buckets"])
 
     source = rows.select(key, text).where(F.col(text).isNotNull() & F.col(key).isNotNull())
-    sketched = written(source.mapInArrow(sketches, f"`{key}` {kind}, node bigint, bits bigint, " + ", ".join(f"{n} bigint" for n in names)), "sketch")
+    sketched = written(source.mapInArrow(sketches, f"`{key}` {kind}, node bigint, low bigint, high bigint, buckets array<bigint>"), "sketch")
     members = sketched.select(key, "node").distinct()
-    nodes = sketched.groupBy("node").agg(F.first("bits").alias("bits"), *(F.first(n).alias(n) for n in names))
-    banded = nodes.select("node", "bits", F.explode(F.array(*names)).alias("bucket"))
+    banded = sketched.select("node", "low", "high", F.explode("buckets").alias("bucket"))
     a, b = banded.alias("a"), banded.alias("b")
-    most = int(BITS * (1 - (1 + threshold - margin) / 2))
-    close = (F.col("a.node") < F.col("b.node")) & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= most)
-    pairs = written(a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & close).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "pairs")
+    unequal = 0.75 * (1 - threshold)
+    most = int(BITS * unequal + deviations * (BITS * unequal * (1 - unequal)) ** 0.5)
+    differing = F.bit_count(F.col("a.low").bitwiseXOR(F.col("b.low")).bitwiseOR(F.col("a.high").bitwiseXOR(F.col("b.high"))))
+    close = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & (differing <= most)
+    pairs = written(a.join(b, close).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "pairs")
+
+    @F.pandas_udf("binary")
+    def shingles(texts):
+        import pandas as pd
 
-    def shingled(batches):
-        shingler = Shingler(width)
-        for batch in batches:
-            hashes, starts, _ = shingler.sets(batch.column(2).to_pylist())
-            short = np.ascontiguousarray((hashes >> np.uint64(32)).astype("<u4"))
-            raw, ends = short.tobytes(), np.append(starts, len(hashes)) * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([raw[s:e] for s, e in zip(ends, ends[1:])], pa.binary())], ["a", "b", "shingles"])
+        hashes, starts, _ = Shingler(width).sets(texts.tolist())
+        raw = np.ascontiguousarray((hashes >> np.uint64(32)).astype("<u4")).tobytes()
+        ends = np.append(starts, len(hashes)) * 4
+        return pd.Series([raw[s:e] for s, e in zip(ends, ends[1:])])
 
     @F.pandas_udf("double")
-    def jaccard(x, y):
+    def jaccard(shingled, texts):
         import pandas as pd
 
+        hashes, starts, _ = Shingler(width).sets(texts.tolist())
+        short, ends = (hashes >> np.uint64(32)).astype("<u4"), np.append(starts, len(hashes))
         out = []
-        for p, q in zip(x, y):
-            p, q = np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")
-            common = len(np.intersect1d(p, q))
-            union = len(np.unique(p)) + len(np.unique(q)) - common
-            out.append(common / union if union else 0.0)
+        for raw, s, e in zip(shingled, ends, ends[1:]):
+            other = np.frombuffer(raw, "<u4")
+            common = len(np.intersect1d(other, short[s:e], assume_unique=True))
+            out.append(common / max(1, len(other) + (e - s) - common))
         return pd.Series(out, dtype="float64")
 
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
-    one = sketched.groupBy("node").agg(F.min(key).alias(key))  # any text of a node has the node's set
-    sides = ends.join(one, "node").join(source, key).select("a", "b", text).mapInArrow(shingled, "a bigint, b bigint, shingles binary")
-    both = sides.groupBy("a", "b").agg(F.min("shingles").alias("x"), F.max("shingles").alias("y"))
-    links = both.select("a", "b", jaccard("x", "y").alias("similarity")).where(F.col("similarity") >= threshold)
+    # any text of a node has the node's shingle set
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    one = sketched.groupBy("node").agg(F.min(key).alias(key)).join(wanted, "node", "left_semi")
+    keyed = pairs.join(one.select(F.col("node").alias("a"), F.col(key).alias("ka")), "a").join(one.select(F.col("node").alias("b"), F.col(key).alias("kb")), "b")
+    texts = source.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    half = keyed.join(texts, F.col("ka") == F.col("k")).select("a", "b", "kb", shingles("t").alias("s"))
+    links = half.join(texts, F.col("kb") == F.col("k")).select("a", "b", jaccard("s", "t").alias("similarity"))
+    links = links.where(F.col("similarity") >= threshold).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     return NearPairs(members, links)
 
 
