@@ -1,7 +1,7 @@
 """Problem 2: near-duplicate texts by b-bit MinHash.
 
 Each text becomes the set of its shingles (runs of ``width`` words). Of 64
-minima, 48 in bands of three make the candidate buckets; of each of the 64 two
+minima, 60 in bands of three make the candidate buckets; of each of the 64 two
 bits are kept, packed in two numbers. Two texts in a bucket are compared by
 counting the places in which either bit differs; since unequal minima agree in
 both bits a quarter of the time, a share m of equal places estimates a
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tesselar.llm.words import Memo, words
 from tesselar.storage import written
 
-BANDS, ROWS, BITS = 16, 3, 64
+BANDS, ROWS, BITS = 20, 3, 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

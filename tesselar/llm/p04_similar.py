@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 #: Vectors in the sample that the centroids are fitted on, at most; and per centroid, at least.
 SAMPLE, PER_CENTROID = 16_384, 64
 #: Vectors per first symbol aimed at; over HOT of them the range is parted by further symbols before the shuffle.
-RANGE, HOT = 5_000, 60_000
+RANGE, HOT = 7_000, 60_000
 PLANES = 48
 SCALE = 32767.0
 

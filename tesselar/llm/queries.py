@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tesselar.llm import p02_near, p03_split, p04_similar, p08_tokens, p09_leaks
+from tesselar.llm import p01_language, p02_near, p03_split, p04_similar, p07_garbled, p08_tokens, p09_leaks
 from tesselar.session import table
 
 
@@ -18,10 +19,28 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p04_similar.close_pairs(p04_similar.most_similar(table(spark, sf_dir, "embedded_chunks"), min_cosine=0.9), 0.9)
 
 
+def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = [table(spark, sf_dir, t).select("doc_id", "text", F.lit(t).alias("source_table")) for t in ("raw_documents", "cleaned_documents")]
+    both = texts[0].unionByName(texts[1])
+    return p07_garbled.affected(both, p07_garbled.word_counts(both))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_restored(spark, sf_dir).select("doc_id").distinct()
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p08_tokens.encode_texts(table(spark, sf_dir, "documents"))
 
 
+def p1_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p01_language.document_languages(table(spark, sf_dir, "cleaned_documents"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p01_language.unclaimed(table(spark, sf_dir, "cleaned_documents"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p02_near.expand(p02_near.near_pairs(table(spark, sf_dir, "chunks")))
 
