@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm import p01_language, p02_near, p03_split, p04_similar, p07_garbled, p08_tokens, p09_leaks
+from tesselar.llm import p01_language, p02_near, p03_split, p04_similar, p07_garbled, p08_tokens, p09_leaks, p10_quality
 from tesselar.session import table
 
 
@@ -61,6 +61,14 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_quality.document_statistics(table(spark, sf_dir, "documents"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_quality.not_prose(table(spark, sf_dir, "documents"), table(spark, sf_dir, "quality_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
 
