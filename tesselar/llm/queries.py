@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm import p01_language, p02_near, p03_split, p04_similar, p07_garbled, p08_tokens, p09_leaks, p10_quality
+from tesselar.llm import p01_language, p02_near, p03_split, p04_similar, p05_markup, p07_garbled, p08_tokens, p09_leaks, p10_quality
 from tesselar.session import table
 
 
@@ -19,6 +19,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p04_similar.close_pairs(p04_similar.most_similar(table(spark, sf_dir, "embedded_chunks"), min_cosine=0.9), 0.9)
 
 
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p05_markup.clean_markup(table(spark, sf_dir, "raw_documents"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p05_markup.markup_found(p5_clean(spark, sf_dir))
+
+
 def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = [table(spark, sf_dir, t).select("doc_id", "text", F.lit(t).alias("source_table")) for t in ("raw_documents", "cleaned_documents")]
     both = texts[0].unionByName(texts[1])
