@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm import p01_language, p02_near, p03_split, p04_similar, p05_markup, p07_garbled, p08_tokens, p09_leaks, p10_quality
+from tesselar.llm import p01_language, p02_near, p03_split, p04_similar, p05_markup, p06_names, p07_garbled, p08_tokens, p09_leaks, p10_quality
 from tesselar.session import table
 
 
@@ -27,6 +27,19 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p05_markup.markup_found(p5_clean(spark, sf_dir))
 
 
+def p6_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every spelling of people and organisations in entities and pre_entities."""
+    entities, found = table(spark, sf_dir, "entities"), table(spark, sf_dir, "pre_entities")
+    people, bodies = p06_names.PERSON, p06_names.ORGANISATION
+    mentioned = found.where(F.col("type").isin(people + bodies) & F.col("name").isNotNull() & (F.trim("name") != ""))
+    rows = p06_names.spellings(entities).select("is_person", "spelling").unionByName(mentioned.select(F.col("type").isin(people).alias("is_person"), F.col("name").alias("spelling"))).distinct()
+    return p06_names.linked_names(rows, None)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p06_names.same_bearer(table(spark, sf_dir, "entities"))
+
+
 def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = [table(spark, sf_dir, t).select("doc_id", "text", F.lit(t).alias("source_table")) for t in ("raw_documents", "cleaned_documents")]
     both = texts[0].unionByName(texts[1])
