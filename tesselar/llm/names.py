@@ -10,8 +10,8 @@ from typing import NamedTuple
 NICKNAMES = {
     "abby": "abigail", "al": "albert", "alex": "alexandra", "andy": "andrew", "art": "arthur", "bea": "beatrice", "becky": "rebecca", "ben": "benjamin", "bert": "albert", "beth": "elizabeth",
     "betty": "elizabeth", "bill": "william", "bob": "robert", "cathy": "catherine", "charlie": "charles", "chris": "christopher", "chuck": "charles", "cindy": "cynthia", "dan": "daniel", "danny": "daniel",
-    "dave": "david", "deb": "deborah", "debbie": "deborah", "dick": "richard", "don": "donald", "ed": "edward", "eddie": "edward", "fran": "frances", "frank": "francis", "fred": "frederick", "gabe": "gabriel",
-    "gene": "eugene", "greg": "gregory", "hal": "henry", "hank": "henry", "harry": "henry", "hettie": "henrietta", "jack": "john", "jake": "jacob", "jeff": "jeffrey", "jen": "jennifer", "jenny": "jennifer",
+    "dave": "david", "deb": "deborah", "debbie": "deborah", "dick": "richard", "drew": "andrew", "don": "donald", "ed": "edward", "eddie": "edward", "fran": "frances", "frank": "francis", "fred": "frederick", "gabe": "gabriel",
+    "gene": "eugene", "greg": "gregory", "hal": "henry", "hank": "henry", "harry": "henry", "hettie": "henrietta", "jack": "john", "jackie": "jacqueline", "jake": "jacob", "jeff": "jeffrey", "jen": "jennifer", "jenny": "jennifer",
     "jerry": "gerald", "jim": "james", "jimmy": "james", "joe": "joseph", "johnny": "john", "jon": "jonathan", "josh": "joshua", "judy": "judith", "kate": "katherine", "kathy": "katherine", "katie": "katherine",
     "ken": "kenneth", "kim": "kimberly", "larry": "lawrence", "len": "leonard", "leo": "leonard", "liz": "elizabeth", "lou": "louis", "maggie": "margaret", "mandy": "amanda", "marge": "margaret", "matt": "matthew",
     "meg": "margaret", "mike": "michael", "mick": "michael", "molly": "mary", "nate": "nathaniel", "ned": "edward", "nell": "eleanor", "nick": "nicholas", "pam": "pamela", "pat": "patricia", "patty": "patricia",
