@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselar.plans import graph_queries
+from tesselar.plans import graph_queries, text_queries  # noqa: F401
 from tesselar.plans.registry import QUERIES, SQL, Query
 
 
