@@ -148,7 +148,7 @@ def similar_nodes(nodes: DataFrame, threshold: float = 0.3, sure: float = 0.6, t
                     known[c] = value.vector(c)
             va, vb = known[a], known[b]
             cosine = sum(w * vb[g] for g, w in va.items() if g in vb)
-            if cosine < sure and edits(a, b, typos) > typos:
+            if cosine < threshold or cosine < sure and edits(a, b, typos) > typos:
                 cosine = 0.0
             out.append(min(cosine, 1.0))
         return pd.Series(out, dtype="float64")
