@@ -85,12 +85,12 @@ def author_lookup(s, d):
 
 @register("match_author")
 def match_author(s, d):
-    """Authors against the other rows' authors: equal surname and initial 1.0, else the most similar surname of that initial."""
-    a = authors(s, d).where("initial IS NOT NULL")
-    left, right = a.select(c("entity_id").alias("id"), c("surname").alias("title"), "initial"), a.select(c("entity_id").alias("id"), c("surname").alias("title"), "initial")
+    """Authors against the authors mentioned in chunks: the most similar surname of the same initial, equal ones 1.0."""
     letter = F.lower(F.substring("title", 1, 2))
-    pairs = L.best_ratio(left.withColumn("l", letter), right.withColumn("l", letter).select(F.concat(F.lit("x"), "id").alias("id"), "title", "initial", "l"), ["initial", "l"], 0.85, fuzzy.sequence_ratio)
-    return pairs
+    left = authors(s, d).where("initial IS NOT NULL").select(c("entity_id").alias("id"), c("surname").alias("title"), "initial")
+    m = table(s, d, "pre_entities").where("type = 'Author' AND name IS NOT NULL")
+    right = m.groupBy(X.surname(c("name")).alias("title"), X.initial(c("name")).alias("initial")).agg(F.min("pre_id").alias("id")).where("initial IS NOT NULL")
+    return L.best_ratio(left.withColumn("l", letter), right.withColumn("l", letter), ["initial", "l"], 0.85, fuzzy.sequence_ratio)
 
 
 @register("match_journal")
@@ -184,7 +184,7 @@ def citation_lookup(s, d):
     return p.select("doc_id", F.explode(F.array("doc_id", F.regexp_extract("doc_id", "([0-9]+)$", 1))).alias("k")).groupBy("k").agg(F.min("doc_id").alias("doc_id"))
 
 
-@register("issn_join", "WITH x AS (SELECT DISTINCT chunk_id, unnest(document_ids) AS doc_id, generate_subscripts(document_ids, 1) AS at FROM chunks), p AS (SELECT doc_id, min(source_type) AS kind FROM cleaned_documents GROUP BY doc_id) SELECT chunk_id, arg_min(kind, at) AS kind FROM x JOIN p USING (doc_id) WHERE kind IS NOT NULL GROUP BY chunk_id")
+@register("issn_join", "WITH x AS (SELECT DISTINCT chunk_id, unnest(document_ids) AS doc_id, generate_subscripts(document_ids, 1) AS pos FROM chunks), p AS (SELECT doc_id, min(source_type) AS kind FROM cleaned_documents GROUP BY doc_id) SELECT chunk_id, arg_min(kind, pos) AS kind FROM x JOIN p USING (doc_id) WHERE kind IS NOT NULL GROUP BY chunk_id")
 def issn_join(s, d):
     """Of several ids of a row the first that the other side knows."""
     x = table(s, d, "chunks").select("chunk_id", F.posexplode("document_ids").alias("at", "doc_id")).distinct()
