@@ -94,5 +94,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
 
 
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+_SQL = {
+    "p2_found": f"""WITH c AS (SELECT DISTINCT chunk_id, {_WORDS} AS w FROM chunks WHERE text IS NOT NULL), b AS (SELECT chunk_id, w FROM c WHERE len(w) >= 30),
+ s AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM b), n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY chunk_id),
+ p AS (SELECT x.chunk_id AS a, y.chunk_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.chunk_id < y.chunk_id GROUP BY 1, 2)
+ SELECT a AS chunk_id_a, b AS chunk_id_b FROM p JOIN n u ON u.chunk_id = a JOIN n v ON v.chunk_id = b WHERE k >= 0.6 * (u.n + v.n - k)""",
+    "p3_found": r"SELECT DISTINCT chunk_id FROM chunks WHERE len(regexp_extract_all(text, '\S+')) > 400",
+    "p9_found": f"""WITH i AS (SELECT item_id, {_WORDS} AS w FROM eval_items), ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) AS g FROM i WHERE len(w) >= 13),
+ d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) AS g FROM d WHERE len(w) >= 13) SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can do the whole table: exact similarity, token counts and shared windows."""
+    return dict(_SQL)
