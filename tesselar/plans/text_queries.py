@@ -67,15 +67,20 @@ def drop_sections(s, d):
     return raw(s, d).select("doc_id", X.drop_sections(c("text")).alias("text"))
 
 
+def _with_bibliography(s, d):
+    """Documents with numbered references, these under a heading."""
+    marked = F.regexp_replace("text", r"(?m)^\[1\] ", "# References\n[1] ")
+    return table(s, d, "documents").where(c("text").rlike(r"(?m)^\[1\] [A-Z]")).select("doc_id", marked.alias("text"))
+
+
 @register("extract_refs")
 def extract_refs(s, d):
-    section = X.reference_section(c("text"))
-    return raw(s, d).select("doc_id", section.alias("section"), X.without_references(c("text")).alias("text")).where("section <> ''").select("doc_id", "text", X.split_references(c("section")).alias("references"))
+    return _with_bibliography(s, d).select("doc_id", F.length(X.without_references(c("text"))).alias("left"), F.size(X.split_references(X.reference_section(c("text")))).alias("references"))
 
 
 @register("split_refs")
 def split_refs(s, d):
-    return raw(s, d).select("doc_id", F.posexplode(X.split_references(c("text"))).alias("place", "reference")).where(r"reference rlike '^\\[\\d+\\]'")
+    return _with_bibliography(s, d).select("doc_id", F.posexplode(X.split_references(X.reference_section(c("text")))).alias("place", "reference"))
 
 
 @register("token_count", rf"SELECT chunk_id, CASE WHEN trim(regexp_replace(text, '\s+', ' ', 'g')) = '' THEN 0 ELSE CAST(len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) AS INTEGER) END AS tokens FROM chunks WHERE text IS NOT NULL")
