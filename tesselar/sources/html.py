@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset(["p", "ul", "ol", "blockquote", "h2", "h3"])
+CLOSES_P = frozenset("p div ul ol blockquote table pre h1 h2 h3 h4 h5 h6 section article".split())
+HOLDS = frozenset("div td th li section article blockquote root".split())
 SCHEMA = "array<struct<title:string,heading:string,main_content:string,notes:array<struct<heading:string,content:string>>,subsections:array<struct<heading:string,content:string>>,links:array<struct<text:string,url:string>>>>"
 
 
@@ -37,8 +39,13 @@ class Tree(HTMLParser):
         self.root = self.at = Node("root", {}, None)
 
     def handle_starttag(self, tag, attrs):
-        if tag == "p" and self.at.tag == "p":  # a paragraph ends the one before
-            self.at = self.at.parent
+        if tag in CLOSES_P:  # a block ends the paragraph that is open, with the marks in it
+            node = self.at
+            while node.parent is not None and node.tag not in HOLDS:
+                if node.tag == "p":
+                    self.at = node.parent
+                    break
+                node = node.parent
         node = Node(tag, dict(attrs), self.at)
         self.at.children.append(node)
         if tag not in VOID:
