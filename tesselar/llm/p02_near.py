@@ -112,7 +112,7 @@ class NearPairs:
     links: DataFrame
 
 
-def near_pairs(rows: DataFrame, threshold: float = 0.6, width: int = 3, min_words: int = 30, key: str = "chunk_id", text: str = "text", deviations: float = 3.3) -> NearPairs:
+def near_pairs(rows: DataFrame, threshold: float = 0.6, width: int = 3, min_words: int = 30, key: str = "chunk_id", text: str = "text", deviations: float = 4.0) -> NearPairs:
     """``deviations``: by how many standard deviations the estimate may fall short of the threshold."""
     kind = rows.schema[key].dataType.simpleString()
 

@@ -143,7 +143,7 @@ def search_range(ids: np.ndarray, keys: np.ndarray, vectors: np.ndarray, k: int,
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def most_similar(rows: DataFrame, k: int = 10, dim: int = 64, trees: int = 3, leaf: int = 8_192, key: str = "chunk_id", vector: str = "embedding", min_cosine: float | None = None) -> DataFrame:
+def most_similar(rows: DataFrame, k: int = 10, dim: int = 64, trees: int = 3, leaf: int = 12_000, key: str = "chunk_id", vector: str = "embedding", min_cosine: float | None = None) -> DataFrame:
     """(key, neighbour, cosine, rank) for each usable vector.
 
     ``min_cosine`` leaves out neighbours below it once the k best are known.
