@@ -186,3 +186,15 @@ def pack(parts: Column, most: int) -> Column:
         return F.struct(F.when(fits, acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])).alias("done"), F.when(fits, joined).otherwise(x).alias("open"))
 
     return F.aggregate(parts, start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
+
+
+def language(text: Column) -> Column:
+    """Code of the language with most stop words in the first 5,000 characters; unknown under 20 characters or without any."""
+    words = F.split(F.lower(F.substring(text, 1, 5000)), r"[^a-zà-ÿ]+")
+
+    def hits(stop: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(stop)))
+
+    scores = [F.struct(hits(stop).alias("n"), F.lit(code).alias("code")) for code, stop in V.STOP_WORDS.items()]
+    best = F.array_max(F.array(*scores))
+    return F.when((F.length(text) < 20) | (best["n"] == 0), "unknown").otherwise(best["code"])

@@ -62,3 +62,11 @@ DOCUMENT_WORDS = {
     "academic": "papers?|articles?|publications?|stud(?:y|ies)|research|researchers?|journals?|proceedings?|conference|authors?|scholars?|academics?|literature",
 }
 JURISDICTION_ALIASES = {"European Union": "EU", "United States": "US", "United Kingdom": "GB", "United Arab Emirates": "AE", "South Korea": "KR", "Hong Kong": "HK", "New Zealand": "NZ", "South Africa": "ZA", "Saudi Arabia": "SA", "Czech Republic": "CZ"}
+
+# Frequent words by which a language is told.
+STOP_WORDS = {
+    "en": ["the", "of", "and", "to", "in", "that", "which", "is", "for", "by", "with", "on"],
+    "fr": ["le", "la", "les", "des", "du", "et", "une", "dans", "pour", "est", "que", "sur"],
+    "de": ["der", "die", "das", "und", "den", "von", "mit", "für", "ein", "eine", "nicht", "auf"],
+    "es": ["el", "los", "las", "del", "una", "por", "para", "que", "con", "su", "se", "y"],
+}

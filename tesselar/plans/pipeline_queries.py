@@ -168,3 +168,27 @@ def graph_sink(s, d):
     D.write_graph(T.nodes(s, d), T.edges(s, d), place)
     n = s.read.parquet(f"{place}/nodes").groupBy(c("label").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
     return n.unionByName(s.read.parquet(f"{place}/edges").groupBy(c("rel").alias("kind")).agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("embed_chunks")
+def embed_chunks(s, d):
+    """Vectors of chunks without one, by the offline model."""
+
+    def encode(batches):
+        import pandas as pd
+
+        model = chunking.HashedWords(64)
+        for pdf in batches:
+            yield pd.DataFrame({"chunk_id": pdf.chunk_id, "embedding": [v.astype("f4").tolist() for v in model.encode(pdf.text.tolist())]})
+
+    todo = models.missing_vectors(table(s, d, "chunks").where("text IS NOT NULL").select("chunk_id", "text"), table(s, d, "embedded_chunks").where("embedding IS NOT NULL"), "chunk_id")
+    return todo.mapInPandas(encode, "chunk_id string, embedding array<float>")
+
+
+SUPPORT = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: length(w) > 3))"
+
+
+@register("support_scores", f"WITH x AS (SELECT doc_id, {SUPPORT.format('title')} AS a, {SUPPORT.format('text')} AS b FROM documents WHERE title IS NOT NULL AND text IS NOT NULL) SELECT doc_id, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b))::DOUBLE / len(a) ELSE 0 END, 6) AS support FROM x")
+def support_scores(s, d):
+    words = lambda x: F.array_distinct(F.filter(F.split(F.lower(x), "[^a-z0-9]+"), lambda w: F.length(w) > 3))
+    return table(s, d, "documents").where("title IS NOT NULL AND text IS NOT NULL").select("doc_id", F.round(models.support_score(words("title"), words("text")), 6).alias("support"))

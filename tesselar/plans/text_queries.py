@@ -339,3 +339,23 @@ def chunk_id_fanout(s, d):
 @register("dup_docs_topk", "SELECT md5(text) AS digest, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, digest LIMIT 10")
 def dup_docs_topk(s, d):
     return table(s, d, "documents").where("text IS NOT NULL").groupBy(F.md5("text").alias("digest")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "digest").limit(10)
+
+
+LANGUAGE = "list_sort([" + ", ".join(f"{{'n': len(list_filter(regexp_split_to_array(lower(text[1:5000]), '[^a-zà-ÿ]+'), lambda w: w IN ({', '.join(q(w) for w in stop)}))), 'code': {q(code)}}}" for code, stop in V.STOP_WORDS.items()) + "])[-1]"
+
+
+@register("detect_language", f"SELECT doc_id, CASE WHEN length(text) < 20 OR {LANGUAGE}.n = 0 THEN 'unknown' ELSE {LANGUAGE}.code END AS lang FROM documents WHERE text IS NOT NULL")
+def detect_language(s, d):
+    return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", X.language(c("text")).alias("lang"))
+
+
+@register("fix_encoding")
+def fix_encoding(s, d):
+    from tesselar.functions.encoding import fix_encoding
+
+    return fix_encoding(raw(s, d).select("doc_id", "text")).select("doc_id", "encoding_fixes", F.length("text").alias("length"))
+
+
+@register("strip_sections_report", "SELECT source_type, count(*) AS n, count(*) FILTER (WHERE text IS NULL) AS missing, count(*) FILTER (WHERE trim(text) = '') AS blank FROM raw_documents GROUP BY source_type")
+def strip_sections_report(s, d):
+    return table(s, d, "raw_documents").groupBy("source_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(c("text").isNull()).alias("missing"), F.count_if(F.trim("text") == "").alias("blank"))
