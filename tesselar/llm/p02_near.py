@@ -21,6 +21,7 @@ columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,12 @@ class Shingler:
         return mixed, np.searchsorted(owner, np.arange(len(texts))), sizes
 
 
+@lru_cache(4)
+def shingler_of(width: int) -> Shingler:
+    """The worker's shingler, with the hashes of the units it has seen."""
+    return Shingler(width)
+
+
 def sketch(texts: list[str], shingler: Shingler, min_words: int):
     """(kept rows, node, low bits, high bits, bands): arrays over the texts of at least ``min_words`` words."""
     hashes, starts, sizes = shingler.sets(texts)
@@ -117,7 +124,7 @@ def near_pairs(rows: DataFrame, threshold: float = 0.6, width: int = 3, min_word
     kind = rows.schema[key].dataType.simpleString()
 
     def sketches(batches):
-        shingler = Shingler(width)
+        shingler = shingler_of(width)
         sent: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):  # a block's hashes stay in the cache
@@ -149,7 +156,7 @@ def near_pairs(rows: DataFrame, threshold: float = 0.6, width: int = 3, min_word
     def shingles(texts):
         import pandas as pd
 
-        hashes, starts, _ = Shingler(width).sets(texts.tolist())
+        hashes, starts, _ = shingler_of(width).sets(texts.tolist())
         raw = np.ascontiguousarray((hashes >> np.uint64(32)).astype("<u4")).tobytes()
         ends = np.append(starts, len(hashes)) * 4
         return pd.Series([raw[s:e] for s, e in zip(ends, ends[1:])])
@@ -158,7 +165,7 @@ def near_pairs(rows: DataFrame, threshold: float = 0.6, width: int = 3, min_word
     def jaccard(shingled, texts):
         import pandas as pd
 
-        hashes, starts, _ = Shingler(width).sets(texts.tolist())
+        hashes, starts, _ = shingler_of(width).sets(texts.tolist())
         short, ends = (hashes >> np.uint64(32)).astype("<u4"), np.append(starts, len(hashes))
         out = []
         for raw, s, e in zip(shingled, ends, ends[1:]):
@@ -178,6 +185,19 @@ def near_pairs(rows: DataFrame, threshold: float = 0.6, width: int = 3, min_word
     return NearPairs(members, links)
 
 
+def groups(near: NearPairs, key: str = "chunk_id") -> DataFrame:
+    """(key, class, links): the class of each text that took part, named by a node, and how many other texts it is linked to.
+
+    Copies share a node; links between different texts make the classes.
+    """
+    from tesselar.operators.graph import components
+
+    links = written(near.links.select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
+    of = components(links).select("node", F.col("component").alias("class"))
+    n = links.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    return near.members.join(of, "node", "left").join(n, "node", "left").select(key, F.coalesce("class", "node").alias("class"), F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
+
+
 def expand(near: NearPairs, key: str = "chunk_id") -> DataFrame:
     """All pairs of keys whose texts are linked or equal, the smaller key first."""
     m = near.members
