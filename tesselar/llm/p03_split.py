@@ -40,7 +40,8 @@ def borders(text: str, tokens: list[tuple[int, int]]) -> dict[int, int]:
     for i in range(1, len(tokens)):
         gap = text[tokens[i - 1][1] : tokens[i][0]]
         if "\n" in gap:
-            line = text[tokens[i][0] : text.find("\n", tokens[i][0]) if "\n" in text[tokens[i][0] :] else len(text)]
+            stop = text.find("\n", tokens[i][0])
+            line = text[tokens[i][0] : stop if stop >= 0 else len(text)]
             short = len(line) < 80 and not SENTENCE_END.search(line.rstrip())
             if HEADING.match(line) and short or short and line[:1].isupper() and line.istitle():
                 out[i] = 4

@@ -32,7 +32,7 @@ from tesselar.llm.mincut import min_cut_labels
 
 KINDS = ["html", "markdown", "wiki", "latex"]
 TAGS = "a|abbr|article|aside|b|blockquote|body|br|caption|center|cite|code|dd|del|details|div|dl|dt|em|figure|figcaption|font|footer|form|h[1-6]|head|header|hr|html|i|iframe|img|input|ins|kbd|label|li|link|main|mark|meta|nav|noscript|ol|option|p|pre|q|s|script|section|select|small|span|strike|strong|style|sub|summary|sup|table|tbody|td|textarea|tfoot|th|thead|title|tr|tt|u|ul|var"
-TAG = re.compile(rf"</?(?:{TAGS})(?:\s+[^<>]*)?\s*/?>", re.I)
+TAG = re.compile(rf"</?(?:{TAGS})(?:[\s/][^<>]*)?>", re.I)
 OPEN_TAG = re.compile(rf"<(?:{TAGS})(?:\s+[\w:-]+\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'))+", re.I)
 COMMENT = re.compile(r"<!--.*?(?:-->|$)|<!--|-->|<!DOCTYPE[^>]*>", re.I)
 ENTITY = re.compile(r"&(?:([A-Za-z][A-Za-z0-9]{1,31})|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});")
@@ -41,7 +41,7 @@ LATEX_STRONG = re.compile(r"(?<![A-Za-z0-9:\\])\\[A-Za-z]+\*?\s*(?:\[[^\]\n]*\])
 LATEX_WEAK = re.compile(r"\\\\\s*$|\w~\\|[^\\]&[^\\]*\\\\|^\s*[^&]+ & [^&]+$|[_^]\{")
 MARKDOWN_STRONG = re.compile(r"^\s{0,3}#{1,6}\s+\S|^\s*(?:```|~~~)|!\[[^\]\n]*\]\([^)\n]*\)|\[[^\[\]\n]+\]\([^()\s]+(?:\s+\"[^\"]*\")?\)|\*\*(?=\S)[^*\n]+?\*\*|(?<![\w_])__(?=\S)[^_\n]+?__(?![\w_])|(?<!`)`[^`\n]+`(?!`)|^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?\s*$|^\s*[-*+]\s+\[[ xX]\]\s|~~(?=\S)[^~\n]+?~~|^\s{0,3}>\s+\S")
 MARKDOWN_WEAK = re.compile(r"^\s*[-*+]\s+\S|^\s*\d+[.)]\s+\S|(?<![\w*])\*[^\s*][^*\n]*\*(?![\w*])|(?<!\w)_[^\s_][^_\n]*_(?!\w)|^\s*\|.*\|\s*$|^\s*(?:-{3,}|\*{3,})\s*$")
-WIKI_STRONG = re.compile(r"\[\[[^\[\]\n]+\]\]|\{\{[^\n]*?\}\}|\{\{\s*\w|'''?(?=[^\s'])[^'\n]+?'''?|^\s*(={2,6})\s*[^=\n].*?\1\s*$|^\s*\{\||^\s*\|\}\s*$|^\s*\|-+\s*$")
+WIKI_STRONG = re.compile(r"\[\[[^\[\]\n]+\]\]|\{\{[^\n]{0,4000}?\}\}|\{\{\s*\w|'''?(?=[^\s'])[^'\n]+?'''?|^\s*(={2,6})\s*[^=\n].*?\1\s*$|^\s*\{\||^\s*\|\}\s*$|^\s*\|-+\s*$")
 WIKI_WEAK = re.compile(r"^\s*[*#:;]+\s*\S|^\s*[|!]\s*\S|\|\||^\s*----+\s*$")
 SETEXT = re.compile(r"^\s{0,3}(?:-{3,}|={3,})\s*$")
 CODE = re.compile(

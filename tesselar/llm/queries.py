@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tesselar.llm import p01_language, p02_near, p03_split, p04_similar, p05_markup, p06_names, p07_garbled, p08_tokens, p09_leaks, p10_quality
 from tesselar.session import table
+from tesselar.storage import written
 
 
 def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +59,10 @@ def p1_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p01_language.document_languages(table(spark, sf_dir, "cleaned_documents"))
 
 
+def p1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p01_language.paragraph_languages(table(spark, sf_dir, "cleaned_documents")).dropDuplicates(["doc_id", "paragraph"])
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p01_language.unclaimed(table(spark, sf_dir, "cleaned_documents"))
 
@@ -66,6 +71,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p02_near.expand(p02_near.near_pairs(table(spark, sf_dir, "chunks")))
 
 
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p02_near.groups(p02_near.near_pairs(table(spark, sf_dir, "chunks")))
+
+
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p03_split.split_oversized(table(spark, sf_dir, "chunks"))
 
@@ -86,6 +95,10 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_quality.document_statistics(table(spark, sf_dir, "documents"))
 
 
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_quality.outlier_scores(written(p10_statistics(spark, sf_dir), "statistics"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_quality.not_prose(table(spark, sf_dir, "documents"), table(spark, sf_dir, "quality_labels"))
 
