@@ -117,7 +117,7 @@ class Weights:
         return [g for g, _ in own[:n]]
 
 
-def similar_nodes(nodes: DataFrame, threshold: float = 0.3, sure: float = 0.6, typos: int = 2) -> DataFrame:
+def similar_nodes(nodes: DataFrame, threshold: float = 0.22, sure: float = 0.85, typos: int = 2) -> DataFrame:
     """(a, b, similarity) of the pairs of nodes with one code whose cores are alike, a < b."""
     spark = nodes.sparkSession
 
@@ -199,7 +199,7 @@ def average_linkage(links: DataFrame, threshold: float, rounds: int = 60) -> Dat
     return of if of is not None else links.select(F.col("a").alias("node"), F.col("b").alias("cluster")).where(F.lit(False))
 
 
-def linked_names(rows: DataFrame, key: str | None = "entity_id", threshold: float = 0.3) -> DataFrame:
+def linked_names(rows: DataFrame, key: str | None = "entity_id", threshold: float = 0.22) -> DataFrame:
     """(key or spelling, node, cluster): the cluster of each spelling; ``rows`` has is_person, spelling and maybe the key.
 
     With a key, spellings of one key are linked.
