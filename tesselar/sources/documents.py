@@ -67,7 +67,7 @@ def bibliography_nodes(rows: DataFrame) -> dict[str, DataFrame]:
     """Publications, authors and journals of a bibliography with their ids; authors' names lose the id in brackets."""
     from tesselar.functions import ids
 
-    pubs = rows.where(F.col("EID").isNotNull()).select(ids.publication_id(F.col("EID")).alias("publication_id"), F.col("EID").alias("scopus_id"), F.col("Title").alias("title"), F.col("Year").cast("int").alias("year"), F.col("DOI").alias("doi"))
+    pubs = rows.where(F.col("EID").isNotNull()).select(ids.publication_id(F.col("EID")).alias("publication_id"), F.col("EID").alias("source_id"), F.col("Title").alias("title"), F.col("Year").cast("int").alias("year"), F.col("DOI").alias("doi"))
     split = lambda c: F.transform(F.split(F.col(f"`{c}`"), ";"), lambda x: F.trim(x))
     zipped = F.arrays_zip(split("Author(s) ID").alias("id"), split("Author full names").alias("name"))
     people = rows.select(F.explode(zipped).alias("a")).select(F.col("a.id").alias("sid"), F.col("a.name").alias("full")).where(F.coalesce("sid", F.lit("")) != "")
