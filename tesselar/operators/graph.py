@@ -51,17 +51,18 @@ def simple(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("src") != F.col("dst")).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """(x, y, z) of each triangle of the simple graph, once.
-
-    Edges are turned from the end of lower degree to the higher, so that a hub
-    opens few wedges.
-    """
-    pairs = simple(edges)
+def _turned(pairs: DataFrame) -> DataFrame:
+    """(u, v) of each pair from the end of lower degree to the higher: no node keeps more than the root of twice the edges."""
     d = pairs.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("d"))
     ranked = pairs.join(d.select(F.col("n").alias("a"), F.col("d").alias("da")), "a").join(d.select(F.col("n").alias("b"), F.col("d").alias("db")), "b")
     first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    turned = ranked.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v"))
+    return ranked.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v"))
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """(x, y, z) of each triangle of the simple graph, once; hubs open few wedges, as edges are turned away from them."""
+    pairs = simple(edges)
+    turned = _turned(pairs)
     one, two = turned.select("u", F.col("v").alias("v1")), turned.select("u", F.col("v").alias("v2"))
     wedge = one.join(two, "u").where(F.col("v1") < F.col("v2"))
     closed = wedge.join(pairs, (F.col("v1") == F.col("a")) & (F.col("v2") == F.col("b")), "left_semi")
@@ -69,12 +70,24 @@ def triangles(edges: DataFrame) -> DataFrame:
     return closed.select(three[0].alias("x"), three[1].alias("y"), three[2].alias("z"))
 
 
+def triangle_count(edges: DataFrame) -> DataFrame:
+    """One row: the number of triangles, without listing wedges.
+
+    Each edge's two ends bring the lists of those they are turned to, which are
+    short however large a hub is; what the lists share closes a triangle. Lists hold 64-bit hashes of the ids.
+    """
+    turned = written(_turned(simple(edges)), "turned")
+    near = turned.groupBy("u").agg(F.collect_list(F.xxhash64("v")).alias("near"))
+    x, y = near.select("u", F.col("near").alias("nu")), near.select(F.col("u").alias("v"), F.col("near").alias("nv"))
+    return turned.join(x, "u").join(y, "v").agg(F.coalesce(F.sum(F.size(F.array_intersect("nu", "nv"))), F.lit(0)).alias("triangles"))
+
+
 def clustering(edges: DataFrame) -> DataFrame:
     """One row: triangles, wedges and 3 x triangles / wedges of the simple graph."""
     pairs = simple(edges)
     d = pairs.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("d"))
     wedges = d.agg(F.sum(F.expr("d * (d - 1) div 2")).alias("wedges"))
-    closed = triangles(edges).agg(F.count(F.lit(1)).alias("triangles"))
+    closed = triangle_count(edges)
     return closed.crossJoin(wedges).select("triangles", "wedges", F.round(3 * F.col("triangles") / F.col("wedges"), 6).alias("coefficient"))
 
 
