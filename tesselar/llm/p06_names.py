@@ -160,7 +160,7 @@ def similar_nodes(nodes: DataFrame, threshold: float = 0.22, sure: float = 0.85,
     return found.distinct().select("a", "b", similarity("ca", "cb", "kind", "ga", "gb").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def average_linkage(links: DataFrame, threshold: float, rounds: int = 60) -> DataFrame:
+def average_linkage(links: DataFrame, threshold: float) -> DataFrame:
     """(node, cluster) of all nodes that end up in a cluster with others.
 
     ``links`` has (a, b, similarity) with a < b, each pair once. Stops when no
@@ -168,31 +168,24 @@ def average_linkage(links: DataFrame, threshold: float, rounds: int = 60) -> Dat
     """
     work = written(links.select("a", "b", F.col("similarity").alias("s"), F.lit(1).cast("bigint").alias("na"), F.lit(1).cast("bigint").alias("nb")), "links")
     of = None
-    for _ in range(rounds):
-        good = work.where(F.col("s") / (F.col("na") * F.col("nb")) >= threshold)
-        order = F.named_struct(F.lit("m"), F.col("s") / (F.col("na") * F.col("nb")), F.lit("x"), -F.col("a"), F.lit("y"), -F.col("b"))
-        nearest = good.select(F.explode(F.array("a", "b")).alias("node"), order.alias("o")).groupBy("node").agg(F.max("o").alias("o"))
-        merged = written(nearest.groupBy((-F.col("o.x")).alias("a"), (-F.col("o.y")).alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 2).select(F.col("a").alias("into"), F.col("b").alias("node")), "merged")
+    while True:  # each round merges a pair at least
+        mean, size = F.col("s") / (F.col("na") * F.col("nb")), F.col("na") + F.col("nb")
+        order = F.named_struct(F.lit("m"), mean, F.lit("x"), -F.col("a"), F.lit("y"), -F.col("b"), F.lit("z"), size)
+        nearest = work.where(mean >= threshold).select(F.explode(F.array("a", "b")).alias("node"), order.alias("o")).groupBy("node").agg(F.max("o").alias("o"))
+        mutual = nearest.groupBy((-F.col("o.x")).alias("into"), (-F.col("o.y")).alias("node"), F.col("o.z").alias("size")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 2)
+        merged = written(mutual.select("into", "node", "size"), "merged")
         if not merged.take(1):
             break
         if of is None:
             of = merged.select("node", F.col("into").alias("cluster")).unionByName(merged.select(F.col("into").alias("node"), F.col("into").alias("cluster")))
         else:
-            known = of.join(merged.withColumnRenamed("node", "cluster"), "cluster", "left").select("node", F.coalesce("into", "cluster").alias("cluster"))
+            known = of.join(merged.select(F.col("node").alias("cluster"), "into"), "cluster", "left").select("node", F.coalesce("into", "cluster").alias("cluster"))
             fresh = merged.select(F.col("into").alias("cluster"), "node").unionByName(merged.select(F.col("into").alias("cluster"), F.col("into").alias("node")))
             of = known.unionByName(fresh.join(of.select("node"), "node", "left_anti").select("node", "cluster"))
         of = written(of, "clusters")
-        # links of clusters none of which can merge any more are done with
-        live = good.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        la, lb = live.select(F.col("node").alias("a"), F.lit(True).alias("xa")), live.select(F.col("node").alias("b"), F.lit(True).alias("xb"))
-        kept = work.join(la, "a", "left").join(lb, "b", "left").where(F.col("xa").isNotNull() | F.col("xb").isNotNull())
-        # a merged cluster's size is the sum of both sides' sizes, which any of their links tells
-        sizes = kept.select(F.explode(F.array(F.named_struct(F.lit("node"), "a", F.lit("n"), "na"), F.named_struct(F.lit("node"), "b", F.lit("n"), "nb"))).alias("p")).select("p.node", "p.n").distinct()
-        to = merged.select("node", "into").unionByName(merged.select(F.col("into").alias("node"), "into"))
-        grown = to.join(sizes, "node").groupBy("into").agg(F.sum("n").alias("size"))
-        moved = to.join(grown, "into")
+        moved = merged.select("node", "into", "size").unionByName(merged.select(F.col("into").alias("node"), "into", "size"))
         ma, mb = (moved.select(F.col("node").alias(c), F.col("into").alias(f"i{c}"), F.col("size").alias(f"z{c}")) for c in ("a", "b"))
-        new = kept.join(ma, "a", "left").join(mb, "b", "left").select(F.coalesce("ia", "a").alias("a"), F.coalesce("ib", "b").alias("b"), "s", F.coalesce("za", "na").alias("na"), F.coalesce("zb", "nb").alias("nb")).where(F.col("a") != F.col("b"))
+        new = work.join(ma, "a", "left").join(mb, "b", "left").select(F.coalesce("ia", "a").alias("a"), F.coalesce("ib", "b").alias("b"), "s", F.coalesce("za", "na").alias("na"), F.coalesce("zb", "nb").alias("nb")).where(F.col("a") != F.col("b"))
         turned = F.col("a") > F.col("b")
         new = new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s", F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("nb"))
         work = written(new.groupBy("a", "b").agg(F.sum("s").alias("s"), F.max("na").alias("na"), F.max("nb").alias("nb")), "links")
