@@ -101,7 +101,7 @@ def concentration(edges: DataFrame) -> DataFrame:
     return out.select("rank", "predicate", "n", F.round(100.0 * F.col("n") / F.col("total"), 4).alias("pct"), F.round(100.0 * F.col("upto") / F.col("total"), 4).alias("cum_pct"))
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes with an edge, the component named by its least node.
 
     Alternates large-star and small-star: every round links each node's larger
@@ -110,7 +110,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     and a join, never by a gathered neighbourhood.
     """
     pairs = written(edges.where(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "pairs")
-    for _ in range(rounds):
+    while True:
         large = _star(pairs, larger=True)
         small = written(_star(large, larger=False), "stars")
         changed = small.exceptAll(pairs).take(1) or pairs.exceptAll(small).take(1)
