@@ -155,6 +155,10 @@ def foreign_words(text: str) -> list[str]:
     return [c for t in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if not t.isascii() and (c := core_of(t))]
 
 
+def mask_of(word: str) -> str:
+    return "".join(c if c.isascii() else LOST for c in word)
+
+
 class WordModel:
     """Log probabilities of words from their counts in the corpus."""
 
@@ -187,10 +191,9 @@ class WordModel:
         self.pairs = {a: (dict(c), sum(c.values())) for a, c in pairs.items()}
         self.masked: dict[str, list[str]] = defaultdict(list)
         for w in sorted(self.counts, key=lambda w: (-self.counts[w], w)):
-            mask = "".join(c if c.isascii() else LOST for c in w)
-            if len(self.masked[mask]) < 8:
-                self.masked[mask].append(w)
+            self.masked[mask_of(w)].append(w)
         self.masked = dict(self.masked)
+        self.places: dict[str, dict[tuple[int, str], list[str]]] = {}
 
     def log(self, word: str) -> float:
         w = word.casefold()
@@ -203,15 +206,30 @@ class WordModel:
             out += math.log((seen.get(b, 0) + 0.02) / (total + 20))
         return min(out, math.log(0.5 / self.total))
 
-    def fill(self, word: str) -> str | None:
-        """The most frequent word that fits where characters were lost; at least half of the word must be left."""
+    def candidates(self, w: str) -> list[str]:
+        """The words of the mask of w by frequency, only those with one of its remaining characters in place if any remains."""
+        mask = mask_of(w)
+        words = self.masked.get(mask, [])
+        left = [(i, c) for i, c in enumerate(w) if c != LOST and not c.isascii()]
+        if not left or not words:
+            return words
+        if mask not in self.places:
+            at = self.places[mask] = defaultdict(list)
+            for known in words:
+                for i, c in enumerate(known):
+                    if not c.isascii():
+                        at[i, c].append(known)
+        at = self.places[mask]
+        return min((at.get(x, []) for x in left), key=len)
+
+    def fill(self, word: str, agrees=None) -> str | None:
+        """The most frequent of all counted words that fits where characters were lost, and that ``agrees`` accepts."""
         w = word.casefold()
-        mask = "".join(c if c.isascii() else LOST for c in w)
-        for known in self.masked.get(mask, ()):
+        for known in self.candidates(w):
             if all(a == b or a == LOST for a, b in zip(w, known)):
-                if word[:1].isupper():
-                    return known[:1].upper() + known[1:]
-                return known
+                filled = known[:1].upper() + known[1:] if word[:1].isupper() else known
+                if agrees is None or agrees(filled):
+                    return filled
         return None
 
 
@@ -232,10 +250,7 @@ class Decoder:
             if LOST in meant:
                 if LOST not in word and meant.count(LOST) > 1:
                     continue
-                filled = self.model.fill(meant)
-                if filled is None or not self._fits(filled, meant):
-                    continue
-                if utf8 and self._spelled(filled, word, channel):
+                if utf8 and (filled := self.model.fill(meant, lambda f: self._fits(f, meant) and self._spelled(f, word, channel))):
                     out.append((channel, self.model.log(filled) - 1.0, filled))
                 continue
             if not utf8 and self.model.counts.get(meant.casefold(), 0) < 3:

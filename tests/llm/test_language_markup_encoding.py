@@ -126,6 +126,16 @@ def test_lost_bytes():
     assert text.startswith("für geprüft") and done == 2 and lost == 3
 
 
+def test_lost_bytes_of_words_that_are_not_the_most_frequent():
+    often = ["право", "этого", "после", "закон", "также", "более", "между", "время"]
+    d = P7.Decoder(P7.WordModel({**{w: 900 - i for i, w in enumerate(often)}, "может": 407, "моё": 300, "мои": 200}))
+    assert d.restore("не мо\ufffdет") == ("не может", 1, 1, [])
+    assert d.model.fill("\ufffd\ufffd\ufffd\ufffd\ufffd") == "право"
+    # the trailing byte of и is lost; ё is more frequent, but another byte leads it
+    cut = "мои".encode()[:-1].decode("cp1252")
+    assert d.restore(cut)[0] == "мои"
+
+
 def test_garbled_table(spark):
     rows = [("a", "ok für alle und geprüft " * 3), ("a2", "für geprüft über"), ("b", "das ist " + BROKEN["utf"]), ("b", "das ist " + BROKEN["utf"]), ("c", None), ("d", ""), ("e", "ascii only"), ("f", "x� y"), ("g", "für " * 20000)]
     df = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("*", "1 AS restored", "'z' AS channels")
