@@ -42,17 +42,36 @@ def keyword_matches(left: DataFrame, right: DataFrame, least: int = 2, share: fl
     return best.select("id", (-F.col("b.o")).alias("other"), F.col("b.overlap").alias("overlap"), F.least(F.lit(0.85), 0.5 + 0.35 * F.col("b.part")).alias("confidence"))
 
 
-def best_ratio(left: DataFrame, right: DataFrame, on: list[str], threshold: float, score=None) -> DataFrame:
-    """(id, other, score): the most similar right title within the block ``on``, over a threshold; ties to the smaller id.
+def best_ratio(left: DataFrame, right: DataFrame, on: list[str], threshold: float, score: str = "ratio", parts: int = 1) -> DataFrame:
+    """(id, other, score): the most similar right title of equal ``on``, over a threshold; ties to the smaller id.
 
-    Titles whose lengths alone rule the threshold out are not compared.
+    ``score`` is ratio or sequence_ratio. Every pair counts: a pair is left out
+    only where a bound on its score is below the threshold or the best so far
+    (``fuzzy.Best``). Each of ``parts`` x ``parts`` cells is worked off in a
+    task. The work is quadratic in the distinct titles of equal ``on``.
     """
-    score = score or fuzzy.ratio
-    pairs = left.withColumnRenamed("title", "t1").join(right.withColumnRenamed("id", "other").withColumnRenamed("title", "t2"), on)
-    shorter, both = F.least(F.length("t1"), F.length("t2")), F.length("t1") + F.length("t2")
-    scored = pairs.where(2 * shorter >= threshold * both).withColumn("score", score(F.col("t1"), F.col("t2"))).where(F.col("score") >= threshold)
+    one, two = left.select("id", "title", *on), right.groupBy("title", *on).agg(F.min("id").alias("other"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    own = lambda i: F.pmod(F.hash("title"), F.lit(parts)).alias(i)
+    keys = [*on, "li", "ri"]
+    fields = {f.name: f.dataType.simpleString() for f in [*one.schema, *two.schema]}
+
+    def cell(l, r):
+        import pandas as pd
+
+        out = []
+        if len(l) and len(r):
+            r = r.sort_values("other")
+            best = fuzzy.Best(r["title"].tolist(), threshold, score)
+            ids = r["other"].tolist()
+            for i, t in zip(l["id"], l["title"]):
+                if found := best.of(t):
+                    out.append((i, ids[found[0]], found[1]))
+        return pd.DataFrame(out, columns=["id", "other", "score"])
+
+    cells = one.withColumns({"li": own("li"), "ri": every}).groupBy(*keys).cogroup(two.withColumns({"ri": own("ri"), "li": every}).groupBy(*keys)).applyInPandas(cell, f"id {fields['id']}, other {fields['other']}, score double")
     w = Window.partitionBy("id").orderBy(F.desc("score"), "other")
-    return scored.withColumn("r", F.row_number().over(w)).where("r = 1").select("id", "other", "score")
+    return cells.withColumn("r", F.row_number().over(w)).where("r = 1").select("id", "other", "score")
 
 
 def dedupe_works(refs: DataFrame, author: float = 0.8, title: float = 0.75) -> DataFrame:

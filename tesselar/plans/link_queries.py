@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tesselar.functions import fuzzy, ids
+from tesselar.functions import ids
 from tesselar.functions import text as X
 from tesselar.operators import linkage as L
 from tesselar.operators import resolve as E
@@ -90,15 +90,15 @@ def match_author(s, d):
     left = authors(s, d).where("initial IS NOT NULL").select(c("entity_id").alias("id"), c("surname").alias("title"), "initial")
     m = table(s, d, "pre_entities").where("type = 'Author' AND name IS NOT NULL")
     right = m.groupBy(X.surname(c("name")).alias("title"), X.initial(c("name")).alias("initial")).agg(F.min("pre_id").alias("id")).where("initial IS NOT NULL")
-    return L.best_ratio(left.withColumn("l", letter), right.withColumn("l", letter), ["initial", "l"], 0.85, fuzzy.sequence_ratio)
+    return L.best_ratio(left.withColumn("l", letter), right.withColumn("l", letter), ["initial", "l"], 0.85, "sequence_ratio")
 
 
 @register("match_journal")
 def match_journal(s, d):
-    j = table(s, d, "entities").where("type = 'Journal' AND name IS NOT NULL").select(c("entity_id").alias("id"), F.lower("name").alias("title"), F.lit(1).alias("one"))
-    r = table(s, d, "pre_entities").where("type = 'Journal' AND name IS NOT NULL").groupBy(F.lower("name").alias("title")).agg(F.min("pre_id").alias("id")).withColumn("one", F.lit(1))
+    j = table(s, d, "entities").where("type = 'Journal' AND name IS NOT NULL").select(c("entity_id").alias("id"), F.lower("name").alias("title"))
+    r = table(s, d, "pre_entities").where("type = 'Journal' AND name IS NOT NULL").groupBy(F.lower("name").alias("title")).agg(F.min("pre_id").alias("id"))
     letter = F.substring("title", 1, 3)
-    return L.best_ratio(j.withColumn("l", letter), r.withColumn("l", letter), ["one", "l"], 0.70)
+    return L.best_ratio(j.withColumn("l", letter), r.withColumn("l", letter), ["l"], 0.70)
 
 
 @register("match_partial", f"WITH {REFS}, k AS (SELECT DISTINCT surname, year FROM refs), t AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND source_type = 'regulation') SELECT doc_id, CAST(max(CASE WHEN contains(text, surname) THEN 0.65 ELSE 0.5 END) AS DOUBLE) AS confidence FROM (SELECT doc_id, text, CAST(unnest(list_distinct(regexp_extract_all(text, '(?:19|20)[0-9][0-9]'))) AS INTEGER) AS y FROM t) JOIN k ON y = year GROUP BY doc_id")
@@ -129,18 +129,18 @@ def link_exact(s, d):
 
 def _titles(s, d, name):
     t = table(s, d, name).where("title IS NOT NULL").groupBy(c("doc_id").cast("string").alias("id")).agg(F.min(X.match_key_spaced(c("title"))).alias("title"))
-    return t.where(F.length("title") >= 10).withColumn("head", F.element_at(F.split("title", " "), 1))
+    return t.where(F.length("title") >= 10)
 
 
 @register("link_title")
 def link_title(s, d):
-    return L.best_ratio(_titles(s, d, "raw_documents"), _titles(s, d, "documents"), ["head"], 0.60, fuzzy.sequence_ratio).withColumn("tier", F.when(c("score") >= 0.85, "high").when(c("score") >= 0.70, "medium").otherwise("low"))
+    return L.best_ratio(_titles(s, d, "raw_documents"), _titles(s, d, "documents"), [], 0.60, "sequence_ratio", 8).withColumn("tier", F.when(c("score") >= 0.85, "high").when(c("score") >= 0.70, "medium").otherwise("low"))
 
 
 @register("link_abstract")
 def link_abstract(s, d):
-    head = lambda n: table(s, d, n).where("text IS NOT NULL").groupBy(c("doc_id").cast("string").alias("id")).agg(F.min(F.substring(X.match_key_spaced(c("text")), 1, 800)).alias("title")).where(F.length("title") >= 100).withColumn("head", F.substring("title", 1, 24))
-    return L.best_ratio(head("raw_documents"), head("cleaned_documents"), ["head"], 0.60, fuzzy.sequence_ratio)
+    head = lambda n: table(s, d, n).where("text IS NOT NULL").groupBy(c("doc_id").cast("string").alias("id")).agg(F.min(F.substring(X.match_key_spaced(c("text")), 1, 800)).alias("title")).where(F.length("title") >= 100)
+    return L.best_ratio(head("raw_documents"), head("cleaned_documents"), [], 0.60, "sequence_ratio", 16)
 
 
 @register("link_cascade")

@@ -196,6 +196,30 @@ def test_keyword_matches(spark):
     assert [(r.id, r.other, r.overlap) for r in linkage.keyword_matches(left, right).collect()] == [(1, 5, 3)]
 
 
+@pytest.mark.parametrize("score", ["ratio", "sequence_ratio"])
+def test_best_ratio_equals_brute_force(spark, score):
+    rng = random.Random(7)
+    f = getattr(fuzzy, score + "_of")
+    vocabulary = ["the", "eu", "ai", "act", "on", "governing", "risk", "of", "quality", "zone", "liability", "jury"]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    for size, threshold in ((5, 0.6), (40, 0.6), (70, 0.5)):  # from 200 characters on popular ones start no block
+        right = [text(size) for _ in range(25)]
+        left = [text(size) for _ in range(10)] + [r[4:] for r in right[:5]] + ["x" + r for r in right[5:10]] + [right[3]]
+        best = fuzzy.Best(right, threshold, score)
+        for t in left:
+            i = max(range(len(right)), key=lambda i: (f(t, right[i]), -i))
+            assert best.of(t) == ((i, f(t, right[i])) if f(t, right[i]) >= threshold else None)
+            assert all(u >= f(t, r) - 1e-9 for u, r in zip(best.bounds(t), right))
+
+
+def test_best_ratio_of_other_beginnings(spark):
+    left = spark.createDataFrame([("a", "the eu ai act"), ("b", "governnig risk"), ("c", "nothing alike")], "id string, title string")
+    right = spark.createDataFrame([("2", "eu ai act"), ("1", "eu ai act"), ("3", "governing risk"), ("4", "qqqq")], "id string, title string")
+    for parts in (1, 3):
+        got = {r.id: (r.other, round(r.score, 3)) for r in linkage.best_ratio(left, right, [], 0.6, "sequence_ratio", parts).collect()}
+        assert got == {"a": ("1", 0.818), "b": ("3", 0.929)}
+
+
 def test_dedupe_works_and_cascade(spark):
     refs = spark.createDataFrame([("r1", "Smith", 2019, "Ethics of machines"), ("r2", "Smith", 2019, "Ethics of machine"), ("r3", "Smith", 2020, "Ethics of machines")], "ref string, surname string, year int, title string")
     assert {r.ref: r.work for r in linkage.dedupe_works(refs).collect()} == {"r1": "r1", "r2": "r1", "r3": "r3"}
