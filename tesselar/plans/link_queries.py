@@ -86,19 +86,17 @@ def author_lookup(s, d):
 @register("match_author")
 def match_author(s, d):
     """Authors against the authors mentioned in chunks: the most similar surname of the same initial, equal ones 1.0."""
-    letter = F.lower(F.substring("title", 1, 2))
     left = authors(s, d).where("initial IS NOT NULL").select(c("entity_id").alias("id"), c("surname").alias("title"), "initial")
     m = table(s, d, "pre_entities").where("type = 'Author' AND name IS NOT NULL")
     right = m.groupBy(X.surname(c("name")).alias("title"), X.initial(c("name")).alias("initial")).agg(F.min("pre_id").alias("id")).where("initial IS NOT NULL")
-    return L.best_ratio(left.withColumn("l", letter), right.withColumn("l", letter), ["initial", "l"], 0.85, "sequence_ratio")
+    return L.best_ratio(left, right, ["initial"], 0.85, "sequence_ratio")
 
 
 @register("match_journal")
 def match_journal(s, d):
     j = table(s, d, "entities").where("type = 'Journal' AND name IS NOT NULL").select(c("entity_id").alias("id"), F.lower("name").alias("title"))
     r = table(s, d, "pre_entities").where("type = 'Journal' AND name IS NOT NULL").groupBy(F.lower("name").alias("title")).agg(F.min("pre_id").alias("id"))
-    letter = F.substring("title", 1, 3)
-    return L.best_ratio(j.withColumn("l", letter), r.withColumn("l", letter), ["l"], 0.70)
+    return L.best_ratio(j, r, [], 0.70, "sequence_ratio", 4)
 
 
 @register("match_partial", f"WITH {REFS}, k AS (SELECT DISTINCT surname, year FROM refs), t AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND source_type = 'regulation') SELECT doc_id, CAST(max(CASE WHEN contains(text, surname) THEN 0.65 ELSE 0.5 END) AS DOUBLE) AS confidence FROM (SELECT doc_id, text, CAST(unnest(list_distinct(regexp_extract_all(text, '(?:19|20)[0-9][0-9]'))) AS INTEGER) AS y FROM t) JOIN k ON y = year GROUP BY doc_id")

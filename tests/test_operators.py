@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tesselar.functions import fuzzy, ids, models
 from tesselar.functions import text as X
 from tesselar.operators import chunking, graph, linkage, relations, resolve, retrieval, similarity
+from tesselar.plans import link_queries
 from tesselar.sources import documents as D
 from tesselar.sources import html as H
 
@@ -220,6 +221,13 @@ def test_best_ratio_of_other_beginnings(spark):
         assert got == {"a": ("1", 0.818), "b": ("3", 0.929)}
 
 
+def test_authors_and_journals_of_other_beginnings(spark, tmp_path):
+    spark.createDataFrame([("e1", "Author", "Mueller, A."), ("e2", "Author", "Mueller, B."), ("e3", "Journal", "Journal of Law")], "entity_id string, type string, name string").write.parquet(str(tmp_path / "entities.parquet"))
+    spark.createDataFrame([(1, "Author", "Moeller, A."), (2, "Journal", "The Journal of Law")], "pre_id bigint, type string, name string").write.parquet(str(tmp_path / "pre_entities.parquet"))
+    assert [(r.id, r.other, round(r.score, 3)) for r in link_queries.match_author(spark, str(tmp_path)).collect()] == [("e1", 1, 0.857)]
+    assert [(r.id, r.other, round(r.score, 3)) for r in link_queries.match_journal(spark, str(tmp_path)).collect()] == [("e3", 2, 0.875)]
+
+
 def test_dedupe_works_and_cascade(spark):
     refs = spark.createDataFrame([("r1", "Smith", 2019, "Ethics of machines"), ("r2", "Smith", 2019, "Ethics of machine"), ("r3", "Smith", 2020, "Ethics of machines")], "ref string, surname string, year int, title string")
     assert {r.ref: r.work for r in linkage.dedupe_works(refs).collect()} == {"r1": "r1", "r2": "r1", "r3": "r3"}
