@@ -77,25 +77,32 @@ def best_ratio(left: DataFrame, right: DataFrame, on: list[str], threshold: floa
 def dedupe_works(refs: DataFrame, author: float = 0.8, title: float = 0.75) -> DataFrame:
     """(ref, work): each reference with the first reference of its year it equals, in order.
 
-    Greedy and order-dependent, so the references of one year and first letter
-    of the surname are worked off in one task; exact repeats are folded first.
+    Equal are similar authors with similar titles, and the same author of the same
+    year. Greedy and order-dependent, so the references of one year are worked off
+    in one task; exact repeats are folded first.
     """
 
     def greedy(pdf):
         import pandas as pd
 
-        kept: list = []
+        rows = list(pdf.sort_values("ref").itertuples())
+        near = fuzzy.Best([r.title[:100].lower() for r in rows], title)
+        kept: set = set()
+        first: dict[str, int] = {}
         out = []
-        for r in pdf.sort_values("ref").itertuples():
-            hit = next((k for k in kept if fuzzy.partial_ratio_of(r.surname.lower(), k.surname.lower()) >= author and fuzzy.ratio_of(r.title[:100].lower(), k.title[:100].lower()) >= title), None)
-            if hit is None:
-                kept.append(r)
-            out.append((r.ref, (hit or r).ref))
+        for i, r in enumerate(rows):
+            own = r.surname.lower()
+            like = (k for k in near.within(near.texts[i]) if k in kept and fuzzy.partial_ratio_of(own, rows[k].surname.lower()) >= author)
+            hit = min(next(like, i), first.get(own, i))
+            if hit == i:
+                kept.add(i)
+                if own:
+                    first.setdefault(own, i)
+            out.append((r.ref, rows[hit].ref))
         return pd.DataFrame(out, columns=["ref", "work"])
 
     one = refs.groupBy("surname", "year", "title").agg(F.min("ref").alias("ref"))
-    blocked = one.withColumn("letter", F.lower(F.substring("surname", 1, 1)))
-    return blocked.groupBy("year", "letter").applyInPandas(greedy, "ref string, work string")
+    return one.groupBy("year").applyInPandas(greedy, "ref string, work string")
 
 
 def cascade(ids: DataFrame, *stages: tuple[str, DataFrame]) -> DataFrame:

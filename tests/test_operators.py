@@ -236,6 +236,11 @@ def test_dedupe_works_and_cascade(spark):
     assert {(r.id, r.other, r.method) for r in linkage.cascade(ids_, ("x", one), ("y", two)).collect()} == {(1, "a", "x"), (2, "b", "y"), (3, None, "none")}
 
 
+def test_dedupe_works_across_first_letters_and_by_equal_author(spark):
+    refs = spark.createDataFrame([("r1", "van der Berg", 2019, "Ethics of machines"), ("r2", "Berg", 2019, "Ethics of machine"), ("r3", "Berg", 2019, "Another thing"), ("r4", "Lee", 2019, "Ethics of machines"), ("r5", "Lee", 2019, "Quite unlike")], "ref string, surname string, year int, title string")
+    assert {r.ref: r.work for r in linkage.dedupe_works(refs).collect()} == {"r1": "r1", "r2": "r1", "r3": "r3", "r4": "r4", "r5": "r4"}
+
+
 PAGE = """<div class="page-nav-accordion__item"><a class="page-nav-accordion__title">Law</a><div class="page-nav-accordion__content"><h1>Law in X</h1><p>One <b>bold<p>Two <a href="#t">t</a> <a href="http://e.org">e</a></p>
 <div class="note"><h3>France</h3><p>noted</p></div><h4>Ohio</h4><p>state</p></div></div><div class="page-nav-accordion__item"><a class="page-nav-accordion__title">Key contacts</a><div class="page-nav-accordion__content"><p>x</p></div></div>"""
 
