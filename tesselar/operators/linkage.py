@@ -42,10 +42,11 @@ def keyword_matches(left: DataFrame, right: DataFrame, least: int = 2, share: fl
     return best.select("id", (-F.col("b.o")).alias("other"), F.col("b.overlap").alias("overlap"), F.least(F.lit(0.85), 0.5 + 0.35 * F.col("b.part")).alias("confidence"))
 
 
-def best_ratio(left: DataFrame, right: DataFrame, on: list[str], threshold: float, score: str = "ratio", parts: int = 1) -> DataFrame:
+def best_ratio(left: DataFrame, right: DataFrame, on: list[str], threshold: float, score: str = "ratio", parts: int = 1, first: bool = False) -> DataFrame:
     """(id, other, score): the most similar right title of equal ``on``, over a threshold; ties to the smaller id.
 
-    ``score`` is ratio or sequence_ratio. Every pair counts: a pair is left out
+    ``score`` is ratio or sequence_ratio; with ``first`` (ratio only) the title of
+    the smallest id over the threshold is taken, not the most similar. Every pair counts: a pair is left out
     only where a bound on its score is below the threshold or the best so far
     (``fuzzy.Best``). Each of ``parts`` x ``parts`` cells is worked off in a
     task. The work is quadratic in the distinct titles of equal ``on``.
@@ -65,12 +66,16 @@ def best_ratio(left: DataFrame, right: DataFrame, on: list[str], threshold: floa
             best = fuzzy.Best(r["title"].tolist(), threshold, score)
             ids = r["other"].tolist()
             for i, t in zip(l["id"], l["title"]):
-                if found := best.of(t):
+                if first:
+                    found = next(((k, fuzzy.ratio_of(t, best.texts[k])) for k in best.within(t)), None)
+                else:
+                    found = best.of(t)
+                if found:
                     out.append((i, ids[found[0]], found[1]))
         return pd.DataFrame(out, columns=["id", "other", "score"])
 
     cells = one.withColumns({"li": own("li"), "ri": every}).groupBy(*keys).cogroup(two.withColumns({"ri": own("ri"), "li": every}).groupBy(*keys)).applyInPandas(cell, f"id {fields['id']}, other {fields['other']}, score double")
-    w = Window.partitionBy("id").orderBy(F.desc("score"), "other")
+    w = Window.partitionBy("id").orderBy(*[] if first else [F.desc("score")], "other")
     return cells.withColumn("r", F.row_number().over(w)).where("r = 1").select("id", "other", "score")
 
 

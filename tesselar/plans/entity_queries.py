@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tesselar.functions import text as X
 from tesselar.functions import values as V
 from tesselar.operators import graph as G
+from tesselar.operators import linkage as L
 from tesselar.operators import relations as R
 from tesselar.operators import resolve as E
 from tesselar.operators import similarity as S
@@ -132,6 +133,15 @@ def same_as_reg(s, d):
     return m.where("type = 'Document'").join(r, F.trim(F.lower("name")) == c("k")).select(c("name").alias("document"), "reg").distinct()
 
 
+@register("same_as_reg_fuzzy")
+def same_as_reg_fuzzy(s, d):
+    """Documents with the first regulation of an equal name or a ratio of 0.85; ``same_as_reg`` is the exact half, which its SQL checks."""
+    m = mentions(s, d)
+    name = F.trim(F.lower("name")).alias("title")
+    reg = m.where("type = 'Regulation'").select(c("pre_id").alias("id"), name)
+    return L.best_ratio(m.where("type = 'Document'").select(c("name").alias("id"), name).distinct(), reg, [], 0.85, parts=4, first=True).select(c("id").alias("document"), c("other").alias("reg"), c("score").alias("confidence"))
+
+
 # ---- relations -------------------------------------------------------------
 
 LINKED = "e AS (SELECT entity_id, name, type, unnest(chunk_ids) AS chunk_id FROM entities), cm AS (SELECT DISTINCT c.entity_id AS entity_id, c.name AS name, c.type AS type, p.chunk_id AS chunk_id FROM concepts c JOIN pre_entities p ON lower(p.name) = lower(c.name)), em AS (SELECT DISTINCT entity_id, type, chunk_id, false AS is_concept FROM e UNION SELECT entity_id, type, chunk_id, true FROM cm)"

@@ -241,6 +241,16 @@ def test_dedupe_works_across_first_letters_and_by_equal_author(spark):
     assert {r.ref: r.work for r in linkage.dedupe_works(refs).collect()} == {"r1": "r1", "r2": "r1", "r3": "r3", "r4": "r4", "r5": "r4"}
 
 
+def test_same_as_takes_the_first_similar_regulation(spark):
+    rng = random.Random(3)
+    regs = [(i, "".join(rng.choice("abcd ") for _ in range(8)).strip() or "a") for i in range(120)]
+    docs = [("d1", "data act 2023"), ("d2", "eu ai act"), *((f"x{i}", t[:-1] + "b") for i, t in regs[60:])]
+    regs += [(200, "data act 2024"), (201, "data act 2023"), (202, "gdpr")]
+    expected = {d: next(i for i, r in regs if fuzzy.ratio_of(t, r) >= 0.85) for d, t in docs if any(fuzzy.ratio_of(t, r) >= 0.85 for _, r in regs)}
+    got = linkage.best_ratio(spark.createDataFrame(docs, "id string, title string"), spark.createDataFrame(regs, "id int, title string"), [], 0.85, parts=2, first=True)
+    assert {r.id: r.other for r in got.collect()} == expected and expected["d1"] == 200 and len(expected) > 20
+
+
 PAGE = """<div class="page-nav-accordion__item"><a class="page-nav-accordion__title">Law</a><div class="page-nav-accordion__content"><h1>Law in X</h1><p>One <b>bold<p>Two <a href="#t">t</a> <a href="http://e.org">e</a></p>
 <div class="note"><h3>France</h3><p>noted</p></div><h4>Ohio</h4><p>state</p></div></div><div class="page-nav-accordion__item"><a class="page-nav-accordion__title">Key contacts</a><div class="page-nav-accordion__content"><p>x</p></div></div>"""
 
