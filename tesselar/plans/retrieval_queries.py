@@ -72,6 +72,12 @@ def filter_penalty(s, d):
     return chunks(s, d).where("id % 11 = 0").join(F.broadcast(queries(s, d).select("query"))).select("query", "id", F.round(_penalty(), 4).alias("factor"))
 
 
+@register("filter_penalty_all", f"WITH {QUERIES}, {CHUNKS} SELECT query, id, CAST(round({PEN}, 4) AS DOUBLE) AS factor FROM q, k")
+def filter_penalty_all(s, d):
+    # the factor of filter_penalty over all chunks, without its filter on the id
+    return chunks(s, d).join(F.broadcast(queries(s, d).select("query"))).select("query", "id", F.round(_penalty(), 4).alias("factor"))
+
+
 RANK = lambda score, src: f"SELECT query, id, round({score}, 5) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY round({score}, 5) DESC, id) AS INTEGER) AS place FROM {src} JOIN k USING (id) QUALIFY place <= 20"
 
 

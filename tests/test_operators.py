@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tesselar.functions import fuzzy, ids, models
 from tesselar.functions import text as X
 from tesselar.operators import chunking, graph, linkage, relations, resolve, retrieval, similarity
-from tesselar.plans import link_queries
+from tesselar.plans import link_queries, retrieval_queries
 from tesselar.sources import documents as D
 from tesselar.sources import html as H
 
@@ -251,6 +251,12 @@ def test_same_as_takes_the_first_similar_regulation(spark):
     assert {r.id: r.other for r in got.collect()} == expected and expected["d1"] == 200 and len(expected) > 20
 
 
+def test_penalties_of_all_chunks(spark, tmp_path):
+    spark.createDataFrame([(i, "x", [1.0]) for i in range(101)], "vec_id bigint, label string, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = retrieval_queries.filter_penalty_all(spark, str(tmp_path))
+    assert got.count() == 303 and {r.id for r in got.select("id").distinct().collect()} == set(range(101))
+
+
 PAGE = """<div class="page-nav-accordion__item"><a class="page-nav-accordion__title">Law</a><div class="page-nav-accordion__content"><h1>Law in X</h1><p>One <b>bold<p>Two <a href="#t">t</a> <a href="http://e.org">e</a></p>
 <div class="note"><h3>France</h3><p>noted</p></div><h4>Ohio</h4><p>state</p></div></div><div class="page-nav-accordion__item"><a class="page-nav-accordion__title">Key contacts</a><div class="page-nav-accordion__content"><p>x</p></div></div>"""
 
