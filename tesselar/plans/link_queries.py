@@ -150,7 +150,7 @@ def link_cascade(s, d):
 
 @register("match_reference")
 def match_reference(s, d):
-    """References of a document against the authors and journals that its own text names: author, then journal, then year alone."""
+    """References against all authors, then all journals, of the entities, by equal lower-case names; the fuzzy tiers and the year tier are missing."""
     r = refs(s, d).withColumn("id", F.concat(c("doc_id").cast("string"), F.lit("#"), c("place").cast("string")))
     known = authors(s, d).select(F.lower("surname").alias("k"), c("entity_id")).groupBy("k").agg(F.min("entity_id").alias("other"))
     by_author = r.join(known, F.lower("surname") == c("k")).select("id", "other")
