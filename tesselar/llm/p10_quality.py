@@ -1,26 +1,31 @@
 """Problem 10: per-document quality statistics and outliers among them.
 
 A pass over the texts gives each document its statistics. For each statistic the
-documents of a language are ranked exactly: values are counted, the counts
-range-partitioned and sorted by (statistic, language, value), and added up
-within each partition on top of the partition's offset. The empirical tail
-probability of a document's value, on the side where it speaks against prose, is
-its rank over the number of documents. The negative logarithms of the tail
-probabilities add up to an outlier score.
-
-Documents over a cut of that score are candidates; of these the ones are found
-of whose characters over half are not running sentences. The cut is read off the
-labelled documents: the mean of those labelled as no prose less ``deviations`` of their
-standard deviations, or zero with fewer labels than say something.
-
-Statistics are whole numbers with a bounded range (shares in thousandths, sizes
-on a log scale), so the table of ranks is bounded, whatever the corpus:
-statistics x languages x 1001 values. It may therefore be broadcast.
+documents are ranked exactly, those of a language among themselves and once more
+all together: values are counted, the counts range-partitioned and sorted by
+(group, statistic, value), and added up within each partition on top of the
+partition's offset. Either empirical tail probability of a document's value is
+its rank from that end over the number of documents. The negative logarithms of
+these tail probabilities, weighted, add up to the outlier score, and that score
+alone decides: documents over zero are found.
+
+Weights and cut are fitted on the labelled documents, at most ``label_bound`` of
+them (taken by a hash of the key): a logistic regression with a ridge around
+``PRIOR``, the plain sum of the tails against prose over all documents less
+``PRIOR_CUT``. So few labels leave the plain sum nearly as it is, and none leave it
+alone; there is no number of labels at which the way changes. The ranks of all
+documents together are needed beside those within a language because the share
+of documents that are no prose differs between languages and may be zero.
+
+Statistics are whole numbers in a bounded range: shares and log ratios in
+thousandths, sizes on a log scale (a hundredth of a factor of two; any size up to
+2^40 fits), so the table of ranks is bounded, whatever the corpus: statistics x
+(languages + 1) x 4,001 values. It may therefore be broadcast.
 
 Defined results: null, empty and blank texts have no statistics and are no case;
 documents without a known language form one group; equal values share a rank;
-repeated keys keep their rows; without enough labels every document is a candidate;
-extra columns are ignored.
+repeated keys keep their rows; a document with several labels counts with their
+mean; labels of one kind only, or none, leave the prior; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselar.llm.words import Memo
@@ -52,6 +57,9 @@ COMMON = frozenset((
 ).split())
 #: Which tail speaks against running prose: +1 large values, -1 small ones.
 STATISTICS = {"other_share": 1, "symbol_share": 1, "digit_share": 1, "ended_share": -1, "common_share": -1, "repeated_share": 1, "line_words": -1, "word_length": 1, "vocabulary": -1}
+#: The group of all documents, and what the fit starts from: weight 1 for the tails against prose over all documents.
+ALL, PRIOR_CUT = "*", 12.0
+PRIOR = [*[0.0, 0.0] * len(STATISTICS), *[1.0, 0.0] * len(STATISTICS), -PRIOR_CUT]
 KNOWN = ["de", "en", "es", "fr", "it", "nl", "pl", "pt", "ru"]
 
 BULLET = re.compile(r"(?:[-*+•·–—‣▪◦●○>»o]|\(?\d{1,3}[.):]|\(?[a-zA-Z][.)]|\([ivx]+\)|[ivx]+[.)])\s+\S")
@@ -61,7 +69,9 @@ CELLS = re.compile(r"</?(?:tr|td|th|table|tbody|thead)\b", re.I)
 RULE = re.compile(r"[-=|+:_*#~.\s]+$")
 PAIR = re.compile(r"[^:.!?]{2,40}:\s+\S")
 ENDED = re.compile(r"[.!?…。！？؟।;:][\"'”’»)\]*]*$")
-REFERENCE = re.compile(r"\[\d{1,4}\]\s|.*\(\d{4}[a-z]?\)[.,:].*\d\s*[-–]\s*\d+\.?$")
+NUMBERED = re.compile(r"\[\d{1,4}\]\s")
+YEAR = re.compile(r"\(\d{4}[a-z]?\)[.,:]")
+PAGES = re.compile(r"\d\s*[-–]\s*\d+\.?$")
 LETTERS = regex.compile(r"\p{L}")
 SYMBOLS = re.compile(r"[\W_]")
 DIGITS = re.compile(r"\d")
@@ -69,6 +79,16 @@ BROKEN = regex.compile(r"\p{L}+[\d|~^_=<>{}\[\]\;!,.0]+\p{L}|\p{L}+\d+|\d+\p{L}+
 STRIP = ".,;:!?()[]{}\"'“”‘’«»…*_#`"
 
 
+def is_reference(line: str) -> bool:
+    """Whether a line is an entry of a bibliography: numbered in brackets, or a year in brackets and pages at its end."""
+    if line[0] == "[" and NUMBERED.match(line):
+        return True
+    if not (line[-1:].isdigit() or line[-2:-1].isdigit()):
+        return False
+    year, pages = YEAR.search(line), PAGES.search(line)
+    return bool(year and pages and year.end() <= pages.start())
+
+
 def structure(line: str) -> str:
     """t for a line of a table, l of a list, n for no words, empty for anything that may be prose."""
     if not line.isascii() or not line.isalpha():
@@ -82,7 +102,7 @@ def structure(line: str) -> str:
             if len(COLUMNS.findall(line)) >= (1 if "\t" in line else 2):
                 return "t"
         if ".." in line or "__" in line or "--" in line or ". . " in line:
-            if len(line) < 160 and LEADERS.search(line):
+            if LEADERS.search(line):
                 return "l"
         if RULE.match(line):
             return "n"
@@ -123,7 +143,7 @@ def _prose(words: list[str], text: str, lines: int) -> bool:
     if common >= 0.1 * n and (ended or n >= 12):
         return True
     long = n >= 25 and n / lines >= 6 and common >= 0.03 * n
-    return (ended and n >= 7 or long) and len(set(lower)) > 0.5 * min(n, 200) and sum(sizes) < 13 * n and sum(lettered) > 0.75 * n
+    return (ended and n >= 7 or long) and len(set(lower)) > min(0.5 * n, n**0.87) and sum(sizes) < 13 * n and sum(lettered) > 0.75 * n
 
 
 def other_characters(lines: list[str], repeats: Counter) -> int:
@@ -150,13 +170,13 @@ def other_characters(lines: list[str], repeats: Counter) -> int:
             other += close()
             run = []
             continue
-        if repeats[line] >= 3 and len(line) < 400:
+        if repeats[line] >= 3:
             kind = "r"
         else:
-            kind = "l" if len(line) < 2000 and (line[0] == "[" or line[-1:].isdigit() or line[-2:-1].isdigit()) and REFERENCE.match(line) else structure(line)
+            kind = "l" if is_reference(line) else structure(line)
             if not kind:
                 marked = BULLET.match(line)
-                if marked or PAIR.match(line) and len(line) < 70:
+                if marked or PAIR.match(line) and not ENDED.search(line):
                     body = line[marked.end() - 1 :] if marked else line
                     words = body.split()
                     if len(words) < 9 and not (len(words) > 5 and ENDED.search(body)) or not _prose(words, body, 1):
@@ -186,6 +206,7 @@ def statistics(text: str) -> tuple[int, ...] | None:
     n = len(words)
     compact = "".join(words)
     info = list(map(WORDS.__getitem__, words))
+    distinct = len({w[0] for w in info})
     share = lambda a, b: round(1000 * a / b) if b else 0
     return (
         share(other_characters(lines, repeats), size),
@@ -194,9 +215,9 @@ def statistics(text: str) -> tuple[int, ...] | None:
         share(sum(1 for x in full if ENDED.search(x)), len(full)),
         share(sum(w[1] for w in info), n),
         share(sum(len(x) * c for x, c in repeats.items() if c > 1), size),
-        min(1000, round(100 * math.log2(1 + n / len(full)))),
-        min(1000, round(10 * len(compact) / n)),
-        share(min(len({w[0] for w in info}), 1000), min(n, 1000)),
+        round(100 * math.log2(1 + n / len(full))),
+        round(100 * math.log2(1 + len(compact) / n)),
+        share(math.log(distinct), math.log(n)) if n > 1 else 1000,
         n,
     )
 
@@ -219,35 +240,89 @@ def document_statistics(documents: DataFrame, key: str = "doc_id", text: str = "
 
 
 def tail_scores(stats: DataFrame) -> DataFrame:
-    """(lang, statistic, value, tail, score): exact empirical tail probabilities of every value."""
+    """(lang, statistic, value, against, with_): minus the logarithms of both exact empirical tails of every value.
+
+    ``against`` is the tail on the side that speaks against prose. ``lang`` is a
+    language, or ALL for all documents together.
+    """
     pairs = F.explode(F.array(*(F.struct(F.lit(s).alias("statistic"), F.col(s).alias("value")) for s in STATISTICS)))
-    counted = stats.select("lang", pairs.alias("p")).groupBy("lang", "p.statistic", "p.value").agg(F.count(F.lit(1)).alias("n"))
-    ranged = written(counted.repartitionByRange("statistic", "lang", "value").sortWithinPartitions("statistic", "lang", "value").withColumn("part", F.spark_partition_id()), "ranged")
+    own = stats.select("lang", pairs.alias("p")).groupBy("lang", "p.statistic", "p.value").agg(F.count(F.lit(1)).alias("n"))
+    both = own.select(F.explode(F.array("lang", F.lit(ALL))).alias("lang"), "statistic", "value", "n").groupBy("lang", "statistic", "value").agg(F.sum("n").alias("n"))
+    order = ["lang", "statistic", "value"]
+    ranged = written(both.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "ranged")
     totals = ranged.groupBy("part", "statistic", "lang").agg(F.sum("n").alias("within"))
     group = Window.partitionBy("statistic", "lang")
     offsets = totals.select("part", "statistic", "lang", (F.sum("within").over(group.orderBy("part")) - F.col("within")).alias("offset"), F.sum("within").over(group).alias("total"))
     running = F.sum("n").over(Window.partitionBy("part", "statistic", "lang").orderBy("value"))
     ranked = ranged.withColumn("upto", running).join(offsets, ["part", "statistic", "lang"]).withColumn("upto", F.col("upto") + F.col("offset"))
-    left, right = F.col("upto") / F.col("total"), (F.col("total") - F.col("upto") + F.col("n")) / F.col("total")
-    side = F.create_map(*(x for s, d in STATISTICS.items() for x in (F.lit(s), F.lit(d))))[F.col("statistic")]
-    tail = F.when(side > 0, right).otherwise(left)
-    return ranked.select("lang", "statistic", "value", tail.alias("tail"), (-F.log(tail)).alias("score"))
+    left, right = -F.log(F.col("upto") / F.col("total")), -F.log((F.col("total") - F.col("upto") + F.col("n")) / F.col("total"))
+    large = F.create_map(*(x for s, d in STATISTICS.items() for x in (F.lit(s), F.lit(d))))[F.col("statistic")] > 0
+    return ranked.select("lang", "statistic", "value", F.when(large, right).otherwise(left).alias("against"), F.when(large, left).otherwise(right).alias("with_"))
+
+
+def tails_of(stats: DataFrame) -> DataFrame:
+    """``stats`` with ``tails``: within the language, then over all documents, of each statistic both tail scores."""
+
+    def by_value(name: str):
+        known = F.map_from_entries(F.collect_list(F.when(F.col("statistic") == name, F.struct("value", F.array("against", "with_")))))
+        return known.alias(f"m_{name}")
+
+    maps = tail_scores(stats).groupBy("lang").agg(*map(by_value, STATISTICS))
+
+    def dense_of(name: str):  # looked up by position: an array over the values from zero on
+        known = F.col(f"m_{name}")
+        return F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys(known))), lambda v: known[v]).alias(f"t_{name}")
+
+    dense = maps.select("lang", *map(dense_of, STATISTICS))
+    whole = F.broadcast(dense.where(F.col("lang") == ALL).select(*(F.col(f"t_{s}").alias(f"a_{s}") for s in STATISTICS)))
+    tables = F.broadcast(dense.where(F.col("lang") != ALL).join(whole))  # one row on the right; at most languages x statistics x 4,001 values
+    tails = F.concat(*(F.get(F.col(f"{t}_{s}"), F.col(s)) for t in "ta" for s in STATISTICS))
+    return stats.join(tables, "lang").select(*stats.columns, tails.alias("tails"))
+
+
+def score_of(weights) -> Column:
+    return F.aggregate(F.zip_with("tails", F.array(*(F.lit(float(w)) for w in weights[:-1])), lambda x, w: x * w), F.lit(float(weights[-1])), lambda s, x: s + x)
+
+
+def outlier_scores(stats: DataFrame, weights=None) -> DataFrame:
+    """``stats`` with ``outlier_score``, the sum of the weighted tail scores less the cut; PRIOR unless ``weights`` are given."""
+    return tails_of(stats).select(*stats.columns, score_of(PRIOR if weights is None else weights).alias("outlier_score"))
+
+
+def fitted(tails: np.ndarray, share: np.ndarray, ridge: float, rounds: int = 100) -> np.ndarray:
+    """Weights of the tail scores and the cut, by a logistic regression with a ridge around PRIOR (Newton steps, halved until they help)."""
+    x = np.hstack([tails, np.ones((len(tails), 1))])
+    prior = np.array(PRIOR)
+    w = prior.copy()
+
+    def loss(w):
+        z = x @ w
+        return np.sum(np.logaddexp(0, z) - share * z) + ridge / 2 * np.sum((w - prior) ** 2)
 
+    if len(x) == 0 or share.min() == share.max():
+        return w
+    now = loss(w)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge * np.eye(len(w)), x.T @ (p - share) + ridge * (w - prior))
+        while (then := loss(w - step)) > now and np.abs(step).max() > 1e-12:
+            step = step / 2
+        w, done, now = w - step, now - then < 1e-9, then
+        if done:
+            break
+    return w
 
-def outlier_scores(stats: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``stats`` with ``outlier_score``, the sum over the statistics of the tail scores."""
-    tails = tail_scores(stats).groupBy("lang").agg(*(F.map_from_entries(F.collect_list(F.when(F.col("statistic") == s, F.struct("value", "score")))).alias(f"m_{s}") for s in STATISTICS))
-    joined = stats.join(F.broadcast(tails), "lang", "left")  # at most languages x statistics x 1001 values
-    score = sum((F.coalesce(F.col(f"m_{s}")[F.col(s)], F.lit(0.0)) for s in STATISTICS), F.lit(0.0))
-    return joined.select(*stats.columns, score.alias("outlier_score"))
 
+def not_prose(documents: DataFrame, labels: DataFrame | None, key: str = "doc_id", ridge: float = 0.05, label_bound: int = 20_000) -> DataFrame:
+    """(key) of the documents whose outlier score is over the cut.
 
-def not_prose(documents: DataFrame, labels: DataFrame | None, key: str = "doc_id", share: int = 500, deviations: float = 4.0, least_labels: int = 30) -> DataFrame:
-    """(key) of the documents over half of whose characters are no running sentences."""
-    scored = written(outlier_scores(written(document_statistics(documents, key), "statistics"), key), "scores")
-    cut = 0.0
+    ``label_bound``: labelled documents that the weights are fitted on, at most.
+    """
+    scored = written(tails_of(written(document_statistics(documents, key), "statistics")), "tails")
+    weights = np.array(PRIOR)
     if labels is not None:
-        other = labels.where(F.col("kind") != "prose").select(key).distinct()
-        mean, spread, n = scored.join(other, key, "left_semi").agg(F.avg("outlier_score"), F.stddev_pop("outlier_score"), F.count(F.lit(1))).first()
-        cut = mean - deviations * spread if n >= least_labels else 0.0
-    return scored.where((F.col("outlier_score") >= cut) & (F.col("other_share") > share)).select(key).distinct()
+        shares = labels.where(F.col("kind").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.avg((F.col("kind") != "prose").cast("double")).alias("share"))
+        known = scored.select(key, "tails").join(shares, key).orderBy(F.xxhash64(key), key).limit(label_bound).collect()
+        if known:
+            weights = fitted(np.array([r.tails for r in known]), np.array([r.share for r in known]), ridge)
+    return scored.where(score_of(weights) > 0).select(key).distinct()

@@ -15,6 +15,8 @@ from tesselar.llm import p06_names as P6
 from tesselar.llm import p10_quality as P10
 from tests.conftest import SMALL
 
+LARGE = SMALL.replace("sf0.001", "sf0.1")
+
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
@@ -208,19 +210,66 @@ def test_no_prose(text):
 
 def test_ranks_are_exact(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    rows = P10.outlier_scores(P10.document_statistics(docs)).toPandas()
-    for _, group in rows.groupby("lang"):
-        total = np.zeros(len(group))
-        for name, side in P10.STATISTICS.items():
-            v = group[name].to_numpy()
-            total -= np.log([np.mean(v >= x) if side > 0 else np.mean(v <= x) for x in v])
-        assert np.allclose(total, group.outlier_score)
+    rows = P10.tails_of(P10.document_statistics(docs)).toPandas()
+    tails = np.stack(rows.tails).reshape(len(rows), 2, len(P10.STATISTICS), 2)
+    for which, groups in ((0, rows.groupby("lang").groups.values()), (1, [rows.index])):
+        for at in groups:
+            for i, (name, side) in enumerate(P10.STATISTICS.items()):
+                v = side * rows[name].to_numpy()[at]
+                assert np.allclose(tails[at, which, i, 0], -np.log([np.mean(v >= x) for x in v]))
+                assert np.allclose(tails[at, which, i, 1], -np.log([np.mean(v <= x) for x in v]))
 
 
 def test_quality_table(spark):
-    rows = [(1, PROSE, "en"), (2, "- a\n- b\n- c\n- d", "en"), (3, None, "en"), (4, "", None), (5, "  \n ", "xx"), (6, "x | y | z\n" * 30000, "de"), (2, "- a\n- b\n- c\n- d", "en"), (7, "solo", None)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").selectExpr("*", "'w' AS words", "1 AS value")
-    labels = spark.createDataFrame([(2, "list", "x"), (1, "prose", "x")], "doc_id bigint, kind string, annotator string")
-    assert {r.doc_id for r in P10.not_prose(df, labels).collect()} == {2, 6, 7}
-    assert {r.doc_id for r in P10.not_prose(df, labels.limit(0)).collect()} == {2, 6, 7} == {r.doc_id for r in P10.not_prose(df, None).collect()}
+    rows = [(i, f"{PROSE} {i}", "en") for i in range(100, 140)] + [(i, f"- a{i}\n- b\n- c\n- d", "en") for i in range(200, 212)]
+    rows += [(3, None, "en"), (4, "", None), (5, "  \n ", "xx"), (6, "x | y | z\n" * 30000, "de"), (200, rows[40][1], "en"), (None, PROSE, "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").selectExpr("*", "'w' AS words", "1 AS value", "'t' AS tails")
+    labels = spark.createDataFrame([(201, "list", "x"), (202, "list", "x"), (203, "table", None), (203, "list", "y"), (101, "prose", "x"), (102, "prose", "x"), (103, None, "x"), (None, "list", "x"), (9, "junk", "x")], "doc_id bigint, kind string, annotator string")
+    expected = {6, *range(200, 212)}
+    assert {r.doc_id for r in P10.not_prose(df, labels).collect()} == expected
+    assert P10.not_prose(df, labels.limit(0)).count() == P10.not_prose(df, None).count()
     assert P10.not_prose(df.limit(0), labels).count() == 0
+
+
+@pytest.fixture(scope="module")
+def quality(spark):
+    """(tails, label or nan) of all documents of the larger tables."""
+    rows = P10.tails_of(P10.document_statistics(spark.read.parquet(f"{LARGE}/documents.parquet"))).toPandas()
+    labels = spark.read.parquet(f"{LARGE}/quality_labels.parquet").toPandas()
+    labels = labels[labels.kind.notna()].groupby("doc_id").kind.agg(lambda k: (k != "prose").mean())
+    return rows, np.stack(rows.tails), rows.doc_id.map(labels).to_numpy()
+
+
+def test_outlier_score_on_labels_held_out(quality):
+    _, tails, label = quality
+    known = np.flatnonzero(~np.isnan(label))
+    x = np.hstack([tails, np.ones((len(tails), 1))])
+    right = []
+    for fold in range(2):
+        w = P10.fitted(tails[known[fold::2]], label[known[fold::2]], 0.05)
+        right += ((x @ w > 0) == (label > 0.5))[known[1 - fold :: 2]].tolist()
+    assert np.mean(right) >= 0.98
+
+
+def test_the_score_decides(quality):
+    rows, tails, label = quality
+    known = ~np.isnan(label)
+    w = P10.fitted(tails[known], label[known], 0.05)
+    with_score = np.hstack([tails, np.ones((len(tails), 1))]) @ w > 0
+    assert 0 < with_score.sum() < 0.3 * len(rows)  # without it all documents would be found
+    blind = tails.copy()
+    blind[:, [0, 1, 18, 19]] = 0  # nor does the share of running text decide alone: the other statistics move rows
+    without = np.hstack([blind, np.ones((len(tails), 1))]) @ P10.fitted(blind[known], label[known], 0.05) > 0
+    only = tails.copy()
+    only[:, [i for i in range(36) if i not in (0, 1, 18, 19)]] = 0
+    alone = np.hstack([only, np.ones((len(tails), 1))]) @ P10.fitted(only[known], label[known], 0.05) > 0
+    assert (without & with_score).sum() > 0.9 * with_score.sum() and (alone != with_score).any()
+
+
+def test_long_lines_count_like_short_ones():
+    sentence = PROSE + " "
+    assert P10.statistics(sentence * 200)[0] <= 500
+    assert P10.statistics("\n".join(f"{'Long title of a chapter ' * 20}.......... {i}" for i in range(4)))[0] > 500
+    assert P10.is_reference("Doe, A. and others " * 200 + "(2001). On the law. J. Law Stud., 3, 1-9")
+    words = " ".join(f"w{i}" for i in range(3000))
+    assert P10.statistics(words)[8] > P10.statistics(words.replace("w1", "w2"))[8]  # beyond a thousand words too
