@@ -1,6 +1,10 @@
 """Problems 1, 5, 7, 8, 9: text operators on hand-made cases."""
 
 import base64
+import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -195,5 +199,50 @@ def test_leaks(spark):
     assert {(r.doc_id, r.item_id) for r in found} == {(1, 7), (1, 10), (5, 7), (5, 10), (6, 7), (6, 10)}
     hit = next(r for r in found if r.doc_id == 1 and r.item_id == 7 and r.windows == 1)
     assert docs[0][1][hit.start : hit.end] == docs[0][1][8 : len(docs[0][1]) - 5]
-    assert {(r.doc_id, r.item_id) for r in P9.leaks(d, i, block_words=10).collect()} == {(r.doc_id, r.item_id) for r in found}
     assert P9.leaks(d, i.limit(0)).count() == 0 and P9.leaks(d.limit(0), i).count() == 0
+    with pytest.raises(ValueError, match="words"):
+        P9.leaks(d, i, most_words=10)
+
+
+@pytest.mark.parametrize("width", [1, 2, 5, 13])
+def test_runs_against_brute_force(width):
+    rng = random.Random(width)
+    word = lambda: rng.choice("abcd")
+    items = [(k, " ".join(word() for _ in range(rng.randrange(30)))) for k in range(6)]
+    scanner = P9.LeakScanner(items, width)
+    for _ in range(60):
+        text = "! ".join(word().upper() for _ in range(rng.randrange(60)))
+        if rng.random() < 0.5:
+            text += " " + items[rng.randrange(6)][1]
+        own = text.lower().replace("!", "").split()
+        expected = {}
+        for k, item in items:
+            w = item.split()
+            pairs = [(i, j) for i in range(len(own) - width + 1) for j in range(len(w) - width + 1) if own[i : i + width] == w[j : j + width]]
+            if pairs:
+                expected[k] = len({p for _, j in pairs for p in range(j, j + width)}) / len(w), len(pairs)
+        assert {k: (share, n) for k, share, n, _, _ in scanner.scan(text)} == expected
+
+
+def test_offsets_where_lower_case_is_longer():
+    scanner = P9.LeakScanner([(1, ITEM)], 13)
+    text = "İİİ STRAẞE İ " + ITEM.upper() + " İ"
+    ((_, share, _, start, end),) = scanner.scan(text)
+    assert share == 1 and text[start:end] == ITEM.upper()
+
+
+def test_memory_of_many_items():
+    """Two million words of items stay under 500 MB in a worker."""
+    code = """
+import random, resource
+from tesselar.llm.p09_leaks import LeakScanner
+rng = random.Random(1)
+vocabulary = ["w%d" % i for i in range(60000)]
+items = [(i, " ".join(rng.choices(vocabulary, k=100))) for i in range(20000)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+s = LeakScanner(items, 13)
+assert [h[0] for h in s.scan("before " + items[777][1][40:] + " after")] == [777]
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).resolve().parents[2])
+    assert float(out.stdout) < 500
