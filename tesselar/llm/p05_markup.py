@@ -1,18 +1,22 @@
 """Problem 5: markup residue in texts.
 
 Minimum-cut labelling. The lines of a text are the nodes of a graph, one graph
-for each kind of markup. What a line shows of the kind gives its terminal
-capacities: a construct that nothing else looks like (a tag, ``[[link]]``,
-``\\\\section{``) a large one, a look-alike (a plain bullet, a row between bars, a
-loose backslash) a small one that is not enough by itself. Neighbouring lines,
-and lines at the same depth of the same element or list, are joined by
-smoothness edges. Max-flow then separates lines in that markup from plain ones:
-look-alikes count next to true markup and nowhere else. In lines of HTML a
-second cut separates content from boilerplate (scripts, menus, link lists).
-
-Lines so labelled are converted: headings become ``#`` lines, items ``-`` lines,
-code blocks fenced, table rows cells between bars, formulas stay between dollar
-signs. The content of code blocks is never looked at and comes out as it was.
+for each kind of markup. A classifier (``markup_lines``: a logistic regression on
+what a line shows, fitted on labelled lines made by a rule) gives each line its
+probability of being in that markup; minus the logarithms of it and of its
+complement are the terminal capacities. Neighbouring lines, and lines that open
+alike at the same depth of an element or list, are joined by smoothness edges.
+Max-flow then separates lines in that markup from plain ones: lines that might
+be either go with the lines around them, so a single look-alike among plain
+lines is plain, and one inside a block of markup belongs to it. The kinds found
+are those with a line on their side of the cut. In lines of HTML a second cut
+separates content from boilerplate (scripts, menus, link lists).
+
+Lines so labelled are converted: headings become ``#`` lines, items ``-`` lines
+indented by their depth, code blocks fenced, table rows cells between bars (rows
+whose cells stand on several lines are joined first), formulas stay between
+dollar signs, those of several lines between double ones. The content of code
+blocks is never looked at and comes out as it was.
 
 Defined results: null texts give a null text, no markup and no fixes; empty and
 plain texts come out as they are; unclosed and crossed tags are tolerated;
@@ -22,31 +26,19 @@ repeated rows give repeated rows; extra columns are ignored.
 from __future__ import annotations
 
 import html
+import math
 import re
-from html.entities import html5
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesselar.llm.markup_lines import COMMENT, ENTITY, FORMULA, INSIDE, KINDS, MARKS, SETEXT, TAG, TAGS, Costs, features, fitted_costs
 from tesselar.llm.mincut import min_cut_labels
 
-KINDS = ["html", "markdown", "wiki", "latex"]
-TAGS = "a|abbr|article|aside|b|blockquote|body|br|caption|center|cite|code|dd|del|details|div|dl|dt|em|figure|figcaption|font|footer|form|h[1-6]|head|header|hr|html|i|iframe|img|input|ins|kbd|label|li|link|main|mark|meta|nav|noscript|ol|option|p|pre|q|s|script|section|select|small|span|strike|strong|style|sub|summary|sup|table|tbody|td|textarea|tfoot|th|thead|title|tr|tt|u|ul|var"
-TAG = re.compile(rf"</?(?:{TAGS})(?:[\s/][^<>]*)?>", re.I)
-OPEN_TAG = re.compile(rf"<(?:{TAGS})(?:\s+[\w:-]+\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'))+", re.I)
-COMMENT = re.compile(r"<!--.*?(?:-->|$)|<!--|-->|<!DOCTYPE[^>]*>", re.I)
-ENTITY = re.compile(r"&(?:([A-Za-z][A-Za-z0-9]{1,31})|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});")
-FORMULA = re.compile(r"\$\$[^$]+\$\$|(?<![\w$\\])\$(?=[^\s$])[^$\n]*[^\s$\\]\$(?![\w$])|(?<![\w$\\])\$[^\s$]\$(?![\w$])")
-LATEX_STRONG = re.compile(r"(?<![A-Za-z0-9:\\])\\[A-Za-z]+\*?\s*(?:\[[^\]\n]*\])?\{|(?<![A-Za-z0-9:])\\(?:begin|end|item|section|maketitle|noindent|newpage|leq|geq|frac|alpha|beta|sum|int|cdot|times|infty|par|medskip|bigskip|hline|toprule|midrule|bottomrule|centering|ldots|dots|LaTeX|TeX)\b|(?<!\\)\\[\[\]()](?:\s|$)|(?:^|\s)\\[\[(]")
-LATEX_WEAK = re.compile(r"\\\\\s*$|\w~\\|[^\\]&[^\\]*\\\\|^\s*[^&]+ & [^&]+$|[_^]\{")
-MARKDOWN_STRONG = re.compile(r"^\s{0,3}#{1,6}\s+\S|^\s*(?:```|~~~)|!\[[^\]\n]*\]\([^)\n]*\)|\[[^\[\]\n]+\]\([^()\s]+(?:\s+\"[^\"]*\")?\)|\*\*(?=\S)[^*\n]+?\*\*|(?<![\w_])__(?=\S)[^_\n]+?__(?![\w_])|(?<!`)`[^`\n]+`(?!`)|^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?\s*$|^\s*[-*+]\s+\[[ xX]\]\s|~~(?=\S)[^~\n]+?~~|^\s{0,3}>\s+\S")
-MARKDOWN_WEAK = re.compile(r"^\s*[-*+]\s+\S|^\s*\d+[.)]\s+\S|(?<![\w*])\*[^\s*][^*\n]*\*(?![\w*])|(?<!\w)_[^\s_][^_\n]*_(?!\w)|^\s*\|.*\|\s*$|^\s*(?:-{3,}|\*{3,})\s*$")
-WIKI_STRONG = re.compile(r"\[\[[^\[\]\n]+\]\]|\{\{[^\n]{0,4000}?\}\}|\{\{\s*\w|'''?(?=[^\s'])[^'\n]+?'''?|^\s*(={2,6})\s*[^=\n].*?\1\s*$|^\s*\{\||^\s*\|\}\s*$|^\s*\|-+\s*$")
-WIKI_WEAK = re.compile(r"^\s*[*#:;]+\s*\S|^\s*[|!]\s*\S|\|\||^\s*----+\s*$")
-SETEXT = re.compile(r"^\s{0,3}(?:-{3,}|={3,})\s*$")
 CODE = re.compile(
     r"(?P<fence>^[ \t]*(?:```|~~~)[^\n]*\n.*?(?:^[ \t]*(?:```|~~~)[ \t]*$|\Z))"
     r"|(?P<pre><pre\b[^>]*>.*?(?:</pre\s*>|\Z))|(?P<escaped>&lt;pre\b.*?&gt;.*?(?:&lt;/pre\s*&gt;|\Z))"
+    r"|(?P<math>\\begin\{(?P<environment>equation|align|gather|multline|eqnarray|displaymath)(?P<star>\*?)\}.*?\\end\{(?P=environment)(?P=star)\}|\\\[[^\n]*\n.*?\\\]|\$\$[^$\n]*\n[^$]*\$\$)"
     r"|(?P<verbatim>\\begin\{(?:verbatim|lstlisting|minted)\}.*?(?:\\end\{(?:verbatim|lstlisting|minted)\}|\Z))"
     r"|(?P<inline>(?<!`)`[^`\n]+`(?!`))",
     re.S | re.M | re.I,
@@ -55,45 +47,8 @@ LINK = re.compile(r"\[[^\[\]\n]+\]\([^()\s]+\)")
 COMMAND = re.compile(r"\\[A-Za-z]+\*?\{[^{}\n]*\}")
 HIDE, SHOW = "\ue000", "\ue001"
 HIDDEN = re.compile(HIDE + r"(\d+)" + SHOW)
-STRONG, WEAK, BASE, SMOOTH, DEPTH = 10.0, 0.45, 1.0, 0.3, 0.15
-
-
-def _entities(line: str) -> int:
-    return sum(1 for m in ENTITY.finditer(line) if m.group(1) is None or m.group(1) + ";" in html5)
-
-
-def evidence(line: str, previous: str, inside: str) -> dict[str, tuple[int, int]]:
-    """{kind: (strong signs, weak signs)} of a line; ``inside`` is the kind of code block that it opens, if any."""
-    out = {}
-    if "<" in line or "&" in line or "-->" in line:
-        n = len(TAG.findall(line)) + len(OPEN_TAG.findall(line)) + len(COMMENT.findall(line)) + _entities(line)
-        if n:
-            out["html"] = (n, 0)
-    if inside in ("pre", "escaped"):
-        strong, weak = out.get("html", (0, 0))
-        out["html"] = (strong + 1, weak)
-    strong, weak = len(MARKDOWN_STRONG.findall(line)) + (inside in ("fence", "inline")), len(MARKDOWN_WEAK.findall(line))
-    if SETEXT.match(line) and previous.strip() and len(previous) < 100 and not previous.lstrip().startswith(("|", "-", "*", "=")) and "  " not in previous.strip():
-        strong += 1
-    if strong or weak:
-        out["markdown"] = (strong, weak)
-    if "[[" in line or "{{" in line or "''" in line or line.lstrip()[:1] in ("=", "{", "|", "*", "#", ":", ";", "!") or "||" in line:
-        strong, weak = len(WIKI_STRONG.findall(line)), len(WIKI_WEAK.findall(line))
-        if strong or weak:
-            out["wiki"] = (strong, weak)
-    strong, weak = 0, 0
-    if "\\" in line:
-        strong += len(LATEX_STRONG.findall(line)) + (inside == "verbatim")
-        weak += 1
-    if "$" in line:
-        strong += len(FORMULA.findall(line))
-    if "&" in line or "~" in line or "{" in line:
-        weak += len(LATEX_WEAK.findall(line))
-    if inside == "verbatim":
-        strong += 1
-    if strong or weak:
-        out["latex"] = (strong, weak)
-    return out
+ROW = re.compile(r"<tr\b(?:(?!</tr|<tr\b).)*</tr\s*>", re.S | re.I)
+PLACE = re.compile(r"\s*(?:<\w+|[-*#|+>&]|\\\w+|\d+[.)])?")
 
 
 class Blocks:
@@ -103,12 +58,16 @@ class Blocks:
         self.code: list[tuple[str, str]] = []
 
         def hide(m: re.Match) -> str:
-            self.code.append((m.lastgroup, m.group(0)))
+            kind = next(k for k in INSIDE if m.group(k) is not None)
+            self.code.append((kind, m.group(0)))
             return f"{HIDE}{len(self.code) - 1}{SHOW}"
 
         text = text.replace(HIDE, "").replace(SHOW, "")
         self.lines: list[str] = []
-        for line in CODE.sub(hide, text).split("\n"):
+        text = CODE.sub(hide, text)
+        if "<tr" in text or "<TR" in text:  # a table's row is one line
+            text = ROW.sub(lambda m: re.sub(r"\s*\n\s*", " ", m.group(0)), text)
+        for line in text.split("\n"):
             if self.lines and line.strip() and self._goes_on(self.lines[-1], line):
                 self.lines[-1] += " " + line.lstrip()
             else:
@@ -138,36 +97,42 @@ class Blocks:
         if HIDE not in line:
             return ""
         kinds = {self.code[int(n)][0] for n in HIDDEN.findall(line)}
-        return next((k for k in ("fence", "pre", "escaped", "verbatim", "inline") if k in kinds), "")
+        return next((k for k in INSIDE if k in kinds), "")
 
 
-def label_lines(blocks: Blocks) -> dict[str, list[bool]]:
-    """{kind: which lines are in that markup}, kinds that no line shows left out."""
-    lines = blocks.lines
-    if not any(c in line for line in lines for c in "<>&#*`|[{\\$'=~_-" + HIDE):
-        return {}
-    signs = [evidence(line, lines[i - 1] if i else "", blocks.inside(line)) if line.strip() else {} for i, line in enumerate(lines)]
+def label_lines(lines: list[str], shown: list[dict[int, float]], costs: Costs) -> dict[str, list[bool]]:
+    """{kind: which lines are in that markup}, kinds without a line left out; ``shown``: the lines' features."""
     full = [i for i, line in enumerate(lines) if line.strip()]
+    edges = None
     out = {}
-    for kind in KINDS:
-        if not any(s.get(kind, (0, 0))[0] for s in signs):
-            continue  # without a strong sign every line's cheapest label is plain
-        off = [STRONG * min(s.get(kind, (0, 0))[0], 3) + WEAK * min(s.get(kind, (0, 0))[1], 2) for s in signs]
-        on = [0.0 if s.get(kind, (0, 0))[0] else BASE for s in signs]
-        edges = [(a, b, SMOOTH) for a, b in zip(full, full[1:])]
-        last: dict[str, int] = {}
-        for i in full:  # lines that open alike at one depth: items of a list, rows of a table, siblings
-            place = re.match(r"\s*(?:<\w+|[-*#|+>&]|\\\w+|\d+[.)])?", lines[i]).group(0)
-            if place.strip():
-                if place in last:
-                    edges.append((last[place], i, DEPTH))
-                last[place] = i
+    for kind, margins in zip(KINDS, costs.margins(shown)):
+        if all(margins[i] <= 0 for i in full):
+            continue  # every line is cheaper off, and edges cost nothing then: this is the least cut
+        if edges is None:
+            edges, last = [(a, b, costs.smooth) for a, b in zip(full, full[1:])], {}
+            for i in full:  # lines that open alike at one depth: items of a list, rows of a table, siblings
+                place = PLACE.match(lines[i]).group(0)
+                if place.strip():
+                    if place in last and last[place] != i - 1:
+                        edges.append((last[place], i, costs.smooth / 2))
+                    last[place] = i
+        at = [min(max(m, -30.0), 30.0) for m in margins]
+        off = [math.log1p(math.exp(m)) if lines[i].strip() else 0.0 for i, m in enumerate(at)]
+        on = [math.log1p(math.exp(-m)) if lines[i].strip() else 1.0 for i, m in enumerate(at)]
         labels = min_cut_labels(off, on, edges)
         if any(labels):
             out[kind] = labels
     return out
 
 
+def labels_of(blocks: Blocks, costs: Costs | None = None) -> dict[str, list[bool]]:
+    lines = blocks.lines
+    if not any(MARKS.search(line) or HIDE in line for line in lines):
+        return {}
+    shown = [features(line, lines[i - 1] if i else "", blocks.inside(line)) if line.strip() else {} for i, line in enumerate(lines)]
+    return label_lines(lines, shown, costs or fitted_costs())
+
+
 def boilerplate(lines: list[str], marked: list[bool]) -> list[bool]:
     """Which lines are boilerplate, by a cut over text length, link density and the elements around."""
     off, on, depths, depth, hidden = [], [], [], 0, ""
@@ -195,6 +160,8 @@ def boilerplate(lines: list[str], marked: list[bool]) -> list[bool]:
 
 
 class Fixes(dict):
+    depth = 0  # of the list that the conversion is in
+
     def sub(self, name: str, pattern: str | re.Pattern, to, text: str, flags: int = 0) -> str:
         text, n = re.subn(pattern, to, text, flags=flags) if isinstance(pattern, str) else pattern.subn(to, text)
         if n:
@@ -208,8 +175,15 @@ def from_html(line: str, fixes: Fixes) -> str:
     line = fixes.sub("html_comments_removed", COMMENT, "", line)
     line = re.sub(r"<(script|style)\b.*?</\1\s*>", "", line, flags=re.I | re.S)
     line = re.sub(r"<h([1-6])\b[^>]*>", lambda m: "\n" + "#" * int(m.group(1)) + " ", line, flags=re.I)
-    line = re.sub(r"<li\b[^>]*>", "\n- ", line, flags=re.I)
-    line = re.sub(r"<tr\b[^>]*>", "\n| ", line, flags=re.I)
+
+    def listed(m: re.Match) -> str:
+        if m.group(2).lower() == "li":
+            return "" if m.group(1) else "\n" + "  " * max(0, fixes.depth - 1) + "- "
+        fixes.depth = max(0, fixes.depth + (-1 if m.group(1) else 1))
+        return m.group(0)
+
+    line = re.sub(r"<(/?)(ul|ol|li)\b[^>]*>", listed, line, flags=re.I)
+    line = re.sub(r"<tr\b[^>]*>\s*", "\n| ", line, flags=re.I)
     line = re.sub(r"</t[dh]\s*>\s*(?=<t[dh])", " | ", line, flags=re.I)
     line = re.sub(r"</t[dh]\s*>", " |", line, flags=re.I)
     line = re.sub(r"<sup\b[^>]*>(.*?)</sup\s*>", r"^\1", line, flags=re.I)
@@ -243,7 +217,7 @@ def from_wiki(line: str, fixes: Fixes) -> str:
     line = fixes.sub("wiki_tables_converted", r"^\s*(?:\{\|.*|\|\}|\|-+)\s*$", "", line)
     if "||" in line:
         line = "| " + " | ".join(c.strip() for c in re.sub(r"^\s*[|!]", "", line).split("||")) + " |"
-    return re.sub(r"^\s*\*+\s*(?=\S)", "- ", line)
+    return re.sub(r"^\s*(\*+)\s*(?=\S)", lambda m: "  " * (len(m.group(1)) - 1) + "- ", line)
 
 
 def from_latex(line: str, fixes: Fixes) -> str:
@@ -256,7 +230,9 @@ def from_latex(line: str, fixes: Fixes) -> str:
     line = re.sub(r"\\\[\s*(.*?)\s*\\\]|\\\(\s*(.*?)\s*\\\)", lambda m: f"${m.group(1) or m.group(2)}$", line)
     line = FORMULA.sub(keep, line)
     line = fixes.sub("latex_headings_converted", r"\\(chapter|section|subsection|subsubsection|paragraph)\*?\{([^{}]*)\}", lambda m: "#" * (1 + m.group(1).count("sub")) + " " + m.group(2), line)
-    line = fixes.sub("latex_items_converted", r"^\s*\\item(?:\[[^\]]*\])?\s*", "- ", line)
+    nested = len(re.findall(r"\\begin\{(?:itemize|enumerate|description)\}", line)) - len(re.findall(r"\\end\{(?:itemize|enumerate|description)\}", line))
+    fixes.depth = max(0, fixes.depth + nested)
+    line = fixes.sub("latex_items_converted", r"^\s*\\item(?:\[[^\]]*\])?\s*", "  " * max(0, fixes.depth - 1) + "- ", line)
     line = fixes.sub("latex_environments_removed", r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?(?:\{[^{}]*\})*", "", line)
     line = fixes.sub("latex_references_removed", r"~?\\(?:cite[a-z]*|label|ref|eqref|pageref)\{[^{}]*\}", "", line)
     line = fixes.sub("latex_footnotes_converted", r"\\footnote\{([^{}]*)\}", r"(\1)", line)
@@ -279,6 +255,9 @@ def _code(kind: str, raw: str, fixes: Fixes) -> str:
     fixes["code_blocks_kept"] = fixes.get("code_blocks_kept", 0) + 1
     if kind == "fence":
         return raw
+    if kind == "math":
+        body = re.sub(r"\A(?:\\begin\{\w+\*?\}|\\\[|\$\$)\s*|\s*(?:\\end\{\w+\*?\}|\\\]|\$\$)\Z", "", raw)
+        return "$$\n" + body.strip() + "\n$$"
     if kind == "verbatim":
         body = re.sub(r"\A\\begin\{\w+\}(?:\[[^\]]*\])?\n?|\n?\\end\{\w+\}\Z", "", raw)
     else:
@@ -287,10 +266,10 @@ def _code(kind: str, raw: str, fixes: Fixes) -> str:
     return "```\n" + body.strip("\n") + "\n```"
 
 
-def clean(text: str) -> tuple[str, list[str], dict[str, int]]:
+def clean(text: str, costs: Costs | None = None) -> tuple[str, list[str], dict[str, int]]:
     """(clean text, kinds of markup found, counts of what was changed)."""
     blocks = Blocks(text)
-    labels = label_lines(blocks)
+    labels = labels_of(blocks, costs)
     if not labels:
         return text, [], {}
     fixes = Fixes()
@@ -315,13 +294,15 @@ def clean(text: str) -> tuple[str, list[str], dict[str, int]]:
 def clean_markup(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, clean_text, markup, fixes_applied, original_length, cleaned_length), one row for each row."""
 
+    costs = fitted_costs()
+
     def run(batches):
         import pandas as pd
 
         for frame in batches:
             rows = []
             for k, own in zip(frame[key], frame[text]):
-                cleaned, kinds, fixes = clean(own) if own else (own, [], {})
+                cleaned, kinds, fixes = clean(own, costs) if own else (own, [], {})
                 rows.append((k, cleaned, kinds, fixes, len(own or ""), len(cleaned or "")))
             yield pd.DataFrame(rows, columns=[key, "clean_text", "markup", "fixes_applied", "original_length", "cleaned_length"])
 

@@ -100,6 +100,51 @@ def test_markup(text, kinds, clean):
     assert found == kinds and got.rstrip() == clean
 
 
+def test_the_cut_decides():
+    """A lone line that the classifier calls marked is plain; lines that it calls plain belong to the block around them."""
+    costs = P5.fitted_costs()
+
+    def both(text):
+        blocks = P5.Blocks(text)
+        shown = [P5.features(x, blocks.lines[i - 1] if i else "", blocks.inside(x)) for i, x in enumerate(blocks.lines)]
+        margins = dict(zip(P5.KINDS, costs.margins(shown)))
+        return {k: [x > 0 for x in m] for k, m in margins.items()}, P5.label_lines(blocks.lines, shown, costs)
+
+    alone, cut = both("Plain words stand here.\n# item of a list\nMore plain words stand here.")
+    assert alone["wiki"][1] and cut == {}
+    alone, cut = both("**One** of them\n*two* of them\nand [three](x.example/3)")
+    assert not alone["markdown"][1] and cut["markdown"][1]
+    alone, cut = both("| a | b |\n|---|---|\n| 1 | **2** |")
+    assert not alone["markdown"][0] and all(cut["markdown"])
+    assert both("| a | b |\n| 1 | 2 |")[1] == {}
+
+
+def test_line_labels_on_documents_held_out():
+    from tesselar.llm import markup_lines as M
+
+    costs, right, n = P5.fitted_costs(), 0, 0
+    for lines, rows, marks in M.labelled(99, 200, P5.Blocks):
+        got = P5.label_lines(lines, rows, costs)
+        right += sum((k in got and got[k][i]) == (k in kinds) for i, kinds in enumerate(marks) for k in P5.KINDS)
+        n += len(lines) * len(P5.KINDS)
+    assert right >= 0.98 * n
+
+
+@pytest.mark.parametrize(
+    "text,clean",
+    [
+        ("<ul>\n<li>one\n<ul>\n<li>two</li>\n</ul>\n</li>\n<li>three</li>\n</ul>", "- one\n\n  - two\n\n- three"),
+        ("<table>\n<tr>\n<td>a</td>\n<td>b</td>\n</tr>\n</table>", "| a | b |"),
+        ("* [[one]]\n** [[two]]", "- one\n  - two"),
+        ("\\begin{equation}\nx = 1\n\\end{equation}", "$$\nx = 1\n$$"),
+        ("\\begin{itemize}\n\\item a\n\\begin{itemize}\n\\item b\n\\end{itemize}\n\\end{itemize}", "- a\n\n  - b"),
+        ("{{" + "long " * 2000 + "}} text [[end]]", " text end"),
+    ],
+)
+def test_structure_is_kept(text, clean):
+    assert P5.clean(text)[0].strip("\n") == clean
+
+
 def test_markup_table(spark):
     rows = [("a", "<p>x</p>" * 3000), ("b", None), ("c", ""), ("a", "<p>x</p>" * 3000), ("d", "y $z_1$")]
     df = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("*", "'k' AS markup", "1 AS kind")
