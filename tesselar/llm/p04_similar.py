@@ -1,20 +1,28 @@
 """Problem 4: the k most similar vectors of every vector, by a hash-prefix forest.
 
-Each tree gives a vector a long hash string. Its first symbol is the nearest of
-the tree's centroids (each tree has its own, fitted on a bounded sample), the
-others are the sides of the tree's random hyperplanes. A tree is the array of
-its vectors sorted by hash string; a prefix is a contiguous range of it. For all
-vectors at once the search descends to the longest prefix that still holds
-enough vectors: a range over ``leaf`` vectors is parted at the next symbol, and
-where a side has too few the search ascends again and its vectors are compared
-with the whole range. Ranges are compared by one matrix product each. The k best
-of all trees together are the answer.
-
-The first symbol, and further symbols where a range is hot, is the key by which
-a tree's vectors are shuffled, so no task holds more than a bounded range. Equal
-vectors are one node: within a batch before the shuffle, and finally within the
-range. Vectors travel as 16-bit integers of the unit vector; similarities are
-exact to about 1e-5.
+A tree gives a vector a long hash string, and the tree is the array of its
+vectors sorted by that string; vectors that share a prefix are a contiguous range
+of it. The trees share their leading symbols and differ in the others.
+
+*Leading symbols* say which range a vector is shuffled to. Symbols are nearest
+centroids, fitted on a bounded sample: one of ``symbols`` first, then, where the
+range would hold over ``hot`` vectors, one of FAN of that range, and so on, so
+their number differs from range to range and none grows with the collection. A vector
+is a member of the range of its own prefix and a guest in the ranges of the next best
+prefixes (``probes`` of them in all, twice as many with each further symbol), so
+that neighbours across a border meet. Every range is a task's; no task sees more.
+
+*Within a range* each tree hashes by centroids of its own, about CELL vectors for each,
+and after that by the sides of PLANES random planes. The search descends in all
+trees to the longest prefixes and ascends in all of them at once, symbol by
+symbol, until the prefix ranges of a vector hold ``candidates`` vectors together:
+these are compared with it, by matrix products over vectors of one prefix range.
+Candidates are found for members among all, and for guests among members.
+The k best of all trees, then of all ranges, are the answer.
+
+Vectors travel as 24-bit integers of the unit vector and cosines of what is given
+off are summed in double precision, exact to about 1e-7. Equal vectors are one
+node: within a batch before the shuffle, and finally within the range.
 
 Defined results: null vectors, vectors of another length, with values that are
 not finite, or all zero take no part; vectors needn't be of length 1; ties go to
@@ -30,12 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Vectors in the sample that the centroids are fitted on, at most; and per centroid, at least.
-SAMPLE, PER_CENTROID = 16_384, 64
-#: Vectors per first symbol aimed at; over HOT of them the range is parted by further symbols before the shuffle.
-RANGE, HOT = 7_000, 60_000
-PLANES = 48
-SCALE = 32767.0
+from tesselar.storage import written
+
+#: Vectors in the sample that leading symbols are fitted on, at most; and per centroid, at least.
+SAMPLE, PER_CENTROID = 32_768, 64
+#: Values of a further leading symbol; vectors per centroid of a tree; its centroids, at most; its planes.
+FAN, CELL, CELLS, PLANES = 4, 256, 256, 40
+SCALE = float(2**23 - 1)
 
 
 def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,179 +59,256 @@ def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed_unit(vectors: np.ndarray) -> np.ndarray:
-    return np.rint(vectors * SCALE).astype("<i2")
+    """Unit vectors as rows of bytes, three for each number."""
+    whole = np.rint(vectors.astype("f8") * SCALE).astype("<i4")
+    return np.ascontiguousarray(whole.view("u1").reshape(*whole.shape, 4)[..., :3]).reshape(len(whole), -1)
 
 
 def unpacked(raw: np.ndarray) -> np.ndarray:
-    v = raw.astype("f4")
+    """The unit vectors of such rows, in double precision."""
+    wide = np.zeros((len(raw), raw.shape[1] // 3, 4), "u1")
+    wide[..., 1:] = raw.reshape(len(raw), -1, 3)
+    v = wide.view("<i4")[..., 0].astype("f8") / 256
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-class Forest:
-    """The hash functions of all trees."""
-
-    def __init__(self, sample: np.ndarray, trees: int, symbols: int, seed: int = 7):
-        self.centroids, self.planes = [], []
-        for t in range(trees):
-            rng = np.random.default_rng([seed, t])
-            self.centroids.append(self._centroids(sample, symbols, rng))
-            self.planes.append(rng.standard_normal((PLANES, sample.shape[1])).astype("f4"))
-
-    @staticmethod
-    def _centroids(sample: np.ndarray, n: int, rng, rounds: int = 8) -> np.ndarray:
-        centres = sample[rng.choice(len(sample), n, replace=False)].copy()
-        for _ in range(rounds):
-            nearest = np.argmax(sample @ centres.T, 1)
-            sums = np.zeros_like(centres)
-            np.add.at(sums, nearest, sample)
-            norm = np.linalg.norm(sums, axis=1, keepdims=True)
-            centres = np.where(norm > 0, sums / np.maximum(norm, 1e-9), centres)
-        return centres
-
-    def first(self, tree: int, v: np.ndarray) -> np.ndarray:
-        return np.argmax(v @ self.centroids[tree].T, 1)
-
-    def rest(self, tree: int, first: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """The further symbols as one number, the first of them in its highest bit; sides are taken around the centroid."""
-        bits = ((v - self.centroids[tree][first]) @ self.planes[tree].T) > 0
-        return (bits.astype("u8") << np.arange(PLANES - 1, -1, -1, dtype="u8")).sum(1)
-
-
-def best_of(q: np.ndarray, candidates: np.ndarray, vectors: np.ndarray, k: int, ids: np.ndarray, out: list) -> None:
-    """Append (query id, candidate id, cosine) of the k best candidates for each query, positions in ``vectors``."""
-    right = vectors[candidates].T
-    n = len(candidates)
-    if n < 2:
-        return
-    for at in range(0, len(q), 256):
-        mine = q[at : at + 256]
-        scores = vectors[mine] @ right
-        scores[candidates[None, :] == mine[:, None]] = -2
-        few = min(k, n - 1)
-        if n > 64 * k:  # a bound from a part of the columns; only what reaches it is sorted
-            part = max(16 * k, n // 8)
-            bound = np.partition(scores[:, :part], part - few, axis=1)[:, part - few]
-            row, column = np.divmod(np.flatnonzero(scores >= bound[:, None]), n)
-            score = scores[row, column]
-            order = np.lexsort((-score, row))
-            row, column, score = row[order], column[order], score[order]
-            first = np.searchsorted(row, np.arange(len(mine)))
-            keep = np.arange(len(row)) - first[row] < few
-            row, column, score = row[keep], column[keep], score[keep]
-        else:
-            column = np.argpartition(-scores, few - 1, axis=1)[:, :few]
-            row = np.repeat(np.arange(len(mine)), few)
-            column = column.ravel()
-            score = scores[row, column]
-        real = score > -1.5
-        out.append((ids[mine[row[real]]], ids[candidates[column[real]]], score[real]))
-
-
-def search_range(ids: np.ndarray, keys: np.ndarray, vectors: np.ndarray, k: int, leaf: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All (id, neighbour, cosine) of one range of a tree, for k neighbours each."""
-    order = np.argsort(keys, kind="stable")
-    ids, keys, vectors = ids[order], keys[order], vectors[order]
-    out: list = []
-    enough = max(leaf // 4, k + 1)
-    stack = [(0, len(ids), PLANES - 1)]
-    while stack:
-        lo, hi, bit = stack.pop()
-        everyone = np.arange(lo, hi)
-        if hi - lo <= leaf or bit < 0:
-            for at in range(lo, hi, leaf):  # vectors that no plane parts are compared in blocks
-                best_of(np.arange(at, min(at + leaf, hi)), everyone, vectors, k, ids, out)
-            continue
-        cut = lo + int(np.searchsorted(keys[lo:hi] >> np.uint64(bit) & np.uint64(1), 1))
-        for a, b in ((lo, cut), (cut, hi)):
-            if b - a >= enough:
-                stack.append((a, b, bit - 1))
-            elif b > a:
-                best_of(np.arange(a, b), everyone, vectors, k, ids, out)
-    if not out:
-        return np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "f4")
-    return tuple(np.concatenate(c) for c in zip(*out))
-
-
-def most_similar(rows: DataFrame, k: int = 10, dim: int = 64, trees: int = 3, leaf: int = 12_000, key: str = "chunk_id", vector: str = "embedding", min_cosine: float | None = None) -> DataFrame:
+def centroids(sample: np.ndarray, n: int, rng, rounds: int = 8) -> np.ndarray:
+    """n unit centroids of the sample (k-means by cosine)."""
+    centres = sample[rng.choice(len(sample), n, replace=False)].copy()
+    for _ in range(rounds):
+        nearest = np.argmax(sample @ centres.T, 1)
+        order = np.argsort(nearest, kind="stable")
+        held, start = np.unique(nearest[order], return_index=True)
+        sums = np.add.reduceat(sample[order], start, axis=0)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres[held] = np.where(norm > 0, sums / np.maximum(norm, 1e-9), centres[held])
+    return centres
+
+
+class Prefixes:
+    """The leading symbols: a tree of centroids whose leaves are the ranges."""
+
+    def __init__(self, sample: np.ndarray, n: int, symbols: int, hot: int, probes: int, seed: int = 7):
+        rng = np.random.default_rng(seed)
+        self.probes, self.ranges, self.depth = probes, 0, 1
+        self.top = self._node(sample, max(1, min(symbols, len(sample) // PER_CENTROID)), float(n), hot, rng, 1)
+
+    def _node(self, sample: np.ndarray, fan: int, size: float, hot: int, rng, depth: int) -> dict:
+        """Centroids below a prefix that about ``size`` vectors share, and for each a range's number or the next node."""
+        self.depth = max(self.depth, depth)
+        if len(sample) >= 4 * fan:
+            centres = centroids(sample, fan, rng)
+            held = np.argmax(sample @ centres.T, 1)
+            parts = [sample[held == i] for i in range(fan)]
+            sizes = [size * len(x) / len(sample) for x in parts]
+        else:  # too few of the sample are left: directions around what there is
+            centre = sample.mean(0) if len(sample) else np.zeros(sample.shape[1], "f4")
+            centres = (centre + rng.standard_normal((fan, sample.shape[1])) / sample.shape[1] ** 0.5).astype("f4")
+            centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+            parts, sizes = [sample[:0]] * fan, [size / fan] * fan
+        below = []
+        for part, own in zip(parts, sizes):
+            if own * self.probes > hot and depth < 12:
+                below.append(self._node(part, FAN, own, hot, rng, depth + 1))
+            else:
+                below.append(self.ranges)
+                self.ranges += 1
+        return {"centres": centres, "below": below, "depth": depth}
+
+    def place(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(vector, range, is a member there) of all copies of the vectors."""
+        found: list[tuple] = []
+
+        def descend(node: dict, rows: np.ndarray, own: np.ndarray) -> None:
+            scores = v[rows] @ node["centres"].T
+            few = min(self.probes, scores.shape[1])
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :few]
+            for i, below in enumerate(node["below"]):
+                at, rank = np.nonzero(best == i)
+                if not len(at):
+                    continue
+                mine = own[at] & (rank == 0)
+                if isinstance(below, dict):
+                    descend(below, rows[at], mine)
+                else:
+                    found.append((rows[at], np.full(len(at), below), mine, scores[at, i], np.full(len(at), node["depth"])))
+
+        if len(v):
+            descend(self.top, np.arange(len(v)), np.ones(len(v), bool))
+        if not found:
+            return np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, bool)
+        row, place, mine, score, depth = map(np.concatenate, zip(*found))
+        deepest = np.zeros(len(v), "i8")
+        np.maximum.at(deepest, row, depth)
+        order = np.lexsort((-score, ~mine, row))
+        row, place, mine = row[order], place[order], mine[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = rank < self.probes * 2 ** (deepest[row] - 1)
+        return row[keep], place[keep], mine[keep]
+
+
+class Best:
+    """The k best (query, candidate, score) found so far for each of n vectors."""
+
+    def __init__(self, n: int, k: int, least: float):
+        self.n, self.k, self.bar = n, k, np.full(n, least, "f4")
+        self.kept: tuple = (np.zeros(0, "i8"), np.zeros(0, "f4"))
+        self.new: list[tuple] = []
+
+    def add(self, queries: np.ndarray, candidates: np.ndarray, scores: np.ndarray) -> None:
+        """What of a matrix of scores reaches the queries' bars."""
+        row, column = np.nonzero(scores >= self.bar[queries][:, None])
+        a, b = queries[row], candidates[column]
+        real = a != b
+        self.new.append((a[real] * self.n + b[real], scores[row, column][real]))
+
+    def merge(self) -> None:
+        """Keep the k best; the k-th is the bar from now on."""
+        pair, score = map(np.concatenate, zip(self.kept, *self.new))
+        self.new = []
+        pair, first = np.unique(pair, return_index=True)
+        score = score[first]
+        order = np.lexsort((-score, pair // self.n))
+        a = pair[order] // self.n
+        rank = np.arange(len(a)) - np.searchsorted(a, a)
+        keep = order[rank < self.k]
+        self.kept = pair[keep], score[keep]
+        full = order[rank == self.k - 1]
+        self.bar[pair[full] // self.n] = np.maximum(self.bar[pair[full] // self.n], score[full])
+
+
+def hash_strings(v: np.ndarray, rng) -> np.ndarray:
+    """The hash string of each vector in one tree, as a number: eight bits of the nearest centroid, then a bit for each plane."""
+    cells = int(np.clip(len(v) // CELL, 1, CELLS))
+    if cells > 1:
+        size = min(len(v), PER_CENTROID // 4 * cells)
+        centres = centroids(v[rng.choice(len(v), size, replace=False)], cells, rng, 3)
+    else:
+        centres = v.mean(0, keepdims=True)
+    cell = np.argmax(v @ centres.T, 1)
+    planes = rng.standard_normal((PLANES, v.shape[1])).astype("f4")
+    sides = (v @ planes.T) > (centres @ planes.T)[cell]
+    return (cell.astype("u8") << np.uint64(PLANES)) | (sides.astype("u8") << np.arange(PLANES - 1, -1, -1, dtype="u8")).sum(1)
+
+
+def prefix_ranges(strings: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) in the sorted array of the range of strings that share the first ``level`` symbols with each."""
+    if level == 0:
+        return np.zeros(len(strings), "i8"), np.full(len(strings), len(strings))
+    prefix = strings >> np.uint64(PLANES - level + 1)
+    return np.searchsorted(prefix, prefix, "left"), np.searchsorted(prefix, prefix, "right")
+
+
+def search_range(v: np.ndarray, member: np.ndarray, k: int, trees: int, candidates: int, least: float = -2.0, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """(query, neighbour), k for each vector of a range at most: of members among all, of guests among members."""
+    n = len(v)
+    best = Best(n, k, least)
+    rng = np.random.default_rng([seed, n])
+    forest = []
+    for _ in range(trees if n > candidates else 1):
+        strings = hash_strings(v, rng)
+        order = np.argsort(strings, kind="stable")
+        forest.append((order, strings[order]))
+    # synchronous ascent: the longest prefix length at which the ranges of all trees hold enough
+    level, levels = np.zeros(n, "i8"), PLANES + 1
+    if n > candidates:
+        open_ = np.arange(n)  # descend while there are enough
+        for x in range(1, levels + 1):
+            total = np.zeros(n, "i8")
+            for order, strings in forest:
+                start, end = prefix_ranges(strings, x)
+                total[order] += end - start
+            open_ = open_[total[open_] >= candidates]
+            if not len(open_):
+                break
+            level[open_] = x
+    for t, (order, strings) in enumerate(forest):
+        for x in np.unique(level).tolist():
+            if x == 0 and t:
+                continue  # the whole range is the same in every tree
+            start, end = prefix_ranges(strings, x)
+            wanted = level[order] == x
+            for lo in np.unique(start[wanted]).tolist():
+                hi = int(end[lo])
+                everyone = order[lo:hi]
+                asking = everyone[wanted[lo:hi]]
+                mine, theirs = asking[member[asking]], asking[~member[asking]]
+                members = everyone[member[everyone]]
+                for queries, among in ((mine, everyone), (theirs, members)):
+                    for at in range(0, len(queries), 512 if len(among) > 4096 else 4096):
+                        for by in range(0, len(among), 16_384):
+                            part = queries[at : at + (512 if len(among) > 4096 else 4096)]
+                            other = among[by : by + 16_384]
+                            scores = v[part] @ v[other].T
+                            if t == 0 and least < -1 and len(other) > 4 * k:  # a bar from the first matrix
+                                bar = np.partition(scores, len(other) - k - 1, axis=1)[:, len(other) - k - 1]
+                                best.bar[part] = np.maximum(best.bar[part], bar)
+                            best.add(part, other, scores)
+        if t & (t + 1) == 0 or t == len(forest) - 1:
+            best.merge()
+    pair, _ = best.kept
+    return pair // n, pair % n
+
+
+def most_similar(
+    rows: DataFrame, k: int = 10, dim: int = 64, trees: int = 12, candidates: int = 4_000, symbols: int = 32, probes: int = 3, hot: int = 60_000,
+    key: str = "chunk_id", vector: str = "embedding", min_cosine: float | None = None,
+) -> DataFrame:
     """(key, neighbour, cosine, rank) for each usable vector.
 
-    ``min_cosine`` leaves out neighbours below it once the k best are known.
+    ``min_cosine`` leaves out neighbours below it (ranks stay what they are).
     """
     spark: SparkSession = rows.sparkSession
     source = rows.select(key, vector).where(F.col(vector).isNotNull() & F.col(key).isNotNull())
     kind = rows.schema[key].dataType.simpleString()
+    least = -2.0 if min_cosine is None else min_cosine - 1e-5
+
+    def binary(raw: np.ndarray) -> pa.Array:
+        return pa.array([r.tobytes() for r in raw], pa.binary())
 
-    def nodes(batches):
+    def to_nodes(batches):
         for batch in batches:
             at, unit = unit_rows(batch.column(1), dim)
-            yield batch.column(0).take(pa.array(at)), packed_unit(unit)
-
-    def node_ids(raw: np.ndarray) -> np.ndarray:
-        return np.array([xxhash.xxh64_intdigest(r) for r in raw], "u8").view("i8")
-
-    def as_members(batches):
-        for keys, raw in nodes(batches):
-            yield pa.RecordBatch.from_arrays([keys, pa.array(node_ids(raw), pa.int64())], [key, "node"])
+            body = [r.tobytes() for r in packed_unit(unit)]
+            ids = np.array([xxhash.xxh64_intdigest(r) for r in body], "u8").view("i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(ids, pa.int64()), pa.array(body, pa.binary())], [key, "node", "v"])
 
-    def as_sample(batches):
-        for _, raw in nodes(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(node_ids(raw), pa.int64()), pa.array([r.tobytes() for r in raw], pa.binary())], ["node", "v"])
+    def matrix(column) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), "u1").reshape(-1, 3 * dim)
 
-    n = source.count()
-    symbols = max(1, min(round(n / RANGE), SAMPLE // PER_CENTROID))
-    share = min(1.0, 1.3 * SAMPLE / max(n, 1))
-    # node ids are hashes: a bound on them samples distinct vectors at random, alike in every run
-    sampled = source.mapInArrow(as_sample, "node bigint, v binary").where(F.col("node") < int(-(1 << 63) + share * (1 << 64) * 0.9999999))
-    sample = [r.v for r in sampled.dropDuplicates(["node"]).orderBy("node").limit(SAMPLE).collect()]
-    members = source.mapInArrow(as_members, f"`{key}` {kind}, node bigint").distinct()
-    if not sample:
+    nodes = written(source.mapInArrow(to_nodes, f"`{key}` {kind}, node bigint, v binary"), "vectors")  # the table is read once
+    n = nodes.count()
+    members = nodes.select(key, "node").distinct()
+    if not n:
         return members.select(key, F.col(key).alias("neighbour"), F.lit(0.0).alias("cosine"), F.lit(0).alias("rank")).where(F.lit(False))
-    symbols = min(symbols, len(sample))
-    forest = spark.sparkContext.broadcast(Forest(unpacked(np.frombuffer(b"".join(sample), "<i2").reshape(-1, dim)), trees, symbols))
-
-    def sizes(batches):
-        counts = np.zeros((trees, symbols), np.int64)
-        for _, raw in nodes(batches):
-            if len(raw):
-                v = unpacked(raw)
-                for t in range(trees):
-                    counts[t] += np.bincount(forest.value.first(t, v), minlength=symbols)
-        t, s = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(t * symbols + s, pa.int64()), pa.array(counts[t, s])], ["range", "n"])
-
-    # at most trees x symbols rows, whatever the number of vectors
-    measured = source.mapInArrow(sizes, "range bigint, n bigint").groupBy("range").agg(F.sum("n").alias("n")).where(F.col("n") > HOT).collect() if n > HOT else []
-    deeper = {r.range: int(np.ceil(np.log2(r.n / (HOT // 2)))) for r in measured}
+    # node ids are hashes: a bound on them samples distinct vectors at random, alike in every run
+    share = min(1.0, 1.3 * SAMPLE / n)
+    sampled = nodes.where(F.col("node") < int(-(1 << 63) + share * (1 << 64) * 0.9999999)).select("node", "v").dropDuplicates(["node"]).orderBy("node").limit(SAMPLE).collect()
+    sample = unpacked(np.frombuffer(b"".join(r.v for r in sampled), "u1").reshape(-1, 3 * dim)).astype("f4")
+    prefixes = spark.sparkContext.broadcast(Prefixes(sample, n, symbols, hot, probes))
 
     def placed(batches):
-        own = forest.value
-        depths = np.array([deeper.get(r, 0) for r in range(trees * symbols)], "u8")
-        for _, raw in nodes(batches):
-            raw = np.unique(raw, axis=0) if len(raw) else raw
-            ids = node_ids(raw)
-            v = unpacked(raw) if len(raw) else np.zeros((0, dim), "f4")
-            body = pa.array([r.tobytes() for r in raw], pa.binary())
-            for t in range(trees):
-                first = own.first(t, v)
-                rest = own.rest(t, first, v)
-                place = t * symbols + first
-                prefix = np.where(depths[place] > 0, rest >> (np.uint64(PLANES) - np.maximum(depths[place], np.uint64(1))), np.uint64(0))
-                group = (place.astype("u8") << np.uint64(32)) | prefix
-                yield pa.RecordBatch.from_arrays([pa.array(group.view("i8")), pa.array(rest.view("i8")), pa.array(ids, pa.int64()), body], ["range", "rest", "node", "v"])
+        for batch in batches:
+            ids = batch.column(1).to_numpy()
+            _, one = np.unique(ids, return_index=True)
+            raw = matrix(batch.column(2))[one] if len(one) else np.zeros((0, 3 * dim), "u1")
+            row, place, mine = prefixes.value.place(unpacked(raw).astype("f4"))
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(mine), pa.array(ids[one][row], pa.int64()), binary(raw).take(pa.array(row))], ["range", "member", "node", "v"])
 
     def searched(part: pa.Table) -> pa.Table:
         ids = part.column("node").to_numpy()
         _, one = np.unique(ids, return_index=True)
-        body = np.frombuffer(b"".join(part.column("v").to_pylist()), "<i2").reshape(-1, dim)[one]
-        a, b, cos = search_range(ids[one], part.column("rest").to_numpy()[one].view("u8"), unpacked(body), k, leaf)
+        ids, v = ids[one], unpacked(matrix(part.column("v"))[one])
+        a, b = search_range(v.astype("f4"), part.column("member").to_numpy()[one], k, trees, candidates, least)
+        cos = np.concatenate([np.einsum("ij,ij->i", v[a[i : i + 65_536]], v[b[i : i + 65_536]]) for i in range(0, max(1, len(a)), 65_536)])
         order = np.lexsort((-cos, a))
         a, b, cos = a[order], b[order], cos[order]
-        _, start = np.unique(a, return_index=True)
+        who, start = np.unique(a, return_index=True)
         offsets = pa.array(np.append(start, len(a)).astype("i4"))
-        return pa.table({"node": pa.array(a[start], pa.int64()), "near": pa.ListArray.from_arrays(offsets, pa.array(b, pa.int64())), "cos": pa.ListArray.from_arrays(offsets, pa.array(cos, pa.float32()))})
+        return pa.table({"node": pa.array(ids[who], pa.int64()), "near": pa.ListArray.from_arrays(offsets, pa.array(ids[b], pa.int64())), "cos": pa.ListArray.from_arrays(offsets, pa.array(cos, pa.float64()))})
 
     def merged(batches):
-        """The k best over all trees; batches are sorted by node, one may end within a node's rows."""
+        """The k best over all ranges; batches are sorted by node, one may end within a node's rows."""
         held = None
         for batch in batches:
             held = batch if held is None else pa.concat_batches([held, batch])
@@ -245,15 +331,14 @@ def most_similar(rows: DataFrame, k: int = 10, dim: int = 64, trees: int = 3, le
         a, b, cos = a[new], b[new], cos[new]
         order = np.lexsort((b, -cos, a))
         a, b, cos = a[order], b[order], cos[order]
-        place = np.arange(len(a)) - np.searchsorted(a, a)
-        keep = place < k
+        keep = np.arange(len(a)) - np.searchsorted(a, a) < k
         if min_cosine is not None:
-            keep &= cos >= min_cosine - 1e-5
-        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(cos[keep].astype("f8"))], ["node", "near", "cosine"])
+            keep &= cos >= min_cosine - 1e-7
+        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(cos[keep])], ["node", "near", "cosine"])
 
-    ranges = source.mapInArrow(placed, "range bigint, rest bigint, node bigint, v binary")
-    per_tree = ranges.groupBy("range").applyInArrow(searched, "node bigint, near array<bigint>, cos array<float>")
-    best = per_tree.repartition("node").sortWithinPartitions("node").mapInArrow(merged, "node bigint, near bigint, cosine double")
+    ranges = nodes.select(key, "node", "v").mapInArrow(placed, "range bigint, member boolean, node bigint, v binary")
+    per_range = ranges.groupBy("range").applyInArrow(searched, "node bigint, near array<bigint>, cos array<double>")
+    best = per_range.repartition("node").sortWithinPartitions("node").mapInArrow(merged, "node bigint, near bigint, cosine double")
     # k + 1 keys of a group of equal vectors are enough for anyone's k nearest
     first = members.withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy(key))).where(F.col("i") <= k + 1)
     fewest = first.select(F.col(key).alias("neighbour"), F.col("node").alias("near"))

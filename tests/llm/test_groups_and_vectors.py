@@ -116,18 +116,67 @@ def test_most_similar_against_brute_force(spark):
     assert {"k0011", "k0012", "k0013"} <= got["k0010"].keys() and got["k0020"]["k0021"] == pytest.approx(1, abs=1e-4)
 
 
-def test_range_search_descends_and_ascends():
+def test_range_search_ascends_to_the_whole_range():
+    """Fewer vectors than candidates wanted: all trees ascend to the empty prefix, the answer is exact; guests only find members."""
     rng = np.random.default_rng(1)
     v = rng.standard_normal((600, 16)).astype("f4")
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    keys = np.zeros(600, "u8")
-    keys[:20] = np.uint64(1) << np.uint64(P4.PLANES - 1)  # a side with too few: the search ascends for them
-    a, b, c = P4.search_range(np.arange(600), keys, v, 5, 200)
+    member = np.arange(600) < 400
+    a, b = P4.search_range(v, member, 5, 4, 1000)
     s = v @ v.T
     np.fill_diagonal(s, -2)
-    for i in (0, 5, 19):
-        assert set(b[a == i]) == set(np.argsort(-s[i])[:5])
-    assert len(set(a)) == 600
+    for i in range(600):
+        allowed = np.arange(600) if member[i] else np.flatnonzero(member)
+        assert set(b[a == i]) == set(allowed[np.argsort(-s[i, allowed])[:5]])
+
+
+def test_prefix_ranges_of_the_sorted_array():
+    rng = np.random.default_rng(2)
+    strings = np.sort(rng.integers(0, 1 << (P4.PLANES + 2), 300, dtype="u8"))
+    for level in (0, 1, 2, 5, P4.PLANES + 1):
+        start, end = P4.prefix_ranges(strings, level)
+        for i in range(0, 300, 17):
+            same = [j for j in range(300) if level == 0 or int(strings[j]) >> (P4.PLANES - level + 1) == int(strings[i]) >> (P4.PLANES - level + 1)]
+            assert (start[i], end[i]) == (same[0], same[-1] + 1)
+
+
+def test_search_descends_and_finds_close_vectors():
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((9000, 64)).astype("f4")
+    v[4500:] = v[:4500] + 0.4 * v[4500:]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    a, b = P4.search_range(v, np.ones(9000, bool), 3, 12, 900)
+    pairs = set(zip(a.tolist(), b.tolist()))
+    assert sum((i, i + 4500) in pairs for i in range(4500)) > 0.98 * 4500
+
+
+@pytest.mark.parametrize("options", [{}, {"symbols": 4, "hot": 2500}])
+def test_recall_on_the_larger_table(spark, options):
+    """Of the ten nearest of every hundredth vector, also with ranges of three leading symbols and more."""
+    rows = spark.read.parquet(f"{LARGE}/embedded_chunks.parquet")
+    frame = rows.select("chunk_id", "embedding").toPandas().drop_duplicates("chunk_id")
+    frame = frame[[e is not None and len(e) == 64 and np.isfinite(e).all() and np.any(e) for e in frame.embedding]]
+    v = np.stack(frame.embedding.to_numpy()).astype("f8")
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if options:
+        assert P4.Prefixes(v.astype("f4"), len(v), probes=3, **options).depth >= 3
+    ids = frame.chunk_id.to_numpy()
+    got: dict = {}
+    for r in P4.most_similar(rows, **options).select("chunk_id", "neighbour").collect():
+        got.setdefault(r.chunk_id, set()).add(r.neighbour)
+    hits = []
+    for i in range(0, len(v), 100):
+        s = v @ v[i]
+        s[i] = -2
+        bar = np.sort(s)[-10] - 1e-6
+        hits.append(sum(x in got[ids[i]] for x in ids[s >= bar]) / (s >= bar).sum())
+    assert np.mean(hits) >= 0.9
+
+
+def test_packed_vectors_are_exact():
+    v = np.random.default_rng(5).standard_normal((50, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    assert np.abs(P4.unpacked(P4.packed_unit(v.astype("f4"))) - v).max() < 2e-7
 
 
 def test_few_vectors(spark):
