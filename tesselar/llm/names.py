@@ -177,7 +177,7 @@ def conflict(kind: str, a: str, b: str) -> bool:
     return edits(a, b, most) > most
 
 
-def grams(core: str) -> list[str]:
-    """Character 2- and 3-grams of a name between marks; characters beyond a-z and 0-9 fall into 64 classes, which bounds the number of n-grams."""
+def letter_pairs(core: str) -> list[str]:
+    """Pairs of letters up to three apart, of a name between marks; characters beyond a-z and 0-9 fall into 64 classes, which bounds the number of pairs."""
     s = "^" + "".join(c if c.isascii() else chr(0x100 + ord(c) % 64) for c in core) + "$"
-    return [s[i : i + n] for n in (2, 3) for i in range(len(s) - n + 1)]
+    return [s[i] + s[j] for i in range(len(s)) for j in range(i + 1, min(len(s), i + 4))]

@@ -3,12 +3,20 @@
 Spellings are read into a core (surname or proper name), a code (first initial;
 initials of an organisation's kind and field) and a given name or kind, and equal
 readings are one node. A node's vector has the TF-IDF weighted character n-grams
-of its core, and its code. Codes that differ keep two vectors below the
-threshold whatever their cores, so the sparse similarity join runs within a
-code: nodes are joined over the rarest n-grams of their cores only, as many as
-it takes for the others not to reach the threshold alone. Each pair so found
-gets its exact cosine, is checked for one or two typing errors (further apart
-only cosines over ``sure`` stand) and for given names or kinds that contradict.
+of its core in two parts, three letters in a row and pairs of letters up to
+three apart (these outlast a typing error better), of ``share`` and 1 - ``share`` of
+the squared length, and its code. Names whose codes differ are different by the problem's
+statement (other initials, other kind and field), so the code's weight keeps such
+vectors below the threshold whatever their cores, and the join runs within a code.
+
+The sparse similarity join is a join of postings, nodes within a code on an
+n-gram of three, whose products are added up for each pair: that is the first part of
+the cosine, exact. As the second is at most 1, pairs under
+(threshold - share) / (1 - share) there can't reach the threshold and end in the JVM;
+the others get the second part. Links are the pairs whose cosine reaches
+``threshold``; pairs with given names or kinds that contradict are taken out.
+Postings of over ``block`` nodes are cut into blocks, and each two blocks meet in a task
+of their own, so a code or an n-gram that a third of all names has is split.
 
 The links are grouped by average linkage. All pairs of clusters that are each
 other's nearest are merged at once, which gives the same groups as one merge
@@ -33,7 +41,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselar.llm.names import NICKNAMES, TITLES, Name, conflict, edits, fold, grams, read_organisation, read_person
+from tesselar.llm.names import NICKNAMES, TITLES, Name, conflict, fold, letter_pairs, read_organisation, read_person
+from tesselar.llm.words import Memo
 from tesselar.storage import written
 
 PERSON, ORGANISATION = ["Author"], ["Organization", "Affiliation"]
@@ -96,68 +105,75 @@ def read_names(rows: DataFrame, given: frozenset[str], keep: list[str]) -> DataF
     return rows.mapInPandas(run, f"{fields}, {NODE}")
 
 
-class Weights:
-    """TF-IDF weights of the n-grams; their number is bounded by the alphabet (see ``grams``)."""
+def trigram_vectors(cores: DataFrame, n: int) -> DataFrame:
+    """(core, g, w): unit vectors of the n-grams of three letters of each core between marks."""
+    marked = F.concat(F.lit("^^"), "core", F.lit("$$"))
+    each = F.transform(F.sequence(F.lit(1), F.length(marked) - 2), lambda i: marked.substr(i, F.lit(3)))
+    counted = cores.select("core", F.explode(each).alias("g")).groupBy("core", "g").agg(F.count(F.lit(1)).alias("tf"))
+    held = counted.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    weighted = counted.join(held, "g").select("core", "g", ((1 + F.log("tf")) * F.log(1 + n / F.col("df"))).alias("w"))
+    norm = weighted.groupBy("core").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weighted.join(norm, "core").select("core", "g", (F.col("w") / F.col("norm")).alias("w"))
+
+
+class PairWeights:
+    """TF-IDF vectors of pairs of letters; the number of different pairs is bounded by the alphabet (see ``letter_pairs``)."""
 
     def __init__(self, frequency: dict[str, int], cores: int):
         self.frequency, self.cores = frequency, max(1, cores)
+        self.vectors = Memo(self.vector, 100_000)
 
     def vector(self, core: str) -> dict[str, float]:
-        own = {g: n * math.log(1 + self.cores / self.frequency.get(g, 1)) for g, n in Counter(grams(core)).items()}
+        own = {g: (1 + math.log(n)) * math.log(1 + self.cores / self.frequency.get(g, 1)) for g, n in Counter(letter_pairs(core)).items()}
         norm = math.sqrt(sum(x * x for x in own.values()))
         return {g: x / norm for g, x in own.items()}
 
-    def prefix(self, core: str, threshold: float) -> list[str]:
-        """The rarest n-grams of which any core over the threshold must share one."""
-        own = sorted(self.vector(core).items(), key=lambda x: (self.frequency.get(x[0], 1), x[0]))
-        rest, n = 0.0, len(own)
-        while n and rest + own[n - 1][1] ** 2 < threshold * threshold:
-            n -= 1
-            rest += own[n][1] ** 2
-        return [g for g, _ in own[:n]]
+    def cosine(self, a: str, b: str) -> float:
+        if a == b:
+            return 1.0
+        va, vb = self.vectors[a], self.vectors[b]
+        return sum(w * vb[g] for g, w in va.items() if g in vb)
+
 
+def shared_trigrams(nodes: DataFrame, vectors: DataFrame, least: float, block: int) -> DataFrame:
+    """(a, b, r): pairs of nodes with one code, a < b, and the cosine of their n-grams of three, if ``least`` or more."""
+    place = ["kind", "code", "g"]
+    posted = nodes.select("node", "kind", "code", "core").join(vectors, "core").select("node", *place, "w")
+    counts = posted.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    cut = posted.join(counts, place).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    a = cut.select(*place, F.col("node").alias("x"), F.col("w").alias("wx"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
+    b = cut.select(*place, F.col("node").alias("y"), F.col("w").alias("wy"), F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), "own")).alias("i"))
+    met = a.join(b, [*place, "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
+    return met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum(F.col("wx") * F.col("wy")).alias("r")).where(F.col("r") >= least)
 
-def similar_nodes(nodes: DataFrame, threshold: float = 0.22, sure: float = 0.85, typos: int = 2) -> DataFrame:
-    """(a, b, similarity) of the pairs of nodes with one code whose cores are alike, a < b."""
+
+def similar_nodes(nodes: DataFrame, threshold: float = 0.42, share: float = 0.35, block: int = 2_000) -> DataFrame:
+    """(a, b, similarity) of the pairs of nodes with one code whose cosine reaches the threshold, a < b."""
     spark = nodes.sparkSession
 
     def counted(batches):
         counts: Counter = Counter()
         for batch in batches:
             for core in batch.column(0).to_pylist():
-                counts.update(set(grams(core)))
+                counts.update(set(letter_pairs(core)))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["g", "n"])
 
     cores = nodes.select("core").distinct()
+    n = cores.count()
+    # at most some ten thousand pairs of letters, see letter_pairs
     frequency = {r.g: r.n for r in cores.mapInArrow(counted, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n")).collect()}
-    weights = spark.sparkContext.broadcast(Weights(frequency, cores.count()))
-
-    @F.pandas_udf("array<string>")
-    def prefix(core):
-        return core.map(lambda c: weights.value.prefix(c, threshold))
+    weights = spark.sparkContext.broadcast(PairWeights(frequency, n))
 
     @F.pandas_udf("double")
-    def similarity(core_a, core_b, kind, given_a, given_b):
-        value, known, out = weights.value, {}, []
-        for a, b, k, x, y in zip(core_a, core_b, kind, given_a, given_b):
-            if conflict(k, x, y):
-                out.append(0.0)
-                continue
-            for c in (a, b):
-                if c not in known:
-                    known[c] = value.vector(c)
-            va, vb = known[a], known[b]
-            cosine = sum(w * vb[g] for g, w in va.items() if g in vb)
-            if cosine < threshold or cosine < sure and edits(a, b, typos) > typos:
-                cosine = 0.0
-            out.append(min(cosine, 1.0))
+    def similarity(core_a, core_b, kind, given_a, given_b, r):
+        value = weights.value
+        out = [0.0 if conflict(k, x, y) else min(1.0, share * value.cosine(a, b) + (1 - share) * z) for a, b, k, x, y, z in zip(core_a, core_b, kind, given_a, given_b, r)]
         return pd.Series(out, dtype="float64")
 
-    keyed = nodes.withColumn("gram", F.explode(prefix("core")))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    together = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.code") == F.col("b.code")) & (F.col("a.node") < F.col("b.node"))
-    found = a.join(b, together).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.core").alias("ca"), F.col("b.core").alias("cb"), F.col("a.kind").alias("kind"), F.col("a.given").alias("ga"), F.col("b.given").alias("gb"))
-    return found.distinct().select("a", "b", similarity("ca", "cb", "kind", "ga", "gb").alias("similarity")).where(F.col("similarity") >= threshold)
+    found = shared_trigrams(nodes, written(trigram_vectors(cores, n), "grams"), max(1e-9, (threshold - share) / (1 - share)), block)
+    one, two = (nodes.select(F.col("node").alias(c), F.col("core").alias(f"c{c}"), F.col("given").alias(f"g{c}"), F.col("kind").alias(f"k{c}")) for c in "ab")
+    named = found.join(one, "a").join(two, "b")
+    return named.select("a", "b", similarity("ca", "cb", "ka", "ga", "gb", "r").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def average_linkage(links: DataFrame, threshold: float) -> DataFrame:
@@ -192,7 +208,7 @@ def average_linkage(links: DataFrame, threshold: float) -> DataFrame:
     return of if of is not None else links.select(F.col("a").alias("node"), F.col("b").alias("cluster")).where(F.lit(False))
 
 
-def linked_names(rows: DataFrame, key: str | None = "entity_id", threshold: float = 0.22) -> DataFrame:
+def linked_names(rows: DataFrame, key: str | None = "entity_id", threshold: float = 0.42) -> DataFrame:
     """(key or spelling, node, cluster): the cluster of each spelling; ``rows`` has is_person, spelling and maybe the key.
 
     With a key, spellings of one key are linked.
@@ -200,7 +216,7 @@ def linked_names(rows: DataFrame, key: str | None = "entity_id", threshold: floa
     keep = [key] if key else ["spelling"]
     read = written(read_names(rows, given_names(rows), keep), "names")
     nodes = read.select("node", "kind", "core", "code", "given").distinct()
-    links = similar_nodes(nodes)
+    links = similar_nodes(nodes, threshold)
     if key:
         first = read.groupBy(key).agg(F.min("node").alias("a"))
         own = read.join(first, key).where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b"), F.lit(1.0).alias("similarity"))

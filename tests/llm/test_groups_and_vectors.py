@@ -322,3 +322,37 @@ def test_long_lines_count_like_short_ones():
     assert P10.is_reference("Doe, A. and others " * 200 + "(2001). On the law. J. Law Stud., 3, 1-9")
     words = " ".join(f"w{i}" for i in range(3000))
     assert P10.statistics(words)[8] > P10.statistics(words.replace("w1", "w2"))[8]  # beyond a thousand words too
+
+
+def brute_cosine(cores, of):
+    """Cosines of all pairs of cores under TF-IDF weights of what ``of`` gives."""
+    held = [dict(zip(*np.unique(of(c), return_counts=True))) for c in cores]
+    n = len(cores)
+    df = {g: sum(g in h for h in held) for h in held for g in h}
+    v = [{g: (1 + np.log(t)) * np.log(1 + n / df[g]) for g, t in h.items()} for h in held]
+    norm = [np.sqrt(sum(x * x for x in h.values())) for h in v]
+    return {(a, b): sum(x * v[b].get(g, 0) for g, x in v[a].items()) / norm[a] / norm[b] for a in range(n) for b in range(n)}
+
+
+@pytest.mark.parametrize("block", [2000, 3])
+def test_similarity_join_of_names(spark, block):
+    """Against all pairs, also with postings cut into many blocks."""
+    rng = random.Random(8)
+    syllables = "bor ken zep lim dar gun tok mi sa re".split()
+    cores = sorted({"".join(rng.choice(syllables) for _ in range(4)) for _ in range(40)} | {"borkenzepa", "borkenezpa", "bokenzepa"})
+    rows = [(i, "person", c, code, "") for i, (c, code) in enumerate((c, code) for c in cores for code in "ab")] + [(900, "organisation", cores[0], "a", "")]
+    nodes = spark.createDataFrame(rows, "node bigint, kind string, core string, code string, given string")
+    three = brute_cosine(cores, lambda c: [("^^" + c + "$$")[i : i + 3] for i in range(len(c) + 2)])
+    pairs = brute_cosine(cores, N.letter_pairs)
+    cosine = {k: 0.65 * three[k] + 0.35 * pairs[k] for k in three}
+    at = {c: i for i, c in enumerate(cores)}
+    expected = {(x[0], y[0]): cosine[at[x[2]], at[y[2]]] for x, y in combinations(rows, 2) if x[1] == y[1] and x[3] == y[3] and cosine[at[x[2]], at[y[2]]] >= 0.42}
+    got = {(r.a, r.b): r.similarity for r in P6.similar_nodes(nodes, block=block).collect()}
+    assert got.keys() == expected.keys() and all(got[k] == pytest.approx(expected[k]) for k in got)
+
+
+def test_names_of_one_hot_code(spark):
+    """A third of all names with one code and one spelling, or all with other cores: every link is found."""
+    rows = [(f"e{i:04}", "Amara Borkekenzepa", "Author", None) for i in range(60)] + [("f1", "A. Borkekenezpa", "Author", None), ("f2", "Zed Q.", "Author", None)]
+    df = spark.createDataFrame(rows, "entity_id string, name string, type string, aliases array<string>")
+    assert P6.same_bearer(df).count() == 61 * 60 // 2
