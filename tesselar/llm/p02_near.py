@@ -10,8 +10,14 @@ threshold go on to an exact comparison of their shingle sets.
 
 Texts with equal shingle sets are one node from the start. A task sends a node's
 bands once, so copies, however many, cost a row each and no pairs. Buckets are compared inside a join whose
-condition is the bit count: nothing that fails it leaves the join, and adaptive
-execution splits a bucket that is hot. Nothing is capped.
+condition is the bit count: nothing that fails it leaves the join. A bucket that
+many nodes share (told by a sample of the nodes, one in HOT_SHARE) is cut into
+blocks, and each two blocks meet in a task of their own, so its pairs are spread
+over the cluster; how it is cut changes no result. Nothing is capped.
+
+The exact comparison is of whole 64-bit shingle hashes of both texts. Links are
+between nodes, the classes' representatives; ``groups`` gives each text its class
+and number of links, ``expand`` all pairs of keys where a result asks for them.
 
 Defined results: null and empty texts and texts under ``min_words`` words are in
 no pair; rows delivered again count once; empty tables give no rows; extra
@@ -34,6 +40,8 @@ from tesselar.storage import written
 
 BANDS, ROWS, BITS = 20, 3, 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: One node in so many is counted to find hot buckets; a bucket of over HOT_NODES nodes (as estimated) is cut into blocks of about as many.
+HOT_SHARE, HOT_NODES = 64, 4_096
 
 
 def _constants(seed: int, n: int) -> np.ndarray:
@@ -119,7 +127,26 @@ class NearPairs:
     links: DataFrame
 
 
-def near_pairs(rows: DataFrame, threshold: float = 0.6, width: int = 3, min_words: int = 30, key: str = "chunk_id", text: str = "text", deviations: float = 4.0) -> NearPairs:
+def bucket_pairs(banded: DataFrame, most: int, hot_share: int, hot_nodes: int) -> DataFrame:
+    """(a, b): pairs of nodes of ``banded`` (node, low, high, bucket) in one bucket that differ in ``most`` places at most, a < b."""
+    differing = F.bit_count(F.col("a.low").bitwiseXOR(F.col("b.low")).bitwiseOR(F.col("a.high").bitwiseXOR(F.col("b.high"))))
+
+    def met(left: DataFrame, right: DataFrame, together) -> DataFrame:
+        return left.alias("a").join(right.alias("b"), together & (differing <= most)).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
+
+    sampled = banded.where(F.pmod(F.xxhash64("node"), F.lit(hot_share)) == 0).groupBy("bucket").agg(F.countDistinct("node").alias("n"))
+    hot = written(sampled.where(F.col("n") * hot_share > hot_nodes).select("bucket", F.ceil(F.col("n") * hot_share / hot_nodes).cast("int").alias("blocks")), "hot")
+    rest = banded.join(hot, "bucket", "left_anti")
+    found = met(rest, rest, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")))
+    cut = banded.join(hot, "bucket").withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    x = cut.select("node", "low", "high", "bucket", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
+    y = cut.select("node", "low", "high", "bucket", F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), "own")).alias("i"))
+    same_block = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+    found = found.unionByName(met(x, y, same_block & (F.col("a.node") != F.col("b.node")) & ((F.col("a.i") < F.col("a.j")) | (F.col("a.node") < F.col("b.node")))))
+    return found.distinct()
+
+
+def near_pairs(rows: DataFrame, threshold: float = 0.6, width: int = 3, min_words: int = 30, key: str = "chunk_id", text: str = "text", deviations: float = 4.0, hot_share: int = HOT_SHARE, hot_nodes: int = HOT_NODES) -> NearPairs:
     """``deviations``: by how many standard deviations the estimate may fall short of the threshold."""
     kind = rows.schema[key].dataType.simpleString()
 
@@ -145,33 +172,24 @@ def near_pairs(rows: DataFrame, threshold: float = 0.6, width: int = 3, min_word
     sketched = written(source.mapInArrow(sketches, f"`{key}` {kind}, node bigint, low bigint, high bigint, buckets array<bigint>"), "sketch")
     members = sketched.select(key, "node").distinct()
     banded = sketched.select("node", "low", "high", F.explode("buckets").alias("bucket"))
-    a, b = banded.alias("a"), banded.alias("b")
     unequal = 0.75 * (1 - threshold)
     most = int(BITS * unequal + deviations * (BITS * unequal * (1 - unequal)) ** 0.5)
-    differing = F.bit_count(F.col("a.low").bitwiseXOR(F.col("b.low")).bitwiseOR(F.col("a.high").bitwiseXOR(F.col("b.high"))))
-    close = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & (differing <= most)
-    pairs = written(a.join(b, close).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "pairs")
-
-    @F.pandas_udf("binary")
-    def shingles(texts):
-        import pandas as pd
-
-        hashes, starts, _ = shingler_of(width).sets(texts.tolist())
-        raw = np.ascontiguousarray((hashes >> np.uint64(32)).astype("<u4")).tobytes()
-        ends = np.append(starts, len(hashes)) * 4
-        return pd.Series([raw[s:e] for s, e in zip(ends, ends[1:])])
+    pairs = written(bucket_pairs(banded, most, hot_share, hot_nodes), "pairs")
 
     @F.pandas_udf("double")
-    def jaccard(shingled, texts):
+    def jaccard(left, right):
         import pandas as pd
 
-        hashes, starts, _ = shingler_of(width).sets(texts.tolist())
-        short, ends = (hashes >> np.uint64(32)).astype("<u4"), np.append(starts, len(hashes))
+        shingler = shingler_of(width)
+        sets = []
+        for column in (left, right):
+            hashes, starts, _ = shingler.sets(column.tolist())
+            sets.append((hashes, np.append(starts, len(hashes))))
+        (x, at), (y, by) = sets
         out = []
-        for raw, s, e in zip(shingled, ends, ends[1:]):
-            other = np.frombuffer(raw, "<u4")
-            common = len(np.intersect1d(other, short[s:e], assume_unique=True))
-            out.append(common / max(1, len(other) + (e - s) - common))
+        for s, e, t, f in zip(at, at[1:], by, by[1:]):
+            common = len(np.intersect1d(x[s:e], y[t:f], assume_unique=True))
+            out.append(common / max(1, (e - s) + (f - t) - common))
         return pd.Series(out, dtype="float64")
 
     # any text of a node has the node's shingle set
@@ -179,8 +197,8 @@ def near_pairs(rows: DataFrame, threshold: float = 0.6, width: int = 3, min_word
     one = sketched.groupBy("node").agg(F.min(key).alias(key)).join(wanted, "node", "left_semi")
     keyed = pairs.join(one.select(F.col("node").alias("a"), F.col(key).alias("ka")), "a").join(one.select(F.col("node").alias("b"), F.col(key).alias("kb")), "b")
     texts = source.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    half = keyed.join(texts, F.col("ka") == F.col("k")).select("a", "b", "kb", shingles("t").alias("s"))
-    links = half.join(texts, F.col("kb") == F.col("k")).select("a", "b", jaccard("s", "t").alias("similarity"))
+    half = keyed.join(texts, F.col("ka") == F.col("k")).select("a", "b", "kb", F.col("t").alias("ta"))
+    links = half.join(texts, F.col("kb") == F.col("k")).select("a", "b", jaccard("ta", "t").alias("similarity"))
     links = links.where(F.col("similarity") >= threshold).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     return NearPairs(members, links)
 

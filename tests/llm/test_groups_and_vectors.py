@@ -53,6 +53,35 @@ def test_near_duplicates(spark):
     assert near.members.where("chunk_id LIKE 'hot%'").select("node").distinct().count() == 1
 
 
+def test_hot_bucket_is_cut_into_blocks(spark):
+    """All texts share most of their words: with blocks of a few nodes the links are the same."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            copy[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        rows.append((f"c{i:03}", " ".join(copy)))
+    df = spark.createDataFrame(rows, "chunk_id string, text string")
+    whole = {tuple(r) for r in P2.near_pairs(df).links.collect()}
+    cut = {tuple(r) for r in P2.near_pairs(df, hot_share=1, hot_nodes=10).links.collect()}
+    own = {k: shingles(t) for k, t in rows}
+    expected = sum(len(own[a] & own[b]) >= 0.6 * len(own[a] | own[b]) for a, b in combinations(own, 2))
+    assert whole == cut and 0.98 * expected <= len(whole) <= expected
+
+
+def test_one_bucket_of_very_many_texts(spark):
+    """10^5 nodes in one bucket, none like another by its bits: no pair leaves the join."""
+    import time
+
+    n, began = 100_000, time.time()
+    bits = np.random.default_rng(1).integers(0, 1 << 63, (2, n))
+    banded = spark.createDataFrame(list(zip(range(n), bits[0].tolist(), bits[1].tolist())), "node bigint, low bigint, high bigint").selectExpr("*", "7 AS bucket")
+    assert P2.bucket_pairs(banded, 16, 16, 4096).count() == 0
+    assert time.time() - began < 300
+
+
 def test_near_duplicates_of_nothing(spark):
     assert P2.expand(P2.near_pairs(spark.createDataFrame([], "chunk_id string, text string"))).count() == 0
 
