@@ -4,14 +4,19 @@ Sparse multinomial logistic regression on TF-IDF character n-grams. The n-grams
 are those of single words, so a text's score is the sum of its words' scores
 over the root of their number: a worker rates each word once and adds up. The
 weights are trained with follow-the-regularised-leader (per-coordinate rates,
-elastic net: l1 keeps them sparse, l2 small). One temperature, fitted on
-held-out paragraphs, makes the softmax a confidence.
+elastic net: l1 keeps them sparse, l2 small); only n-grams with a weight other than
+zero are kept, each under its own number.
 
-Training data are paragraphs of documents by the language they claim. Claims may
-be false, so paragraphs that models fitted on the other thirds contradict are left
-out, twice over, before the last fit. The sample is bounded: at most ``PER_LANGUAGE``
-documents for each language, of each at most ``PARAGRAPHS`` paragraphs. All
-documents are labelled.
+Training data are paragraphs of documents by the language they claim. A fifth of
+them is held out before anything else. Claims may be false, so of the rest those
+paragraphs that models fitted on the other thirds contradict are left out, twice
+over, before the last fit. One temperature, fitted on all that was held out together
+with the share of false claims among it, makes the softmax a confidence. Short
+texts have small scores, so a confidence, not a number of words, decides what counts.
+
+The sample is bounded by parameters of ``train``: at most ``per_language`` documents
+for each language, of each at most ``each`` whole paragraphs. All documents are
+labelled, whole.
 
 Defined results: null, empty and wordless texts have no paragraphs; paragraphs
 without letters have no row; a language that no document claims can't be found;
@@ -27,7 +32,6 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +44,6 @@ SPELLINGS = {
     "fr": ["fr", "fra", "fre", "french", "français"], "it": ["it", "ita", "italian", "italiano"], "nl": ["nl", "nld", "dut", "dutch", "nederlands"],
     "pl": ["pl", "pol", "polish", "polski"], "pt": ["pt", "por", "portuguese", "português"], "ru": ["ru", "rus", "russian", "русский"],
 }
-PER_LANGUAGE, PARAGRAPHS = 150, 2
-SPACE_BITS = 16
-SMOOTH = 0.005
 LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 PARTS = regex.compile(r"\n[^\S\n]*\n\s*")
 
@@ -60,47 +61,51 @@ def paragraphs(text: str) -> list[str]:
     return [p for p in PARTS.split(text) if p.strip()] if text else []
 
 
-def word_features(word: str) -> np.ndarray:
-    """The hashed n-grams, n from 1 to 4, of a word between marks."""
+def word_grams(word: str) -> list[str]:
+    """The n-grams, n from 1 to 4, of a word between marks."""
     w = f"_{word}_"
-    grams = [w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1) if w[i : i + n] != "_"]
-    return np.array([xxhash.xxh32_intdigest(g) & ((1 << SPACE_BITS) - 1) for g in grams], np.int64)
+    return [w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1) if w[i : i + n] != "_"]
 
 
 class LanguageModel:
     def __init__(self, texts: list[str], labels: list[str], l1: float = 0.02, l2: float = 0.02, rate: float = 0.3, rounds: int = 2):
         self.languages = sorted(set(labels))
-        features = Memo(word_features)
-        rows = []
+        numbers: dict[str, int] = {}
+        features = Memo(lambda word: np.array([numbers.setdefault(g, len(numbers)) for g in word_grams(word)], np.int64))
+        rows, sizes = [], []
         for t in texts:
             found = [features[w] for w in LETTERS.findall(t.lower())]
             rows.append(np.concatenate(found) if found else np.zeros(0, np.int64))
-        size = 1 << SPACE_BITS
-        frequency = np.zeros(size)
-        for r in rows:
-            frequency[np.unique(r)] += 1
-        self.idf = np.log((1 + len(rows)) / (1 + frequency)) / math.log(1 + len(rows)) + 0.1
+            sizes.append(max(1, len(found)))
+        rng = np.random.default_rng(3)
+        order = rng.permutation(len(rows))
+        held, order = order[: len(order) // 5], order[len(order) // 5 :]
+        frequency = np.zeros(len(numbers))
+        for j in order:
+            frequency[np.unique(rows[j])] += 1
+        idf = np.log((1 + len(order)) / (1 + frequency)) / math.log(2 + len(order)) + 0.1
         examples = []
-        for t, r in zip(texts, rows):
+        for r, n in zip(rows, sizes):
             index, count = np.unique(r, return_counts=True)
-            n = max(1, len(LETTERS.findall(t)))
-            examples.append((index, count * self.idf[index] / math.sqrt(n)))
+            examples.append((index, count * idf[index] / math.sqrt(n)))
         y = np.array([self.languages.index(x) for x in labels])
-        rng = np.random.default_rng(3)
-        order = rng.permutation(len(examples))
+        size = len(numbers)
         for _ in range(2):  # leave out what models fitted on the other folds contradict
             kept = []
             for fold in range(3):
-                self._fit(examples, y, np.concatenate([order[f::3] for f in range(3) if f != fold]), l1, l2, rate, 1)
-                kept += [j for j in order[fold::3] if (examples[j][1] @ self.weights[examples[j][0]]).argmax() == y[j]]
+                w = self._fit(size, examples, y, np.concatenate([order[f::3] for f in range(3) if f != fold]), l1, l2, rate, 1)
+                kept += [j for j in order[fold::3] if (examples[j][1] @ w[examples[j][0]]).argmax() == y[j]]
             order = rng.permutation(np.array(kept, np.int64))
-        held, train = order[: len(order) // 5], order[len(order) // 5 :]
-        self._fit(examples, y, train, l1, l2, rate, rounds)
-        scores = np.array([x @ self.weights[i] for i, x in (examples[j] for j in held)]) if len(held) else np.zeros((0, len(self.languages)))
-        self.temperature = min(np.geomspace(0.02, 20, 80), key=lambda t: self._loss(scores / t, y[held]))
-
-    def _fit(self, examples, y, train, l1, l2, rate, rounds):
-        shape = (1 << SPACE_BITS, len(self.languages))
+        w = self._fit(size, examples, y, order, l1, l2, rate, rounds)
+        scores = np.array([examples[j][1] @ w[examples[j][0]] for j in held]).reshape(len(held), -1)
+        self.temperature, self.false_claims = self._calibrated(scores, y[held])
+        live = (w != 0).any(1)
+        names = [g for g, i in numbers.items() if live[i]]  # in the order of their numbers
+        self.weights = (w[live] * idf[live, None]).astype("f4")
+        self.index = {g: i for i, g in enumerate(names)}
+
+    def _fit(self, size, examples, y, train, l1, l2, rate, rounds) -> np.ndarray:
+        shape = (size, len(self.languages))
         z, n, w = np.zeros(shape), np.zeros(shape), np.zeros(shape)
         rng = np.random.default_rng(5)
         for _ in range(rounds):
@@ -116,21 +121,27 @@ class LanguageModel:
                 g2 = g * g
                 z[index] = zi + g - (np.sqrt(ni + g2) - np.sqrt(ni)) / rate * wi
                 n[index] = ni + g2
-        w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((1.0 + np.sqrt(n)) / rate + l2))
-        self.weights = w.astype("f4")
+        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((1.0 + np.sqrt(n)) / rate + l2))
 
     @staticmethod
-    def _loss(scores: np.ndarray, y: np.ndarray) -> float:
-        if not len(y):
-            return 0.0
-        top = scores.max(1, keepdims=True)
-        log = scores - top - np.log(np.exp(scores - top).sum(1, keepdims=True))
-        # held-out claims may be false too: a small part of the target goes to all languages
-        return float(-np.mean((1 - SMOOTH) * log[np.arange(len(y)), y] + SMOOTH * log.mean(1)))
+    def _calibrated(scores: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+        """(temperature, share of false claims) under which the claims held out are likeliest; a false claim names languages as often as claims do."""
+        best = (math.inf, 1.0, 0.0)
+        usual = (np.bincount(y, minlength=scores.shape[1]) / max(1, len(y)))[y]
+        for t in np.geomspace(0.02, 20, 80) if len(y) else ():
+            s = scores / t
+            p = np.exp(s - s.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            own = p[np.arange(len(y)), y]
+            for e in (0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4):
+                loss = -np.mean(np.log((1 - e) * own + e * usual))
+                if loss < best[0]:
+                    best = (loss, float(t), e)
+        return best[1:]
 
     def word_score(self, word: str) -> np.ndarray:
-        index = word_features(word)
-        return (self.weights[index] * self.idf[index, None]).sum(0)
+        at = [i for g in word_grams(word) if (i := self.index.get(g)) is not None]
+        return self.weights[at].sum(0)
 
 
 class Labeller:
@@ -177,8 +188,8 @@ class Labeller:
         return p.argmax(1), p.max(1), n.astype(np.int64)
 
 
-def train(documents: DataFrame, claim: str = "claim", text: str = "text") -> LanguageModel | None:
-    """A model from the bounded sample of documents with a claim; None if there are none."""
+def train(documents: DataFrame, claim: str = "claim", text: str = "text", per_language: int = 150, each: int = 2) -> LanguageModel | None:
+    """A model from a sample of at most ``per_language`` documents a claimed language, ``each`` paragraphs of them; None without claims."""
     usable = documents.where(F.col(claim).isNotNull() & (F.length(text) > 20))
     counts = {r[0]: r[1] for r in usable.groupBy(claim).count().collect()}
     if not counts:
@@ -186,16 +197,21 @@ def train(documents: DataFrame, claim: str = "claim", text: str = "text") -> Lan
     # a bound on the text's hash samples each language at random, alike in every run
     share = F.lit(0.0)
     for language, n in counts.items():
-        share = F.when(F.col(claim) == language, F.lit(min(1.0, 1.5 * PER_LANGUAGE / n))).otherwise(share)
+        share = F.when(F.col(claim) == language, F.lit(min(1.0, 1.5 * per_language / n))).otherwise(share)
     place = F.pmod(F.xxhash64(text), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    rows = usable.where(place < share).select(claim, F.xxhash64(text).alias("h"), F.substring(text, 1, 6000).alias("t")).distinct().orderBy("h").limit(4 * PER_LANGUAGE * len(LANGUAGES)).collect()
+
+    def first_paragraphs(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([paragraphs(t)[:each] for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], ["claim", "h", "parts"])
+
+    sampled = usable.where(place < share).select(F.col(claim).alias("claim"), F.xxhash64(text).alias("h"), text)
+    rows = sampled.mapInArrow(first_paragraphs, "claim string, h bigint, parts array<string>").distinct().orderBy("h").limit(4 * per_language * len(LANGUAGES)).collect()
     texts, labels, taken = [], [], Counter()
     for r in rows:
-        if taken[r[0]] < PER_LANGUAGE:
-            taken[r[0]] += 1
-            for p in paragraphs(r.t)[:PARAGRAPHS]:
-                texts.append(p)
-                labels.append(r[0])
+        if taken[r.claim] < per_language:
+            taken[r.claim] += 1
+            texts += r.parts
+            labels += [r.claim] * len(r.parts)
     return LanguageModel(texts, labels) if texts else None
 
 
@@ -253,8 +269,7 @@ def document_languages(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     return best.select(key, F.col("best.lang").alias("lang"), F.col("best.c").alias("language_confidence"), (F.col("best.n") / F.col("total")).alias("share"))
 
 
-def unclaimed(documents: DataFrame, least: float = 0.7, min_words: int = 12, key: str = "doc_id") -> DataFrame:
-    """(key, lang) for each language of a whole paragraph that the document doesn't claim."""
+def unclaimed(documents: DataFrame, least: float = 0.5, key: str = "doc_id") -> DataFrame:
+    """(key, lang) for each language of a whole paragraph, of that confidence, that the document doesn't claim."""
     parts = paragraph_languages(documents, key)
-    sure = (F.col("confidence") >= least) & (F.col("words") >= min_words)
-    return parts.where(sure & ~F.col("lang").eqNullSafe(F.col("claim"))).select(key, "lang").distinct()
+    return parts.where((F.col("confidence") >= least) & ~F.col("lang").eqNullSafe(F.col("claim"))).select(key, "lang").distinct()
