@@ -13,11 +13,18 @@ model of the frequent words.
 The word frequencies come from all texts. Garbled words are in the corpus too,
 so a word that some channel turns into a more frequent word doesn't count as a
 word of the language. Only words with a character beyond ASCII matter, and of
-these only those over a floor of relative frequency are kept (``FLOOR``), which
-bounds their number however large the corpus is; the others are rated by the
-character model.
-
-Defined results: null, empty and pure ASCII texts are never affected; a text
+these only those over a floor of relative frequency are kept (the parameter
+``floor``), which bounds their number, 1 / floor, however large the corpus is; the
+others are rated by the character model. Every kept word can fill a wildcard, and
+where none fits, a beam search over letters under the character model does, if one
+spelling is clearly likelier than all others.
+
+A question mark between letters is read as a lost byte if a known word fits there
+(an encoder that can't write a letter puts one); in other words of ASCII alone
+nothing can be lost.
+
+Defined results: null and empty texts are never affected, nor are pure ASCII ones
+without such a question mark; a text
 with a replacement character is always affected, restorable or not; ties go to
 the text as it stands; rows delivered again count once in ``affected``; extra
 columns are ignored.
@@ -36,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselar.llm.words import Memo
+from tesselar.storage import written
 
 FLOOR = 2e-6
 LOST = "�"
@@ -52,6 +60,8 @@ CONFUSED = [
 ]
 #: Symbols, control and unassigned characters: no part of a word, common in garbled ones.
 SYMBOL = regex.compile(r"[\p{S}\p{C}\p{No}]")
+#: A question mark where a letter may have been lost.
+ASKED = regex.compile(r"(?<=\p{L})\?(?=\p{L})")
 ENTER, ENTER_SINGLE, STAY, LEAVE = -5.0, -9.0, -0.2, -1.0
 
 
@@ -151,8 +161,13 @@ def core_of(token: str) -> str:
 
 
 def foreign_words(text: str) -> list[str]:
-    """The words with a character beyond ASCII, without ASCII marks and digits at their ends."""
-    return [c for t in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if not t.isascii() and (c := core_of(t))]
+    """The words with a character beyond ASCII or a question mark between letters, without ASCII marks and digits at their ends."""
+    return [c for t in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if (not t.isascii() or "?" in t and ASKED.search(t)) and (c := core_of(t))]
+
+
+def plain(text: str) -> bool:
+    """Whether a text can't hold anything garbled."""
+    return text.isascii() and not ("?" in text and ASKED.search(text))
 
 
 def mask_of(word: str) -> str:
@@ -165,6 +180,7 @@ class WordModel:
     def __init__(self, counts: dict[str, int]):
         self.channels = Channels()
         folded: Counter = Counter()
+        counts = {w: n for w, n in counts.items() if not w.isascii()}
         for w, n in counts.items():
             folded[w.casefold()] += n
         # a word that a channel turns into a known word is that word garbled
@@ -233,6 +249,22 @@ class WordModel:
         return None
 
 
+    def spell(self, word: str, beam: int = 24, margin: float = 1.4) -> str | None:
+        """The likeliest letters where characters were lost, if the next best spelling is ``margin`` less likely (natural logarithm)."""
+        letters = [c for c in self.pairs if not c.isascii() and c.isalpha()]
+        paths = [(0.0, "^")]
+        for c in word.casefold() + "$":
+            longer = []
+            for score, path in paths:
+                seen, total = self.pairs.get(path[-1], ({}, 0))
+                longer += [(score + math.log((seen.get(x, 0) + 0.02) / (total + 20)), path + x) for x in (letters if c == LOST else c)]
+            paths = sorted(longer, reverse=True)[:beam]
+        if not paths or len(paths) > 1 and paths[0][0] - paths[1][0] < margin:
+            return None
+        found = paths[0][1][1:-1]
+        return found[:1].upper() + found[1:] if word[:1].isupper() else found
+
+
 class Decoder:
     """Viterbi search over the words of a text."""
 
@@ -245,7 +277,10 @@ class Decoder:
         clean = self.model.log(word) if LOST not in word else -60.0
         out = [(-1, clean, word)]
         if LOST in word:
-            out.append((-2, self.model.log(f) if (f := self.model.fill(word)) else -40.0, f or word))
+            f = self.model.fill(word) or self.model.spell(word)
+            out.append((-2, self.model.log(f) if f else -40.0, f or word))
+        elif "?" in word and (f := self.model.fill(ASKED.sub(LOST, word))):
+            out.append((-2, self.model.log(f), f))
         for channel, utf8, meant in self.model.channels.of[word]:
             if LOST in meant:
                 if LOST not in word and meant.count(LOST) > 1:
@@ -253,7 +288,7 @@ class Decoder:
                 if utf8 and (filled := self.model.fill(meant, lambda f: self._fits(f, meant) and self._spelled(f, word, channel))):
                     out.append((channel, self.model.log(filled) - 1.0, filled))
                 continue
-            if not utf8 and self.model.counts.get(meant.casefold(), 0) < 3:
+            if not utf8 and meant.casefold() not in self.model.counts:
                 continue
             rated = self.model.log(meant)
             if rated > clean - (4.0 if utf8 else 0.0):
@@ -316,7 +351,7 @@ class Decoder:
         decoded = self.decode(words)
         channels = sorted({c for c, _ in decoded if c >= 0})
         lost = sum(LOST in w for w in words)
-        if not channels and not lost:
+        if not channels and not lost and not any(c == -2 and m != w for w, (c, m) in zip(words, decoded)):
             return None
         out, at, done = [], 0, 0
         for word, (channel, meant) in zip(words, decoded):
@@ -329,14 +364,14 @@ class Decoder:
         return "".join([*out, text[at:]]), done, lost, channels
 
 
-def word_counts(texts: DataFrame, text: str = "text") -> dict[str, int]:
-    """Counts of the words over the floor, over all texts."""
+def word_counts(texts: DataFrame, text: str = "text", floor: float = FLOOR, least: int = 2) -> dict[str, int]:
+    """Counts over all texts of the words that make up a share of ``floor`` of them and occur ``least`` times."""
 
     def run(batches):
         counts: Counter = Counter()
         for batch in batches:
             for own in batch.column(0).to_pylist():
-                if own and not own.isascii():
+                if own and not plain(own):
                     counts.update(foreign_words(own))
             if len(counts) > 200_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["w", "n"])
@@ -344,9 +379,9 @@ def word_counts(texts: DataFrame, text: str = "text") -> dict[str, int]:
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["w", "n"])
 
     counted = texts.select(text).mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    total = F.broadcast(counted.agg(F.sum("n").alias("total")))
-    # no more than 1 / FLOOR words can pass, whatever the size of the corpus
-    kept = counted.crossJoin(total).where((F.col("n") >= 2) & (F.col("n") >= FLOOR * F.col("total"))).select("w", "n")
+    counted = written(counted, "words")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    kept = counted.where((F.col("n") >= least) & (F.col("n") >= floor * total))  # 1 / floor words at most
     return {r.w: r.n for r in kept.toLocalIterator()}
 
 
@@ -362,7 +397,7 @@ def affected(texts: DataFrame, counts: dict[str, int], key: str = "doc_id", text
         for batch in batches:
             out = []
             for k, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if own and not own.isascii() and (fixed := decoder.restore(own)):
+                if own and not plain(own) and (fixed := decoder.restore(own)):
                     out.append((k, *fixed[:3], ",".join(name_of(c) for c in fixed[3])))
             frame = pd.DataFrame(out, columns=[key, "restored", "words_restored", "words_lost", "channels"])
             yield from pa.Table.from_pandas(frame, schema=schema, preserve_index=False).to_batches()

@@ -220,6 +220,14 @@ def test_lost_bytes_of_words_that_are_not_the_most_frequent():
     assert d.restore(cut)[0] == "мои"
 
 
+def test_lost_bytes_of_unknown_words_and_question_marks():
+    model = P7.WordModel(WORDS | {w: 400 for w in ("prüfung", "prüfen", "früher", "brücke", "grün")})
+    d = P7.Decoder(model)
+    assert d.restore("die Tr\ufffdbung")[0] == "die Trübung"  # no known word fits; one letter is clearly the likeliest
+    assert d.restore("f?r alle")[0] == "für alle" and d.restore("gepr?ft?")[0] == "geprüft?"
+    assert d.restore("what?why a/b?c=d https://x.example/p?id=3") is None
+
+
 def test_garbled_table(spark):
     rows = [("a", "ok für alle und geprüft " * 3), ("a2", "für geprüft über"), ("b", "das ist " + BROKEN["utf"]), ("b", "das ist " + BROKEN["utf"]), ("c", None), ("d", ""), ("e", "ascii only"), ("f", "x� y"), ("g", "für " * 20000)]
     df = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("*", "1 AS restored", "'z' AS channels")
