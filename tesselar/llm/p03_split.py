@@ -42,7 +42,7 @@ def borders(text: str, tokens: list[tuple[int, int]]) -> dict[int, int]:
         if "\n" in gap:
             stop = text.find("\n", tokens[i][0])
             line = text[tokens[i][0] : stop if stop >= 0 else len(text)]
-            short = len(line) < 80 and not SENTENCE_END.search(line.rstrip())
+            short = not SENTENCE_END.search(line.rstrip())
             if HEADING.match(line) and short or short and line[:1].isupper() and line.istitle():
                 out[i] = 4
             elif gap.count("\n") > 1:
