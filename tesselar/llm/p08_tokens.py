@@ -118,17 +118,33 @@ class PrefixEncoder:
         return b"".join(map(self.units.__getitem__, COARSE.findall(text)))
 
 
+def read_ranks(vocabulary: str) -> dict[bytes, int]:
+    with open(vocabulary, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
 @lru_cache(2)
 def encoder(vocabulary: str) -> PrefixEncoder:
-    with open(vocabulary, "rb") as lines:
-        return PrefixEncoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
+    return PrefixEncoder(read_ranks(vocabulary))
+
+
+_ENCODERS: dict = {}
+
+
+def worker_encoder(token: str, shared) -> PrefixEncoder:
+    """The worker's encoder, built once for all tasks of a call."""
+    if token not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[token] = PrefixEncoder(shared.value)
+    return _ENCODERS[token]
 
 
 def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """(key, ids) for each row of ``df``; one pass, no shuffle."""
+    """(key, ids) for each row of ``df``; one pass, no shuffle. The vocabulary is read by the driver and sent to the workers."""
+    shared, token = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary)), vocabulary  # a fixed table, under a megabyte
 
     def run(batches):
-        own = encoder(vocabulary)
+        own = worker_encoder(token, shared)
         for batch in batches:
             parts = [own.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
             offsets = np.zeros(len(parts) + 1, "i4")
