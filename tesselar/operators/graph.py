@@ -70,25 +70,36 @@ def triangles(edges: DataFrame) -> DataFrame:
     return closed.select(three[0].alias("x"), three[1].alias("y"), three[2].alias("z"))
 
 
-def triangle_count(edges: DataFrame) -> DataFrame:
-    """One row: the number of triangles, without listing wedges.
+def numbered(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) with numbers instead of ids: written once, so a node's number is the same in every task."""
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct().withColumn("k", F.monotonically_increasing_id()), "numbers")
+    of = lambda c: nodes.select(F.col("n").alias(c), F.col("k").alias(f"k{c}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
 
-    Each edge's two ends bring the lists of those they are turned to, which are
-    short however large a hub is; what the lists share closes a triangle. Lists hold 64-bit hashes of the ids.
+
+def triangle_count(pairs: DataFrame) -> DataFrame:
+    """One row: the number of triangles of a simple graph (a, b), without listing wedges.
+
+    Edges are turned to the end of higher degree, so no node, however large a hub,
+    keeps a list longer than the root of twice the edges. Lists hold numbers, not ids. A
+    node's list goes to the lists it has an edge to, one way only, and what two
+    lists share closes a triangle.
     """
-    turned = written(_turned(simple(edges)), "turned")
-    near = turned.groupBy("u").agg(F.collect_list(F.xxhash64("v")).alias("near"))
-    x, y = near.select("u", F.col("near").alias("nu")), near.select(F.col("u").alias("v"), F.col("near").alias("nv"))
-    return turned.join(x, "u").join(y, "v").agg(F.coalesce(F.sum(F.size(F.array_intersect("nu", "nv"))), F.lit(0)).alias("triangles"))
+    turned = written(_turned(numbered(pairs)), "turned")
+    near = written(turned.groupBy("u").agg(F.array_sort(F.collect_list("v")).alias("near")), "near")
+    sent = near.select(F.col("near").alias("nu"), F.explode("near").alias("v"))
+    # the lists are small on disk and large in memory: never broadcast
+    met = sent.hint("merge").join(near.select(F.col("u").alias("v"), F.col("near").alias("nv")), "v")
+    return met.agg(F.coalesce(F.sum(F.size(F.array_intersect("nu", "nv"))), F.lit(0)).alias("triangles"))
 
 
 def clustering(edges: DataFrame) -> DataFrame:
     """One row: triangles, wedges and 3 x triangles / wedges of the simple graph."""
-    pairs = simple(edges)
+    pairs = written(simple(edges), "simple")
     d = pairs.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("d"))
-    wedges = d.agg(F.sum(F.expr("d * (d - 1) div 2")).alias("wedges"))
-    closed = triangle_count(edges)
-    return closed.crossJoin(wedges).select("triangles", "wedges", F.round(3 * F.col("triangles") / F.col("wedges"), 6).alias("coefficient"))
+    wedges = d.agg(F.sum(F.expr("d * (d - 1) div 2")).alias("wedges")).first()[0]
+    closed = triangle_count(pairs).withColumn("wedges", F.lit(wedges).cast("bigint"))
+    return closed.select("triangles", "wedges", F.round(3 * F.col("triangles") / F.col("wedges"), 6).alias("coefficient"))
 
 
 def concentration(edges: DataFrame) -> DataFrame:
@@ -110,17 +121,23 @@ def components(edges: DataFrame) -> DataFrame:
     and a join, never by a gathered neighbourhood.
     """
     pairs = written(edges.where(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "pairs")
+    before = _fingerprint(pairs)
     while True:
-        large = _star(pairs, larger=True)
-        small = written(_star(large, larger=False), "stars")
-        changed = small.exceptAll(pairs).take(1) or pairs.exceptAll(small).take(1)
-        pairs = small
-        if not changed:
+        pairs = written(_star(_star(pairs, larger=True), larger=False), "stars")
+        now = _fingerprint(pairs)
+        if now == before:
             break
+        before = now
     members = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.unionByName(members.select(F.col("component").alias("node"), "component").distinct())
 
 
+def _fingerprint(pairs: DataFrame) -> tuple:
+    """Count and two sums of 64-bit hashes of distinct pairs: equal for equal sets, for others with a chance of 2^-128 or so; no shuffle of the pairs."""
+    half = lambda h: F.sum(F.shiftright(h, 20).cast("decimal(20,0)"))
+    return tuple(pairs.agg(F.count(F.lit(1)), half(F.xxhash64("u", "v")), half(F.xxhash64("v", F.lit(7), "u"))).first())
+
+
 def _star(pairs: DataFrame, larger: bool) -> DataFrame:
     """One star step over pairs (u, v) with u > v."""
     if larger:

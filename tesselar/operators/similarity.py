@@ -16,14 +16,16 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, id_: str, vector: str, blocks: int | None = None) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, id_: str, vector: str, block_rows: int = 4_096) -> DataFrame:
     """(a, b, similarity) of all pairs over a threshold, a < b, exact.
 
-    Vectors are packed into blocks; each pair of blocks is one task and one
-    matrix product. Vectors of the two blocks meet through a join on the block
-    pair, so memory is two blocks however large the table is.
+    Vectors are packed into blocks of about ``block_rows``; each pair of blocks is
+    one group and one matrix product, so a task's memory is two blocks and their
+    products however large the table is. The work, and the number of times a vector
+    is sent, grow with the number of blocks: this is the exact way, for tables
+    that can afford all pairs.
     """
-    blocks = blocks or max(1, vectors.sparkSession.sparkContext.defaultParallelism)
+    blocks = max(1, -(-vectors.count() // block_rows))
     kind = vectors.schema[id_].dataType.simpleString()
     rows = vectors.select(F.col(id_).alias("id"), F.col(vector).alias("v")).where(F.col("v").isNotNull()).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     others = F.sequence(F.lit(0), F.lit(blocks - 1))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tesselar.functions import models
@@ -13,14 +11,14 @@ from tesselar.plans.text_queries import _lines, sections
 from tesselar.session import table
 from tesselar.sources import documents as D
 from tesselar.sources import html as H
-from tesselar.storage import shared_dir
+from tesselar.storage import place_for
 from tesselar.streaming import events as S
 
 c = F.col
 
 
 def _place(s, name: str) -> str:
-    return f"{shared_dir(s)}/tesselar/{name}-{uuid.uuid4().hex}"
+    return place_for(s, name)
 
 
 @register("scan_regulation_docs")
@@ -122,24 +120,34 @@ def sliding_rate(s, d):
     return both.withColumn("n", F.count(F.lit(1)).over(w)).where("m = own").select("event_id", "n")
 
 
-@register("stream_tumbling")
+def _epoch(column: str):
+    return F.unix_timestamp(column)
+
+
+@register("stream_tumbling", "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(s, d):
-    return S.run_to_table(S.tumbling(S.read_stream(s, d, "events.parquet")), "tumbling")
+    src = S.source(s, d, "events.parquet")
+    return S.run_to_table(S.tumbling(src.stream), "tumbling", closing=src).withColumn("start", _epoch("start"))
 
 
-@register("stream_sliding")
+@register("stream_sliding", "SELECT CAST(w AS BIGINT) AS start, count(*) AS n FROM (SELECT unnest(list_transform(range(0, 6), lambda k: (epoch_us(ts) // 10000000 - k) * 10)) AS w FROM events) GROUP BY 1")
 def stream_sliding(s, d):
-    return S.run_to_table(S.sliding_rate(S.read_stream(s, d, "events.parquet")), "sliding")
+    src = S.source(s, d, "events.parquet")
+    return S.run_to_table(S.sliding_rate(src.stream), "sliding", closing=src).withColumn("start", _epoch("start"))
 
 
-@register("stream_sessions")
+@register(
+    "stream_sessions",
+    "WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 1800000000 AS end, count(*) AS n FROM g GROUP BY user_id, k",
+)
 def stream_sessions(s, d):
-    return S.run_to_table(S.sessions(S.read_stream(s, d, "events.parquet")), "sessions")
+    src = S.source(s, d, "events.parquet")
+    return S.run_to_table(S.sessions(src.stream), "sessions", closing=src).withColumns({"start": F.unix_micros("start"), "end": F.unix_micros("end")})
 
 
-@register("stream_dedup")
+@register("stream_dedup", "SELECT DISTINCT ON (event_id) event_id, epoch_us(ts) AS ts, user_id, event_type, value, props FROM events")
 def stream_dedup(s, d):
-    return S.run_to_table(S.deduplicated(S.read_stream(s, d, "events.parquet")), "dedup")
+    return S.run_to_table(S.deduplicated(S.read_stream(s, d, "events.parquet")), "dedup").withColumn("ts", F.unix_micros("ts"))
 
 
 @register("event_json", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
