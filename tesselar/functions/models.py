@@ -101,3 +101,38 @@ def missing_vectors(rows: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
 def support_score(answer_words, source_words):
     """Share of an answer's words that its sources have."""
     return F.when(F.size(answer_words) > 0, F.size(F.array_intersect(answer_words, source_words)) / F.size(answer_words)).otherwise(0.0)
+
+
+class RelationExtractor(Protocol):
+    """Finds (subject, predicate, object) among names in a text."""
+
+    def relations(self, text: str, names: list[str]) -> list[tuple[str, str, str]]: ...
+
+
+class RuleRelations:
+    """Two names of one sentence with one to four words between them: these are the predicate."""
+
+    def relations(self, text: str, names: list[str]) -> list[tuple[str, str, str]]:
+        out = []
+        for sentence in re.split(r"(?<=[.!?])\s+", text):
+            low = sentence.lower()
+            at = sorted((i, i + len(n), n) for n in names if n and (i := low.find(n.lower())) >= 0)
+            for (_, end, a), (start, _, b) in zip(at, at[1:]):
+                between = re.findall(r"[a-z]+", low[end:start]) if start > end else []
+                if 1 <= len(between) <= 4:
+                    out.append((a, "_".join(between), b))
+        return out
+
+
+def extract_relations(chunks: DataFrame, model: RelationExtractor | None = None, key: str = "chunk_id") -> DataFrame:
+    """(key, subject, predicate, object, confidence) of chunks (key, text, names)."""
+    model = model or RuleRelations()
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [(k, *r, 1.0) for k, t, n in zip(pdf[key], pdf["text"], pdf["names"]) if t for r in model.relations(t, list(n))]
+            yield pd.DataFrame(rows, columns=[key, "subject", "predicate", "object", "confidence"])
+
+    return chunks.select(key, "text", "names").mapInPandas(run, f"{key} {chunks.schema[key].dataType.simpleString()}, subject string, predicate string, object string, confidence double")

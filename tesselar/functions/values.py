@@ -61,7 +61,65 @@ DOCUMENT_WORDS = {
     "regulation": "regulations?|regulatory|laws?|legal|legislation|acts?|directives?|statutes?|ordinances?|rules?|requirements?|compliance|mandatory|jurisdiction|government|official",
     "academic": "papers?|articles?|publications?|stud(?:y|ies)|research|researchers?|journals?|proceedings?|conference|authors?|scholars?|academics?|literature",
 }
-JURISDICTION_ALIASES = {"European Union": "EU", "United States": "US", "United Kingdom": "GB", "United Arab Emirates": "AE", "South Korea": "KR", "Hong Kong": "HK", "New Zealand": "NZ", "South Africa": "ZA", "Saudi Arabia": "SA", "Czech Republic": "CZ"}
+
+# Names of jurisdictions as typed and their codes, in this order.
+JURISDICTION_ALIASES = {
+    "European Union": "EU",
+    "United States": "US",
+    "United Kingdom": "GB",
+    "United Arab Emirates": "AE",
+    "South Korea": "KR",
+    "South Africa": "ZA",
+    "New Zealand": "NZ",
+    "Hong Kong": "HK",
+    "Saudi Arabia": "SA",
+    "Czech Republic": "CZ",
+    "UK": "GB",
+    "USA": "US",
+    "America": "US",
+    "UAE": "AE",
+    "Korea": "KR",
+    "Germany": "DE",
+    "France": "FR",
+    "Spain": "ES",
+    "Italy": "IT",
+    "China": "CN",
+    "Japan": "JP",
+    "Brazil": "BR",
+    "India": "IN",
+    "Australia": "AU",
+    "Canada": "CA",
+    "Mexico": "MX",
+    "Argentina": "AR",
+    "Netherlands": "NL",
+    "Belgium": "BE",
+    "Switzerland": "CH",
+    "Sweden": "SE",
+    "Norway": "NO",
+    "Denmark": "DK",
+    "Finland": "FI",
+    "Poland": "PL",
+    "Austria": "AT",
+    "Portugal": "PT",
+    "Ireland": "IE",
+    "Greece": "GR",
+    "Hungary": "HU",
+    "Romania": "RO",
+    "Israel": "IL",
+    "Egypt": "EG",
+    "Nigeria": "NG",
+    "Kenya": "KE",
+    "Singapore": "SG",
+    "Malaysia": "MY",
+    "Indonesia": "ID",
+    "Philippines": "PH",
+    "Taiwan": "TW",
+    "Pakistan": "PK",
+    "Chile": "CL",
+    "Colombia": "CO",
+    "Peru": "PE",
+    "Luxembourg": "LU",
+}
 
 # Frequent words by which a language is told.
 STOP_WORDS = {

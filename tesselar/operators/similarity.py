@@ -94,3 +94,14 @@ def search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 def drop_repeats(ids: DataFrame, pairs: DataFrame, id_: str) -> DataFrame:
     """Without the ids that a smaller id is similar to, itself dropped or not."""
     return ids.join(pairs.select(F.col("b").alias(id_)).distinct(), id_, "left_anti")
+
+
+def unit(v: Column) -> Column:
+    """The vector at length 1; a zero vector stays."""
+    norm = F.sqrt(dot(v, v))
+    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+
+
+def cosine_of_distance(squared: Column) -> Column:
+    """The cosine of two unit vectors from their squared Euclidean distance."""
+    return 1 - squared / 2

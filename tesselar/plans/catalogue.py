@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselar.plans import entity_queries, graph_queries, link_queries, pipeline_queries, retrieval_queries, text_queries  # noqa: F401
+from tesselar.plans import citation_queries, entity_queries, graph_queries, link_queries, pipeline_queries, retrieval_queries, text_queries  # noqa: F401
 from tesselar.plans.registry import QUERIES, SQL, Query
 
 

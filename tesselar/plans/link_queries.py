@@ -148,22 +148,6 @@ def link_cascade(s, d):
     return L.cascade(every, ("exact", exact), ("title", link_title(s, d)), ("abstract", link_abstract(s, d)))
 
 
-@register("match_reference")
-def match_reference(s, d):
-    """References against all authors, then all journals, of the entities, by equal lower-case names; the fuzzy tiers and the year tier are missing."""
-    r = refs(s, d).withColumn("id", F.concat(c("doc_id").cast("string"), F.lit("#"), c("place").cast("string")))
-    known = authors(s, d).select(F.lower("surname").alias("k"), c("entity_id")).groupBy("k").agg(F.min("entity_id").alias("other"))
-    by_author = r.join(known, F.lower("surname") == c("k")).select("id", "other")
-    j = table(s, d, "entities").where("type = 'Journal' AND name IS NOT NULL").groupBy(F.lower("name").alias("k")).agg(F.min("entity_id").alias("other"))
-    by_journal = r.join(j, F.lower("journal") == c("k")).select("id", "other")
-    return L.cascade(r.select("id").distinct(), ("author", by_author.dropDuplicates(["id"])), ("journal", by_journal.dropDuplicates(["id"])))
-
-
-@register("match_stats")
-def match_stats(s, d):
-    return match_reference(s, d).groupBy("method").agg(F.count(F.lit(1)).alias("n"))
-
-
 @register("enrich_report", f"WITH {REFS} SELECT count(*) AS refs, count(DISTINCT doc_id) AS citing, count(DISTINCT journal) AS journals, round(CAST(count(*) AS DOUBLE) / count(DISTINCT doc_id), 2) AS per_document FROM refs")
 def enrich_report(s, d):
     return refs(s, d).agg(F.count(F.lit(1)).alias("refs"), F.countDistinct("doc_id").alias("citing"), F.countDistinct("journal").alias("journals"), F.round(F.count(F.lit(1)) / F.countDistinct("doc_id"), 2).alias("per_document"))

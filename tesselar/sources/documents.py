@@ -107,3 +107,24 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
     nodes.write.mode("overwrite").partitionBy("label").parquet(f"{path}/nodes")
     referential(edges, nodes).write.mode("overwrite").partitionBy("rel").parquet(f"{path}/edges")
+
+
+def truncate_graph(spark: SparkSession, path: str) -> None:
+    """Empty node and edge tables in place of what is there."""
+    for part in ("nodes", "edges"):
+        old = spark.read.parquet(f"{path}/{part}")
+        spark.createDataFrame([], old.schema).write.mode("overwrite").parquet(f"{path}/{part}")
+
+
+def read_preferred(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """The first table of ``paths`` that exists; an empty one if none does."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        if hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop(path)):
+            return spark.read.parquet(path)
+    return spark.createDataFrame([], schema)
+
+
+def write_csv(rows: DataFrame, path: str, append: bool = False) -> None:
+    """CSV with a header, quotes doubled; new rows are added with ``append``."""
+    rows.write.mode("append" if append else "overwrite").option("header", True).option("escape", '"').csv(path)
