@@ -348,12 +348,17 @@ def adaptive_rounds(s, d):
     return R.adaptive(_candidates(s, d), 6)
 
 
-@register("candidate_chunks", f"WITH {VEC}, dir AS (SELECT label AS entity, vec_id AS chunk FROM v WHERE vec_id % 3 = 0), near AS (SELECT DISTINCT dir.entity AS entity, CASE WHEN dir.chunk = a THEN b ELSE a END AS chunk, max(s) AS s FROM dir JOIN sim ON (dir.chunk = a OR dir.chunk = b) WHERE s >= 0.35 GROUP BY 1, 2), u AS (SELECT entity, chunk, 1.0::DOUBLE AS s, true AS direct FROM dir UNION ALL SELECT entity, chunk, s, false FROM near WHERE (entity, chunk) NOT IN (SELECT (entity, chunk) FROM dir)), r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY direct DESC, s DESC, chunk) AS place FROM u) SELECT entity, chunk, direct FROM r WHERE place <= 200")
+EMBEDDED = "ev AS (SELECT DISTINCT chunk_id, CAST(embedding AS DOUBLE[]) AS v FROM embedded_chunks WHERE len(embedding) = 64), ok AS (SELECT chunk_id, v FROM ev WHERE list_inner_product(v, v) > 0), es AS (SELECT x.chunk_id AS a, y.chunk_id AS b, list_inner_product(x.v, y.v) / sqrt(list_inner_product(x.v, x.v) * list_inner_product(y.v, y.v)) AS s FROM ok x JOIN ok y ON x.chunk_id < y.chunk_id)"
+
+
+@register("candidate_chunks", f"WITH {EMBEDDED}, dir AS (SELECT DISTINCT name AS entity, chunk_id AS chunk FROM pre_entities WHERE name IS NOT NULL AND chunk_id IS NOT NULL), bw AS (SELECT a AS chunk, b AS other, s FROM es WHERE s >= 0.85 UNION ALL SELECT b, a, s FROM es WHERE s >= 0.85), near AS (SELECT entity, other AS chunk, max(s) AS s FROM dir JOIN bw USING (chunk) GROUP BY 1, 2), u AS (SELECT entity, chunk, 1.0::DOUBLE AS s, true AS direct FROM dir UNION ALL SELECT n.entity, n.chunk, n.s, false FROM near n ANTI JOIN dir ON n.entity = dir.entity AND n.chunk = dir.chunk), r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY direct DESC, round(s, 9) DESC, chunk) AS place FROM u) SELECT entity, chunk, direct FROM r WHERE place <= 200")
 def candidate_chunks(s, d):
-    v = vectors(s, d)
-    direct = v.where("vec_id % 3 = 0").select(c("label").alias("entity"), c("vec_id").alias("chunk"))
-    p = S.similar_pairs(v, 0.35, "vec_id", "embedding")
+    """Of each name the chunks that mention it, then those like them (.85), 200 at most as the operator has it."""
+    direct = table(s, d, "pre_entities").where("name IS NOT NULL AND chunk_id IS NOT NULL").select(c("name").alias("entity"), c("chunk_id").alias("chunk")).distinct()
+    v = table(s, d, "embedded_chunks").where(F.size("embedding") == 64).select("chunk_id", "embedding").distinct()
+    v = v.where(S.dot(c("embedding"), c("embedding")) > 0)
+    p = S.similar_pairs(v, 0.85, "chunk_id", "embedding")
     both = p.select(c("a").alias("chunk"), c("b").alias("to"), "similarity").unionByName(p.select(c("b").alias("chunk"), c("a").alias("to"), "similarity"))
     near = direct.join(both, "chunk").groupBy("entity", c("to").alias("chunk")).agg(F.max("similarity").alias("s")).join(direct, ["entity", "chunk"], "left_anti")
     u = direct.select("entity", "chunk", F.lit(1.0).alias("s"), F.lit(True).alias("direct")).unionByName(near.select("entity", "chunk", "s", F.lit(False).alias("direct")))
-    return u.withColumn("place", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("direct"), F.desc("s"), "chunk"))).where("place <= 200").select("entity", "chunk", "direct")
+    return u.withColumn("place", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("direct"), F.desc(F.round("s", 9)), "chunk"))).where("place <= 200").select("entity", "chunk", "direct")

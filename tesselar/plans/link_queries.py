@@ -99,10 +99,10 @@ def match_journal(s, d):
     return L.best_ratio(j, r, [], 0.70, "sequence_ratio", 4)
 
 
-@register("match_partial", f"WITH {REFS}, k AS (SELECT DISTINCT surname, year FROM refs), t AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND source_type = 'regulation') SELECT doc_id, CAST(max(CASE WHEN contains(text, surname) THEN 0.65 ELSE 0.5 END) AS DOUBLE) AS confidence FROM (SELECT doc_id, text, CAST(unnest(list_distinct(regexp_extract_all(text, '(?:19|20)[0-9][0-9]'))) AS INTEGER) AS y FROM t) JOIN k ON y = year GROUP BY doc_id")
+@register("match_partial", f"WITH {REFS}, k AS (SELECT DISTINCT surname, year FROM refs), t AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(max(CASE WHEN contains(text, surname) THEN 0.65 ELSE 0.5 END) AS DOUBLE) AS confidence FROM (SELECT doc_id, text, CAST(unnest(list_distinct(regexp_extract_all(text, '(?:19|20)[0-9][0-9]'))) AS INTEGER) AS y FROM t) JOIN k ON y = year GROUP BY doc_id")
 def match_partial(s, d):
     k = refs(s, d).select("surname", "year").distinct()
-    t = table(s, d, "documents").where("text IS NOT NULL AND source_type = 'regulation'")
+    t = table(s, d, "documents").where("text IS NOT NULL")
     years = t.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("(?:19|20)[0-9][0-9]"), F.lit(0)))).alias("y"))
     by_year = years.join(k, c("y").cast("int") == c("year"))
     return by_year.groupBy("doc_id").agg(F.max(F.when(F.contains("text", "surname"), 0.65).otherwise(0.5)).alias("confidence"))

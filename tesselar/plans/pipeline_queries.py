@@ -53,14 +53,14 @@ def scan_biblio_csv(s, d):
 
 @register("html_sections")
 def html_sections(s, d):
-    docs = table(s, d, "raw_documents").where("text LIKE '%<p%'")
+    docs = table(s, d, "raw_documents").where("text IS NOT NULL")
     page = F.concat(F.lit('<div class="page-nav-accordion__item"><a class="page-nav-accordion__title">'), F.coalesce("title", F.lit("Untitled")), F.lit('</a><div class="page-nav-accordion__content">'), "text", F.lit("</div></div>"))
     return H.html_sections(docs.select("doc_id", page.alias("html")), "doc_id", "html").select("doc_id", "section.title", "section.heading", "section.main_content", F.size("section.links").alias("links"))
 
 
 @register("html_text")
 def html_text(s, d):
-    return H.html_text(table(s, d, "raw_documents").where("text LIKE '%<p%'"), "doc_id", "text")
+    return H.html_text(table(s, d, "raw_documents").where("text IS NOT NULL"), "doc_id", "text")
 
 
 @register("semantic_chunks_build")

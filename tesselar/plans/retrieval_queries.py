@@ -21,7 +21,7 @@ QUERIES = "q AS (SELECT vec_id AS query, label, CAST(embedding AS DOUBLE[]) AS q
 CHUNKS = "k AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v, 'J' || (vec_id % 7) AS jurisdiction, CASE WHEN vec_id % 2 = 0 THEN 'regulation' ELSE 'paper' END AS kind FROM embeddings)"
 COS = "list_inner_product(qv, v) / sqrt(list_inner_product(qv, qv) * list_inner_product(v, v))"
 SEM = f"{QUERIES}, {CHUNKS}, sr AS (SELECT query, id, {COS} AS score FROM q, k), sp AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM sr), sem AS (SELECT query, id, score, CAST(place AS INTEGER) AS rank FROM sp WHERE place <= 15)"
-GR = "gr AS (SELECT query, id, CAST(least(0.40 + 0.05 * (id % 6), 0.60) AS DOUBLE) AS score, id % 4 = 0 AS provenance FROM q JOIN k ON q.label = k.label WHERE id % 3 = 0)"
+GR = "gr AS (SELECT query, id, CAST(least(0.40 + 0.05 * (id % 6), 0.60) AS DOUBLE) AS score, id % 4 = 0 AS provenance FROM q JOIN k ON q.label = k.label)"
 MERGE = f"{SEM}, {GR}, mg AS (SELECT query, id, CASE WHEN sem.score IS NOT NULL AND gr.score IS NOT NULL THEN 'dual' WHEN gr.score IS NOT NULL THEN 'graph' ELSE 'semantic' END AS found_by, sem.score AS s, gr.score AS g FROM sem FULL JOIN gr USING (query, id))"
 PEN = "(CASE WHEN jurisdiction <> 'J' || (query % 7) THEN 0.9 ELSE 1.0 END) * (CASE WHEN kind <> 'regulation' THEN 0.85 ELSE 1.0 END)"
 
@@ -39,7 +39,7 @@ def semantic(s, d):
 
 
 def by_graph(s, d):
-    j = queries(s, d).select("query", "label").join(chunks(s, d).where("id % 3 = 0"), "label")
+    j = queries(s, d).select("query", "label").join(chunks(s, d), "label")
     return j.select("query", "id", T.graph_score(c("id") % 6).cast("double").alias("score"), (c("id") % 4 == 0).alias("provenance"))
 
 
@@ -66,16 +66,10 @@ def merge_channels(s, d):
     return merged(s, d).select("query", "id", "found_by")
 
 
-@register("filter_penalty", f"WITH {QUERIES}, {CHUNKS} SELECT query, id, CAST(round({PEN}, 4) AS DOUBLE) AS factor FROM q, k WHERE id % 11 = 0")
+@register("filter_penalty", f"WITH {MERGE} SELECT query, id, CAST(round({PEN}, 4) AS DOUBLE) AS factor FROM mg JOIN k USING (id)")
 def filter_penalty(s, d):
-    # the queries are a stated set of some dozens, set against all chunks of the rule
-    return chunks(s, d).where("id % 11 = 0").join(F.broadcast(queries(s, d).select("query"))).select("query", "id", F.round(_penalty(), 4).alias("factor"))
-
-
-@register("filter_penalty_all", f"WITH {QUERIES}, {CHUNKS} SELECT query, id, CAST(round({PEN}, 4) AS DOUBLE) AS factor FROM q, k")
-def filter_penalty_all(s, d):
-    # the factor of filter_penalty over all chunks, without its filter on the id
-    return chunks(s, d).join(F.broadcast(queries(s, d).select("query"))).select("query", "id", F.round(_penalty(), 4).alias("factor"))
+    """The factor of every chunk that either channel found."""
+    return merged(s, d).join(chunks(s, d).drop("v", "label"), "id").select("query", "id", F.round(_penalty(), 4).alias("factor"))
 
 
 RANK = lambda score, src: f"SELECT query, id, round({score}, 5) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY round({score}, 5) DESC, id) AS INTEGER) AS place FROM {src} JOIN k USING (id) QUALIFY place <= 20"
@@ -110,10 +104,10 @@ def ranked(s, d):
 DUAL = f"WITH {MERGE}, rk AS (SELECT query, id, found_by, kind, jurisdiction, round(coalesce(s, 0.5) * {PEN} * CASE WHEN found_by = 'dual' THEN 1.05 ELSE 1.0 END, 5) AS score FROM mg JOIN k USING (id)), t20 AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS place FROM rk QUALIFY place <= 20) "
 
 
-@register("retrieval_metrics", DUAL + "SELECT query, count(*) AS n, count(*) FILTER (WHERE found_by = 'dual') AS dual, count(*) FILTER (WHERE found_by = 'graph') AS graph, count(*) FILTER (WHERE found_by = 'semantic') AS semantic, round(avg(score), 4) AS mean_score, count(*) FILTER (WHERE kind = 'regulation') AS regulations, count(DISTINCT jurisdiction) AS jurisdictions FROM t20 GROUP BY query")
+@register("retrieval_metrics", DUAL + "SELECT query, count(*) AS n, count(*) FILTER (WHERE found_by = 'dual') AS dual, count(*) FILTER (WHERE found_by = 'graph') AS graph, count(*) FILTER (WHERE found_by = 'semantic') AS semantic, round(avg(score), 7) AS mean_score, count(*) FILTER (WHERE kind = 'regulation') AS regulations, count(DISTINCT jurisdiction) AS jurisdictions FROM t20 GROUP BY query")
 def retrieval_metrics(s, d):
     f = lambda v: F.count_if(c("found_by") == v).alias(v)
-    return ranked(s, d).groupBy("query").agg(F.count(F.lit(1)).alias("n"), f("dual"), f("graph"), f("semantic"), F.round(F.avg("score"), 4).alias("mean_score"), F.count_if(c("kind") == "regulation").alias("regulations"), F.countDistinct("jurisdiction").alias("jurisdictions"))
+    return ranked(s, d).groupBy("query").agg(F.count(F.lit(1)).alias("n"), f("dual"), f("graph"), f("semantic"), F.round(F.avg("score"), 7).alias("mean_score"), F.count_if(c("kind") == "regulation").alias("regulations"), F.countDistinct("jurisdiction").alias("jurisdictions"))
 
 
 @register("assemble_prompt", DUAL + ", c AS (SELECT query, id, place, 60 + id % 90 AS cost FROM t20), b AS (SELECT *, sum(cost) OVER (PARTITION BY query ORDER BY place ROWS UNBOUNDED PRECEDING) AS spent FROM c) SELECT query, string_agg('[' || place || '] ' || id, ' ' ORDER BY place) AS prompt FROM b WHERE spent <= 1000 GROUP BY query")

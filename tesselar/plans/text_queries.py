@@ -162,20 +162,26 @@ def norm_jurisdiction(s, d):
 
 
 def _header_sql(line: str) -> str:
-    return f"regexp_matches({line}, {q('(?i)' + '|'.join('(?:' + p + ')' for p in V.HEADERS['regulation']))})"
+    of = lambda kind: f"regexp_matches({line}, {q('(?i)' + '|'.join('(?:' + p + ')' for p in V.HEADERS[kind]))})"
+    return f"CASE WHEN source_type = 'regulation' THEN {of('regulation')} ELSE {of('paper')} END"
 
 
-LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents WHERE text IS NOT NULL AND source_type = 'regulation')"
+LINES = "lines AS (SELECT doc_id, source_type, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents WHERE text IS NOT NULL)"
 
 
 def _lines(s, d):
-    docs = table(s, d, "documents").where("text IS NOT NULL AND source_type = 'regulation'")
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("doc_id", (c("at") + 1).cast("bigint").alias("place"), "line")
+    docs = table(s, d, "documents").where("text IS NOT NULL")
+    return docs.select("doc_id", "source_type", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("doc_id", "source_type", (c("at") + 1).cast("bigint").alias("place"), "line")
+
+
+def _is_header(line):
+    """By the patterns of the document's kind."""
+    return F.when(c("source_type") == "regulation", X.header_line(line, "regulation")).otherwise(X.header_line(line, "paper"))
 
 
 @register("header_lines", f"WITH {LINES} SELECT doc_id, place, line FROM lines WHERE {_header_sql('line')}")
 def header_lines(s, d):
-    return _lines(s, d).where(X.header_line(c("line"), "regulation")).select("doc_id", "place", "line")
+    return _lines(s, d).where(_is_header(c("line"))).select("doc_id", "place", "line")
 
 
 @register("garbage_header", "SELECT DISTINCT section_header AS header, " + " OR ".join(f"contains(lower(trim(regexp_replace(section_header, '^#+\\s*', ''))), {q(g.lower())})" for g in V.GARBAGE_HEADERS) + " AS garbage FROM chunks WHERE section_header IS NOT NULL")
@@ -187,9 +193,9 @@ SECTIONS = f"""WITH {LINES}, marked AS (SELECT *, {_header_sql('line')} AS is_he
  packed AS (SELECT doc_id, section, max(CASE WHEN is_header THEN line END) AS header, coalesce(string_agg(CASE WHEN is_header THEN NULL ELSE line END, chr(10) ORDER BY place), '') AS content FROM numbered GROUP BY doc_id, section) SELECT doc_id, section, header, md5(content) AS digest FROM packed WHERE trim(replace(content, chr(10), ' ')) <> ''"""
 
 
-def sections(lines, source_type: str = "regulation"):
+def sections(lines):
     """(doc_id, section, header, content): a header opens a section; one without content gives none."""
-    is_header = X.header_line(c("line"), source_type)
+    is_header = _is_header(c("line"))
     running = Window.partitionBy("doc_id").orderBy("place")
     numbered = lines.withColumn("is_header", is_header).withColumn("section", F.sum(c("is_header").cast("bigint")).over(running))
     line = F.struct("place", "line")
