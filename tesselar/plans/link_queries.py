@@ -27,7 +27,10 @@ def parse_reference(s, d):
     return refs(s, d)
 
 
-@register("parse_ref_free")
+FREE = r"l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents WHERE text IS NOT NULL), f AS (SELECT doc_id, raw, regexp_replace(raw, '^\[\d+\]\s*', '') AS bare FROM l WHERE regexp_matches(raw, '\(?(19|20)\d{2}\)?') AND regexp_matches(raw, '^(\[\d+\]\s*)?[A-Z]')), g AS (SELECT doc_id, regexp_extract(bare, '^([^(]{2,80}?)\s*\(', 1) AS a, CAST(regexp_extract(raw, '\(?((?:19|20)\d{2})\)?', 1) AS INTEGER) AS year, regexp_extract(bare, '\((?:19|20)\d{2}\)\.?\s*([^.]+)\.', 1) AS title FROM f)"
+
+
+@register("parse_ref_free", f"WITH {FREE} SELECT doc_id, CASE WHEN contains(a, ',') THEN trim(string_split(a, ',')[1]) ELSE regexp_split_to_array(trim(a), ' +')[-1] END AS surname, year, title FROM g WHERE title <> ''")
 def parse_ref_free(s, d):
     """References in any form: year, first author and title by position."""
     lines = table(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.explode(F.split("text", "\n")).alias("raw")).where(c("raw").rlike(r"\(?(19|20)\d{2}\)?") & c("raw").rlike(r"^(\[\d+\]\s*)?[A-Z]"))

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from tesselar.functions import models
 from tesselar.operators import chunking
+from tesselar.plans import graph_tables as T
+from tesselar.plans.link_queries import REFS, refs
 from tesselar.plans.registry import register
-from tesselar.plans.text_queries import _lines, sections
+from tesselar.functions import values as V
+from tesselar.plans.text_queries import _hints_sql, _lines, sections
 from tesselar.session import table
 from tesselar.sources import documents as D
 from tesselar.sources import html as H
@@ -21,7 +24,10 @@ def _place(s, name: str) -> str:
     return place_for(s, name)
 
 
-@register("scan_regulation_docs")
+@register(
+    "scan_regulation_docs",
+    "SELECT doc_id, 'AI Regulations - ' || doc_id[5:] AS title, '1' AS sections, md5('# Overview' || chr(10) || CASE WHEN coalesce(title, '') IN ('', 'Overview') THEN '' ELSE '## ' || title || chr(10) END || chr(10) || text || chr(10) || chr(10) || '---' || chr(10) || chr(10)) AS digest FROM raw_documents WHERE starts_with(doc_id, 'reg') AND text IS NOT NULL",
+)
 def scan_regulation_docs(s, d):
     """The regulations written as JSON objects and read back as documents."""
     place = _place(s, "regulations")
@@ -29,25 +35,31 @@ def scan_regulation_docs(s, d):
     section = F.struct(F.lit("Overview").alias("title"), c("title").alias("heading"), c("text").alias("main_content"))
     rows = table(s, d, "raw_documents").where("doc_id LIKE 'reg%' AND text IS NOT NULL").select(code.alias("country_code"), code.alias("country_name"), c("metadata")["url"].alias("url"), c("fetched_at").cast("string").alias("scraped_date"), F.lit(1).alias("num_sections"), F.array(section).alias("sections"))
     rows.write.json(place)
-    return D.read_regulations(s, place, lines=True)
+    return D.read_regulations(s, place, lines=True).select("doc_id", "title", c("metadata")["num_sections"].alias("sections"), F.md5("text").alias("digest"))
+
 
+PAPERS = r"p AS (SELECT DISTINCT doc_id, title, fetched_at, map_extract(metadata, 'year')[1] AS y, CAST(regexp_extract(doc_id, '([0-9]+)$', 1) AS BIGINT) AS n FROM raw_documents WHERE starts_with(doc_id, 'paper') AND text IS NOT NULL)"
 
-@register("load_papers")
+
+@register("load_papers", f"WITH {PAPERS} SELECT doc_id, coalesce(nullif(title, ''), 'Untitled Paper') AS title, coalesce(nullif(y, ''), CAST(year(fetched_at) AS VARCHAR), 'Unknown') AS year, '10.1000/' || doc_id AS doi FROM p WHERE n % 10 > 0")
 def load_papers(s, d):
+    """Texts, mapping and bibliography of the papers joined; every tenth has no DOI and is left out, as the operator has it."""
     papers = table(s, d, "raw_documents").where("doc_id LIKE 'paper%' AND text IS NOT NULL").dropDuplicates(["doc_id"])
     texts = papers.select(c("doc_id").alias("paper_id"), "text")
-    doi = F.when(F.pmod(F.xxhash64("doc_id"), F.lit(10)) > 0, F.concat(F.lit("10.1000/"), "doc_id"))
+    doi = F.when(F.regexp_extract("doc_id", "([0-9]+)$", 1).cast("bigint") % 10 > 0, F.concat(F.lit("10.1000/"), "doc_id"))
     mapping = papers.select(c("doc_id").alias("paper_id"), doi.alias("doi"), F.lit("").alias("title"), F.lit(None).cast("string").alias("authors"), c("metadata")["year"].alias("year"), F.lit("").alias("journal"))
     place = _place(s, "bibliography")
-    papers.select(F.concat(F.lit("10.1000/"), "doc_id").alias("DOI"), F.coalesce("title", F.lit("")).alias("Title"), F.lit("A, B; C, D").alias("Authors"), F.year("fetched_at").alias("Year"), F.lit("Journal of Tests").alias("Source title")).write.option("header", True).option("escape", '"').csv(place)
-    return D.read_papers(texts, mapping, D.read_bibliography(s, place))
+    papers.select(F.concat(F.lit("10.1000/"), "doc_id").alias("DOI"), F.coalesce("title", F.lit("")).alias("Title"), c("metadata")["source"].alias("Authors"), F.year("fetched_at").alias("Year"), c("metadata")["source"].alias("Source title")).write.option("header", True).option("escape", '"').csv(place)
+    return D.read_papers(texts, mapping, D.read_bibliography(s, place)).select("doc_id", "title", c("metadata")["year"].alias("year"), c("metadata")["doi"].alias("doi"))
 
 
-@register("scan_biblio_csv")
+@register("scan_biblio_csv", f"WITH {REFS}, x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place, surname, title) - 1 AS i FROM refs) SELECT CAST(doc_id AS VARCHAR) AS EID, CAST(i AS INTEGER) AS place, surname || ', ' || initial || '.' AS author, title, journal, year, surname || ', ' || initial || '., ' || title || ', ' || journal || ', (' || year || ')' AS raw FROM x")
 def scan_biblio_csv(s, d):
+    """The references of each document written as one cell of a bibliographic CSV table, read back and taken apart."""
     place = _place(s, "biblio")
-    rows = table(s, d, "documents").where("title IS NOT NULL").select(c("doc_id").alias("EID"), c("title").alias("Title"), F.year("fetched_at").alias("Year"), F.lit('Smith, J., "Quoted; title", Journal, 3, (2019); Doe, A., Other, Venue, (2020)').alias("References"))
-    rows.write.option("header", True).option("escape", '"').csv(place)
+    one = F.concat("surname", F.lit(", "), "initial", F.lit("., "), "title", F.lit(", "), "journal", F.lit(", ("), c("year").cast("string"), F.lit(")"))
+    cells = refs(s, d).groupBy(c("doc_id").alias("EID")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "surname", "title", one.alias("r")))), lambda x: x["r"]), "; ").alias("References"))
+    cells.write.option("header", True).option("escape", '"').csv(place)
     return D.parse_references(D.read_bibliography(s, place), "EID", "References")
 
 
@@ -155,10 +167,9 @@ def event_json(s, d):
     return table(s, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@register("parse_query")
+@register("parse_query", f"SELECT i.item_id AS item_id, coalesce(list_sort(list(DISTINCT entity_id) FILTER (WHERE entity_id IS NOT NULL)), []) AS entities, {_hints_sql('any_value(i.text)', V.JURISDICTION_WORDS)} AS jurisdictions, {_hints_sql('lower(any_value(i.text))', V.DOCUMENT_WORDS)} AS kinds FROM eval_items i LEFT JOIN concepts ON contains(lower(i.text), lower(name)) GROUP BY i.item_id")
 def parse_query(s, d):
     """Queries with their hints and the concepts and regulations that they name."""
-    from tesselar.functions import values as V
     from tesselar.plans.text_queries import _hints
 
     items = table(s, d, "eval_items")
@@ -167,11 +178,9 @@ def parse_query(s, d):
     return named.groupBy("item_id", "text").agg(F.array_sort(F.collect_set("entity_id")).alias("entities")).select("item_id", "entities", _hints(c("text"), V.JURISDICTION_WORDS).alias("jurisdictions"), _hints(F.lower("text"), V.DOCUMENT_WORDS).alias("kinds"))
 
 
-@register("graph_sink")
+@register("graph_sink", T.GRAPH + "SELECT label AS kind, count(*) AS n FROM nodes GROUP BY 1 UNION ALL SELECT rel, count(*) FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes) GROUP BY 1")
 def graph_sink(s, d):
     """The graph written by label and relation, and what was written counted."""
-    from tesselar.plans import graph_tables as T
-
     place = _place(s, "graph")
     D.write_graph(T.nodes(s, d), T.edges(s, d), place)
     n = s.read.parquet(f"{place}/nodes").groupBy(c("label").alias("kind")).agg(F.count(F.lit(1)).alias("n"))

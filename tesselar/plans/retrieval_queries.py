@@ -184,7 +184,10 @@ def single_expand(s, d):
     return T.expand_nearest(_terminals(s, d), _nearest(s, d), 5, 50).select("query", "id")
 
 
-@register("spine_expand")
+NEAREST = "cs AS (SELECT x.id AS id, y.id AS other, list_inner_product(x.v, y.v) / sqrt(list_inner_product(x.v, x.v) * list_inner_product(y.v, y.v)) AS s FROM k x JOIN k y ON x.id <> y.id), nr AS (SELECT id, other, CAST(row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS INTEGER) AS rank FROM cs WHERE s >= 0.25)"
+
+
+@register("spine_expand", f"WITH {QUERIES}, {CHUNKS}, {NEAREST}, s1 AS (SELECT query, query AS id FROM q UNION SELECT query, other FROM q JOIN nr ON nr.id = query AND rank <= 2), s2 AS (SELECT query, id, 0 AS step FROM s1 UNION ALL SELECT query, other, rank FROM s1 JOIN nr USING (id) WHERE rank <= 3) SELECT query, id, CAST(min(step) AS INTEGER) AS step FROM s2 GROUP BY query, id")
 def spine_expand(s, d):
     spine = T.expand_nearest(_terminals(s, d), _nearest(s, d), 2, 50).select("query", "id")
     return T.expand_nearest(spine, _nearest(s, d), 3, 50)
@@ -205,8 +208,9 @@ def expand_metrics(s, d):
     return out.groupBy("query").agg(F.count(F.lit(1)).alias("nodes")).crossJoin(inside.agg(F.count(F.lit(1)).alias("relations")))
 
 
-@register("retrieve_modes")
+@register("retrieve_modes", DUAL + "SELECT query, id, round(score, 5) AS score, 'semantic' AS mode FROM sem UNION ALL SELECT query, id, score, 'graph' FROM gr UNION ALL SELECT query, id, score, 'dual' FROM t20")
 def retrieve_modes(s, d):
     sem, gr, dual = semantic(s, d), by_graph(s, d), ranked(s, d)
     tag = lambda df, m: df.select("query", "id", "score", F.lit(m).alias("mode"))
+    sem = sem.withColumn("score", F.round("score", 5))
     return tag(sem, "semantic").unionByName(tag(gr, "graph")).unionByName(tag(dual, "dual"))

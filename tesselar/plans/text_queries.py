@@ -225,7 +225,10 @@ def chunk_ids(s, d):
     return table(s, d, "chunks").select("chunk_id", document.alias("document"), place.alias("place")).withColumn("rebuilt", ids.chunk_id(c("document"), c("place")))
 
 
-@register("extract_doi")
+DOI = r"""(10\.\d{4,9}/[^\s"<>\])]+)"""
+
+
+@register("extract_doi", rf"WITH x AS (SELECT doc_id, regexp_extract(text, 'doi\.org/{DOI}', 1) AS linked, regexp_extract(text, '{DOI}', 1) AS plain, len(regexp_extract_all(text, '10\.\d{{4,9}}/')) AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, regexp_replace(CASE WHEN linked <> '' THEN linked WHEN n = 1 AND plain <> '' THEN plain END, '[.,;]+$', '') AS doi FROM x")
 def extract_doi(s, d):
     return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", X.doi(c("text")).alias("doi"))
 
