@@ -9,6 +9,7 @@ from tesselar.functions import fuzzy
 from tesselar.functions import text as X
 from tesselar.functions import values as V
 from tesselar.operators import graph
+from tesselar.storage import written
 
 
 def route(kind: Column) -> Column:
@@ -79,13 +80,16 @@ def merge_groups(mentions: DataFrame, group: Column, order: str) -> DataFrame:
     return out.select("g", "name", "type", "description", "chunk_ids", aliases.alias("aliases"), "merge_count")
 
 
-def capped_union(pairs: DataFrame, cap: int = 20) -> DataFrame:
+def capped_union(pairs: DataFrame, cap: int = 20, in_one_task: int = 100_000) -> DataFrame:
     """(node, root) after uniting pairs (a, b, ord) in order, unless a group would exceed ``cap``.
 
-    Unions never cross connected components, so each is worked off by itself.
+    Unions never cross connected components. A component of up to ``in_one_task``
+    pairs is worked off by itself in a task; a larger one by rounds over the whole cluster
+    (``_union_rounds``), with the same result.
     """
     of = graph.components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    keyed = pairs.join(of.withColumnRenamed("node", "a"), "a")
+    keyed = written(pairs.join(of.withColumnRenamed("node", "a"), "a"), "keyed")
+    large = written(keyed.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > in_one_task).select("component"), "large")
 
     def unite(pdf):
         import pandas as pd
@@ -110,7 +114,35 @@ def capped_union(pairs: DataFrame, cap: int = 20) -> DataFrame:
         return pd.DataFrame([(n, find(n)) for n in parent], columns=["node", "root"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return keyed.groupBy("component").applyInPandas(unite, f"node {kind}, root {kind}")
+    small = keyed.join(large, "component", "left_anti").groupBy("component").applyInPandas(unite, f"node {kind}, root {kind}")
+    if not large.take(1):
+        return small
+    return small.unionByName(_union_rounds(keyed.join(large, "component", "left_semi").select("a", "b", "ord"), cap))
+
+
+def _union_rounds(pairs: DataFrame, cap: int) -> DataFrame:
+    """The same by rounds: a pair that comes first for both of its groups can be decided, whatever the others bring.
+
+    Groups only grow, so pairs whose groups are too large together are out for good,
+    and of the pairs of the same two groups only the first counts.
+    """
+    pairs = pairs.where(F.col("a") != F.col("b"))
+    of = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root")), "roots")
+    while True:
+        size = of.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+        x, y = (size.select(F.col("root").alias(c), F.col("size").alias(f"s{c}")) for c in "ab")
+        live = pairs.join(x, "a").join(y, "b").where(F.col("sa") + F.col("sb") <= cap)
+        pair = [F.least("a", "b"), F.greatest("a", "b")]
+        live = written(live.groupBy(pair[0].alias("lo"), pair[1].alias("hi")).agg(F.min(F.struct("ord", "a", "b")).alias("p")).select("p.a", "p.b", "p.ord"), "live")
+        if not live.take(1):
+            return of
+        first = live.select(F.explode(F.array("a", "b")).alias("g"), "ord").groupBy("g").agg(F.min("ord").alias("ord"))
+        decided = live.join(first.select(F.col("g").alias("a"), "ord"), ["a", "ord"]).join(first.select(F.col("g").alias("b"), "ord"), ["b", "ord"])
+        into = written(decided.select(F.col("b").alias("root"), F.col("a").alias("new")), "into")
+        of = written(of.join(into, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "roots")
+        ma, mb = (into.select(F.col("root").alias(c), F.col("new").alias(f"n{c}")) for c in "ab")
+        moved = live.join(ma, "a", "left").join(mb, "b", "left").select(F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"), "ord")
+        pairs = written(moved.where(F.col("a") != F.col("b")), "pairs")
 
 
 def edge_betweenness(nodes: list, edges: list[tuple]) -> dict[tuple, float]:

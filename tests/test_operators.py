@@ -129,6 +129,17 @@ def test_capped_union(spark):
     assert roots["a"] == roots["b"] != roots["c"] == roots["d"] and roots["x"] == roots["y"]
 
 
+def test_capped_union_by_rounds(spark):
+    """The same groups and roots as one pair after the other, for components over the bound of a task."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(60), rng.randrange(60), i) for i in range(150)]
+    pairs = spark.createDataFrame([r for r in rows if r[0] != r[1]], "a int, b int, ord int")
+    of = lambda n: {(r.node, r.root) for r in resolve.capped_union(pairs, 7, n).collect()}
+    assert of(100_000) == of(0)
+
+
 def test_bridge_cut(spark):
     group = lambda p: [(f"{p}{i}", f"{p}{j}", 0.95) for i, j in combinations(range(4), 2)]
     links = spark.createDataFrame([*group("a"), *group("b"), ("a0", "b0", 0.89)], "a string, b string, similarity double")
