@@ -167,6 +167,11 @@ class Labeller:
 
     def label(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language's place, confidence, words) of each text; 0 words if there are no letters."""
+        p, n = self.probabilities(texts)
+        return p.argmax(1), p.max(1), n
+
+    def probabilities(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(probability of each language, words) of each text."""
         if len(self.index) > self.limit:
             self._clear()
         get = self.index.get
@@ -185,7 +190,35 @@ class Labeller:
         s = sums[:, :-1] / np.sqrt(np.maximum(n, 1))[:, None] / self.model.temperature
         p = np.exp(s - s.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        return p.argmax(1), p.max(1), n.astype(np.int64)
+        return p, n.astype(np.int64)
+
+
+SENTENCES = regex.compile(r"(?<=[.!?…][\"'”’»)\]]?)\s+(?=\p{Lu}|\p{Lt}|[¿¡«“\"(\[])|\n+")
+
+
+def spans_of(paragraph: str) -> list[tuple[int, int]]:
+    """(start, end) of the sentences and lines of a paragraph."""
+    out, at = [], 0
+    for m in SENTENCES.finditer(paragraph):
+        if m.start() > at:
+            out.append((at, m.start()))
+        at = m.end()
+    return out + [(at, len(paragraph))] * (at < len(paragraph))
+
+
+def likeliest_path(p: np.ndarray, switch: float) -> np.ndarray:
+    """The language of each sentence in a row (Viterbi), a change of language costing ``switch``."""
+    log = np.log(np.maximum(p, 1e-12))
+    best, back = log[0], []
+    for row in log[1:]:
+        other = best.max() - switch
+        stay = best >= other
+        back.append(np.where(stay, np.arange(len(best)), best.argmax()))
+        best = np.where(stay, best, other) + row
+    path = [int(best.argmax())]
+    for pointers in reversed(back):
+        path.append(int(pointers[path[-1]]))
+    return np.array(path[::-1])
 
 
 def train(documents: DataFrame, claim: str = "claim", text: str = "text", per_language: int = 150, each: int = 2) -> LanguageModel | None:
@@ -261,6 +294,45 @@ def paragraph_languages(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     return labelled_paragraphs(own, model, [key, "claim"])
 
 
+def segment_languages(documents: DataFrame, key: str = "doc_id", text: str = "text", switch: float = 5.0) -> DataFrame:
+    """(key, paragraph, segment, start, end, lang, confidence): runs of sentences of one language within each paragraph.
+
+    ``start`` and ``end`` are offsets within the paragraph; the confidence is the mean
+    over the run's words. A change of language costs ``switch`` (natural logarithm),
+    so a few foreign words make no segment. Paragraphs without letters have no row.
+    """
+    own = with_claim(documents)
+    model = train(own)
+    kind = documents.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, paragraph int, segment int, start int, `end` int, lang string, confidence double"
+    if model is None:
+        return documents.sparkSession.createDataFrame([], schema)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        import pandas as pd
+
+        labeller = Labeller(shared.value)
+        for frame in batches:
+            out = []
+            for k, whole in zip(frame[key], frame[text]):
+                for number, paragraph in enumerate(paragraphs(whole)):
+                    spans = spans_of(paragraph)
+                    p, n = labeller.probabilities([paragraph[a:b] for a, b in spans])
+                    kept = np.flatnonzero(n > 0)
+                    if not len(kept):
+                        continue
+                    path = likeliest_path(p[kept], switch)
+                    cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(kept)]
+                    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                        at = kept[a:b]
+                        sure = float((p[at, path[a]] * n[at]).sum() / n[at].sum())
+                        out.append((k, number, i, spans[at[0]][0], spans[at[-1]][1], shared.value.languages[path[a]], sure))
+            yield pd.DataFrame(out, columns=[key, "paragraph", "segment", "start", "end", "lang", "confidence"])
+
+    return documents.where(F.col(text).isNotNull()).select(key, text).mapInPandas(run, schema)
+
+
 def document_languages(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, lang, language_confidence, share): the language of most words, its mean confidence and its share of the words."""
     parts = paragraph_languages(documents, key).dropDuplicates([key, "paragraph"])

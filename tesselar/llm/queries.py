@@ -63,6 +63,10 @@ def p1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p01_language.paragraph_languages(table(spark, sf_dir, "cleaned_documents")).dropDuplicates(["doc_id", "paragraph"])
 
 
+def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p01_language.segment_languages(table(spark, sf_dir, "cleaned_documents"))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p01_language.unclaimed(table(spark, sf_dir, "cleaned_documents"))
 

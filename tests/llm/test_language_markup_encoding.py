@@ -76,6 +76,20 @@ def test_language_of_paragraphs(spark):
     assert best["false"] == "fr" and best["en1"] == "en" and "null" not in best and "digits" not in best
 
 
+def test_language_of_segments(spark):
+    """Sentences of another language within a paragraph are segments of their own; a few foreign words are none."""
+    rows = [(f"{lang}{i}", t + f" {i}", lang, False) for i in range(12) for lang, t in (("en", EN), ("de", DE), ("fr", FR))]
+    rows += [("mixed", f"{EN} {EN} {DE} {FR}", "en", False), ("few", EN + " The Bericht is for all. " + EN, "en", False), ("none", "12 34", "en", None), ("null", None, "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, original_language string, was_translated boolean").selectExpr("*", "1 AS segment")
+    got = {}
+    for r in P1.segment_languages(docs).orderBy("doc_id", "segment").collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert [r.lang for r in got["mixed"]] == ["en", "de", "fr"] and [r.lang for r in got["few"]] == ["en"] and "none" not in got and "null" not in got
+    whole = dict((r[0], r[1]) for r in rows)["mixed"]
+    assert whole[got["mixed"][1].start : got["mixed"][1].end] == DE and all(0 < r.confidence <= 1 for r in got["mixed"])
+    assert P1.segment_languages(docs.limit(0)).count() == 0
+
+
 def test_language_without_claims_or_rows(spark):
     schema = "doc_id string, text string, original_language string, was_translated boolean"
     assert P1.unclaimed(spark.createDataFrame([("a", EN, None, None)], schema)).count() == 0
