@@ -251,7 +251,7 @@ def search_range(v: np.ndarray, member: np.ndarray, k: int, trees: int, candidat
 
 
 def most_similar(
-    rows: DataFrame, k: int = 10, dim: int = 64, trees: int = 12, candidates: int = 4_000, symbols: int = 32, probes: int = 3, hot: int = 60_000,
+    rows: DataFrame, k: int = 10, dim: int = 64, trees: int = 12, candidates: int = 5_000, symbols: int = 32, probes: int = 3, hot: int = 60_000,
     key: str = "chunk_id", vector: str = "embedding", min_cosine: float | None = None,
 ) -> DataFrame:
     """(key, neighbour, cosine, rank) for each usable vector.
