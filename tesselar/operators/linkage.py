@@ -119,3 +119,21 @@ def cascade(ids: DataFrame, *stages: tuple[str, DataFrame]) -> DataFrame:
         left = left.join(found.select("id"), "id", "left_anti")
     rest = left.withColumn("other", F.lit(None).cast(out.schema["other"].dataType)).withColumn("method", F.lit("none"))
     return out.unionByName(rest)
+
+
+def padded(text: Column) -> Column:
+    """Words between single spaces, with a space at both ends."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " ")), F.lit(" "))
+
+
+def named_in(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, other, name, text): names (id, name) that stand as whole words in a text (other, text).
+
+    A name meets the texts over its longest word, so nothing is compared with every text.
+    """
+    n = names.select("id", padded(F.col("name")).alias("name")).where(F.trim("name") != "")
+    words = F.filter(F.split(F.trim("name"), " "), lambda w: w != "")
+    longest = F.element_at(F.array_sort(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
+    t = texts.select("other", padded(F.col("text")).alias("text"))
+    keyed = t.select("other", "text", F.explode(F.array_distinct(F.split(F.trim("text"), " "))).alias("k"))
+    return n.withColumn("k", longest).join(keyed, "k").where(F.contains("text", "name")).select("id", "other", "name", "text")

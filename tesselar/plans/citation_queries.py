@@ -267,3 +267,31 @@ def csv_sinks(s, d):
     D.write_csv(rows, place)
     D.write_csv(table(s, d, "documents").where("title IS NOT NULL AND lang = 'de'").select("doc_id", "title", "n_chars"), place, append=True)
     return s.read.schema("doc_id bigint, title string, n_chars bigint").option("header", True).option("escape", '"').option("multiLine", True).csv(place)
+
+
+PAD = lambda x: f"' ' || trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g')) || ' '"
+LINES = f"{REFS}, rf AS (SELECT doc_id * 1000000 + place AS other, {PAD('surname || chr(32) || initial || chr(32) || title || chr(32) || journal')} AS text FROM refs)"
+
+
+def _reference_texts(s, d):
+    words = F.concat_ws(" ", "surname", "initial", "title", "journal")
+    return refs(s, d).select((c("doc_id") * 1_000_000 + c("place")).alias("other"), words.alias("text"))
+
+
+@register(
+    "author_in_reference",
+    f"WITH {LINES}, x AS (SELECT pre_id AS id, {PAD(chr(39) + chr(39) + ' || CASE WHEN contains(name, chr(44)) THEN trim(string_split(name, chr(44))[1]) ELSE regexp_split_to_array(trim(name), chr(32) || chr(43))[-1] END')} AS n, CASE WHEN contains(name, ',') THEN upper(trim(string_split(name, ',')[2])[1:1]) WHEN len(regexp_split_to_array(trim(name), ' +')) > 1 THEN upper(trim(name)[1:1]) END AS i FROM (SELECT DISTINCT pre_id, name FROM pre_entities WHERE type = 'Author' AND name IS NOT NULL)), p AS (SELECT id, other, CASE WHEN i IS NULL THEN 0.70 WHEN contains(text, ' ' || lower(i) || ' ') THEN 0.80 END AS k FROM x JOIN rf ON contains(text, n) WHERE trim(n) <> '') SELECT id, CAST(max(k) AS DOUBLE) AS confidence, min(other) AS first FROM p WHERE k IS NOT NULL GROUP BY id",
+)
+def author_in_reference(s, d):
+    """Last tier of the author match: the surname as a word of a reference, with the initial .80, for names without one .70."""
+    m = table(s, d, "pre_entities").where("type = 'Author' AND name IS NOT NULL").select(c("pre_id").alias("id"), X.surname(c("name")).alias("name"), X.initial(c("name")).alias("i")).distinct()
+    hits = L.named_in(m.select("id", "name"), _reference_texts(s, d)).join(m.select("id", "i"), "id")
+    k = F.when(c("i").isNull(), 0.70).when(F.contains("text", F.concat(F.lit(" "), F.lower("i"), F.lit(" "))), 0.80)
+    return hits.withColumn("k", k).where("k IS NOT NULL").groupBy("id").agg(F.max("k").alias("confidence"), F.min("other").alias("first"))
+
+
+@register("journal_in_reference", f"WITH {LINES}, x AS (SELECT DISTINCT pre_id AS id, {PAD('name')} AS n FROM pre_entities WHERE type = 'Journal' AND name IS NOT NULL AND length(name) >= 5) SELECT id, min(other) AS first, CAST(0.75 AS DOUBLE) AS confidence FROM x JOIN rf ON contains(text, n) WHERE trim(n) <> '' GROUP BY id")
+def journal_in_reference(s, d):
+    """Last tier of the journal match: a name of five letters or more in a reference, .75."""
+    m = table(s, d, "pre_entities").where("type = 'Journal' AND name IS NOT NULL AND length(name) >= 5").select(c("pre_id").alias("id"), "name").distinct()
+    return L.named_in(m, _reference_texts(s, d)).groupBy("id").agg(F.min("other").alias("first"), F.lit(0.75).alias("confidence"))

@@ -129,3 +129,12 @@ def test_streams_give_all_windows(spark, tmp_path):
     assert S.run_to_table(S.tumbling(src.stream), "t", closing=src).agg(F.sum("n")).first()[0] == 30
     src = S.source(spark, f"file://{tmp_path}/events", "*.parquet", 1)
     assert sorted(r.n for r in S.run_to_table(S.sessions(src.stream), "s", closing=src).collect()) == [10, 10, 10]
+
+
+def test_names_in_texts(spark):
+    from tesselar.operators import linkage as L
+
+    names = spark.createDataFrame([(1, "van der Berg"), (2, "Berg"), (3, "Ber"), (4, ""), (5, None), (6, "J. Law")], "id int, name string")
+    texts = spark.createDataFrame([(10, "By van der Berg, A.; J. Law Stud."), (11, "Berg (2001)"), (12, None), (13, "Bergen")], "other int, text string")
+    got = {(r.id, r.other) for r in L.named_in(names, texts).collect()}
+    assert got == {(1, 10), (2, 10), (2, 11), (6, 10)}

@@ -264,7 +264,7 @@ def test_same_as_takes_the_first_similar_regulation(spark):
 
 def test_penalties_of_all_chunks(spark, tmp_path):
     spark.createDataFrame([(i, "x", [1.0]) for i in range(101)], "vec_id bigint, label string, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
-    got = retrieval_queries.filter_penalty_all(spark, str(tmp_path))
+    got = retrieval_queries.filter_penalty(spark, str(tmp_path))
     assert got.count() == 303 and {r.id for r in got.select("id").distinct().collect()} == set(range(101))
 
 
