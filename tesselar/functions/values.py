@@ -47,7 +47,8 @@ LATEX = [
     (r"\\label\{[^}]+\}", ""), (r"\\(?:section|subsection|subsubsection)\*?\{([^}]+)\}", "$1"), (r"\\[a-zA-Z]+(?:\{[^}]*\})?", ""),
 ]
 
-# Words in a query that name a jurisdiction or a kind of document.
+# Words in a query that name a jurisdiction or a kind of document. The names of laws stand with the
+# code of the jurisdiction that they are laws of, as the lookup is by code.
 JURISDICTION_WORDS = {
     "EU": "EU|European Union|Europe|GDPR|AI Act|EU AI Act|DSA|Digital Services Act|DMA|Digital Markets Act", "AT": "Austria|Austrian", "BE": "Belgium|Belgian", "CZ": "Czech Republic|Czech|Czechia", "DK": "Denmark|Danish",
     "FI": "Finland|Finnish", "FR": "France|French", "DE": "Germany|German", "HU": "Hungary|Hungarian", "IE": "Ireland|Irish", "IT": "Italy|Italian", "LU": "Luxembourg", "NL": "Netherlands|Dutch|Holland", "NO": "Norway|Norwegian",

@@ -140,8 +140,10 @@ def link_title(s, d):
 
 @register("link_abstract")
 def link_abstract(s, d):
-    head = lambda n: table(s, d, n).where("text IS NOT NULL").groupBy(c("doc_id").cast("string").alias("id")).agg(F.min(F.substring(X.match_key_spaced(c("text")), 1, 800)).alias("title")).where(F.length("title") >= 100)
-    return L.best_ratio(head("raw_documents"), head("cleaned_documents"), [], 0.60, "sequence_ratio", 16)
+    """Raw texts against the same collection's cleaned ones: markup, images and references gone, the beginning still tells them."""
+    docs = table(s, d, "raw_documents").where("text IS NOT NULL").select(c("doc_id").alias("id"), "text", (c("source_type") != "regulation").alias("paper"))
+    head = lambda t: docs.groupBy("id").agg(F.min(F.substring(X.match_key_spaced(t), 1, 800)).alias("title")).where(F.length("title") >= 100)
+    return L.best_ratio(head(c("text")), head(X.clean_text(c("text"), c("paper"))), [], 0.60, "sequence_ratio", 16)
 
 
 @register("link_cascade")
