@@ -18,7 +18,7 @@ from html.entities import html5
 import numpy as np
 
 #: Documents that the classifier is fitted on, and that the smoothness is chosen on.
-DOCUMENTS, HELD_OUT = 3_000, 400
+DOCUMENTS, HELD_OUT = 2_000, 250
 KINDS = ["html", "markdown", "wiki", "latex"]
 TAGS = "a|abbr|article|aside|b|blockquote|body|br|caption|center|cite|code|dd|del|details|div|dl|dt|em|figure|figcaption|font|footer|form|h[1-6]|head|header|hr|html|i|iframe|img|input|ins|kbd|label|li|link|main|mark|meta|nav|noscript|ol|option|p|pre|q|s|script|section|select|small|span|strike|strong|style|sub|summary|sup|table|tbody|td|textarea|tfoot|th|thead|title|tr|tt|u|ul|var"
 TAG = re.compile(rf"</?(?:{TAGS})(?:[\s/][^<>]*)?>", re.I)
@@ -28,48 +28,48 @@ COMMENT = re.compile(r"<!--.*?(?:-->|$)|<!--|-->|<!DOCTYPE[^>]*>", re.I)
 ENTITY = re.compile(r"&(?:([A-Za-z][A-Za-z0-9]{1,31})|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});")
 FORMULA = re.compile(r"\$\$[^$]+\$\$|(?<![\w$\\])\$(?=[^\s$])[^$\n]*[^\s$\\]\$(?![\w$])|(?<![\w$\\])\$[^\s$]\$(?![\w$])")
 SETEXT = re.compile(r"^\s{0,3}(?:-{3,}|={3,})\s*$")
-#: What may be seen in a line; each is a feature (its count, on a log scale) and says nothing by itself about the kind.
+#: What may be seen in a line, with characters one of which it can't do without; each is a feature (its count, on a log scale) and says nothing by itself about the kind.
 SIGNS = {
-    "command": re.compile(r"(?<![A-Za-z0-9:\\])\\[A-Za-z]+\*?\s*(?:\[[^\]\n]*\])?\{"),
-    "bare_command": re.compile(r"(?<![A-Za-z0-9:])\\(?:begin|end|item|section|maketitle|noindent|newpage|leq|geq|frac|alpha|beta|sum|int|cdot|times|infty|par|medskip|bigskip|hline|toprule|midrule|bottomrule|centering|ldots|dots|LaTeX|TeX)\b"),
-    "display": re.compile(r"(?<!\\)\\[\[\]()](?:\s|$)|(?:^|\s)\\[\[(]"),
-    "backslash": re.compile(r"\\"),
-    "row_end": re.compile(r"\\\\\s*$"),
-    "tie": re.compile(r"\w~\\"),
-    "cells_amp": re.compile(r"[^\\]&[^\\]*\\\\|^\s*[^&]+ & [^&]+$"),
-    "script": re.compile(r"[_^]\{"),
-    "formula": FORMULA,
-    "heading_hash": re.compile(r"^\s{0,3}#\s+[^\sa-z](?:.*[^.;,\s])?\s*$"),
-    "heading_hashes": re.compile(r"^\s{0,3}#{2,6}\s+\S"),
-    "hash_item": re.compile(r"^\s*#+\s*(?:\S.*[.;,]\s*$|[a-z])"),
-    "image": re.compile(r"!\[[^\]\n]*\]\([^)\n]*\)"),
-    "link": re.compile(r"\[[^\[\]\n]+\]\([^()\s]+(?:\s+\"[^\"]*\")?\)"),
-    "bold_stars": re.compile(r"(?<![\w*])\*\*(?=\S)[^*\n]+?\*\*(?!\w)"),
-    "bold_stars_inside": re.compile(r"\w\*\*(?=\S)[^*\n]+?\*\*"),
-    "bold_bars": re.compile(r"(?<![\w_])__(?=\S)[^_\n]*?\s[^_\n]*?__(?![\w_])"),
-    "bars_word": re.compile(r"(?<![\w_])__(?=\S)[^_\s]+?__(?![\w_])"),
-    "code": re.compile(r"(?<!`)`[^`\n]+`(?!`)"),
-    "table_rule": re.compile(r"^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?\s*$"),
-    "task": re.compile(r"^\s*[-*+]\s+\[[ xX]\]\s"),
-    "strike": re.compile(r"~~(?=\S)[^~\n]+?~~"),
-    "quote": re.compile(r"^\s{0,3}>\s+\S"),
-    "bullet": re.compile(r"^\s*[-+]\s+\S"),
-    "star_bullet": re.compile(r"^\s*\*+\s+\S"),
-    "numbered": re.compile(r"^\s*\d+[.)]\s+\S"),
-    "star_word": re.compile(r"(?<![\w*])\*[^\s*][^*\n]*\*(?![\w*])"),
-    "bar_word": re.compile(r"(?<!\w)_[^\s_][^_\n]*_(?!\w)"),
-    "piped": re.compile(r"^\s*\|.*\|\s*$"),
-    "rule": re.compile(r"^\s*(?:-{3,}|\*{3,})\s*$"),
-    "double_link": re.compile(r"\[\[[^\[\]\n]+\]\]"),
-    "template": re.compile(r"\{\{[^{}\n]*\}\}|\{\{\s*\w"),
-    "quotes3": re.compile(r"'''(?=[^\s'])[^'\n]+?'''"),
-    "quotes2": re.compile(r"(?<!')''(?=[^\s'])[^'\n]+?''(?!')"),
-    "heading_equals": re.compile(r"^\s*(={2,6})\s*[^=\n].*?\1\s*$"),
-    "wiki_table": re.compile(r"^\s*(?:\{\||\|\}\s*$|\|-+\s*$)"),
-    "wiki_item": re.compile(r"^\s*(?:\*\*+|[:;]+)\s*\S"),
-    "wiki_cell": re.compile(r"^\s*[|!]\s*\S"),
-    "double_bar": re.compile(r"\|\|"),
-    "long_rule": re.compile(r"^\s*----+\s*$"),
+    "command": (("\\",), re.compile(r"(?<![A-Za-z0-9:\\])\\[A-Za-z]+\*?\s*(?:\[[^\]\n]*\])?\{")),
+    "bare_command": (("\\",), re.compile(r"(?<![A-Za-z0-9:])\\(?:begin|end|item|section|maketitle|noindent|newpage|leq|geq|frac|alpha|beta|sum|int|cdot|times|infty|par|medskip|bigskip|hline|toprule|midrule|bottomrule|centering|ldots|dots|LaTeX|TeX)\b")),
+    "display": (("\\",), re.compile(r"(?<!\\)\\[\[\]()](?:\s|$)|(?:^|\s)\\[\[(]")),
+    "backslash": (("\\",), re.compile(r"\\")),
+    "row_end": (("\\",), re.compile(r"\\\\\s*$")),
+    "tie": (("~",), re.compile(r"\w~\\")),
+    "cells_amp": (("&",), re.compile(r"[^\\]&[^\\]*\\\\|^\s*[^&]+ & [^&]+$")),
+    "script": (("{",), re.compile(r"[_^]\{")),
+    "formula": (("$",), FORMULA),
+    "heading_hash": (("#",), re.compile(r"^\s{0,3}#\s+[^\sa-z](?:.*[^.;,\s])?\s*$")),
+    "heading_hashes": (("##",), re.compile(r"^\s{0,3}#{2,6}\s+\S")),
+    "hash_item": (("#",), re.compile(r"^\s*#+\s*(?:\S.*[.;,]\s*$|[a-z])")),
+    "image": (("![",), re.compile(r"!\[[^\]\n]*\]\([^)\n]*\)")),
+    "link": (("](",), re.compile(r"\[[^\[\]\n]+\]\([^()\s]+(?:\s+\"[^\"]*\")?\)")),
+    "bold_stars": (("**",), re.compile(r"(?<![\w*])\*\*(?=\S)[^*\n]+?\*\*(?!\w)")),
+    "bold_stars_inside": (("**",), re.compile(r"\w\*\*(?=\S)[^*\n]+?\*\*")),
+    "bold_bars": (("__",), re.compile(r"(?<![\w_])__(?=\S)[^_\n]*?\s[^_\n]*?__(?![\w_])")),
+    "bars_word": (("__",), re.compile(r"(?<![\w_])__(?=\S)[^_\s]+?__(?![\w_])")),
+    "code": (("`",), re.compile(r"(?<!`)`[^`\n]+`(?!`)")),
+    "table_rule": (("---",), re.compile(r"^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?\s*$")),
+    "task": (("[",), re.compile(r"^\s*[-*+]\s+\[[ xX]\]\s")),
+    "strike": (("~~",), re.compile(r"~~(?=\S)[^~\n]+?~~")),
+    "quote": ((">",), re.compile(r"^\s{0,3}>\s+\S")),
+    "bullet": (("-", "+",), re.compile(r"^\s*[-+]\s+\S")),
+    "star_bullet": (("*",), re.compile(r"^\s*\*+\s+\S")),
+    "numbered": ((".", ")",), re.compile(r"^\s*\d+[.)]\s+\S")),
+    "star_word": (("*",), re.compile(r"(?<![\w*])\*[^\s*][^*\n]*\*(?![\w*])")),
+    "bar_word": (("_",), re.compile(r"(?<!\w)_[^\s_][^_\n]*_(?!\w)")),
+    "piped": (("|",), re.compile(r"^\s*\|.*\|\s*$")),
+    "rule": (("---", "***",), re.compile(r"^\s*(?:-{3,}|\*{3,})\s*$")),
+    "double_link": (("[[",), re.compile(r"\[\[[^\[\]\n]+\]\]")),
+    "template": (("{{",), re.compile(r"\{\{[^{}\n]*\}\}|\{\{\s*\w")),
+    "quotes3": (("'''",), re.compile(r"'''(?=[^\s'])[^'\n]+?'''")),
+    "quotes2": (("''",), re.compile(r"(?<!')''(?=[^\s'])[^'\n]+?''(?!')")),
+    "heading_equals": (("==",), re.compile(r"^\s*(={2,6})\s*[^=\n].*?\1\s*$")),
+    "wiki_table": (("|",), re.compile(r"^\s*(?:\{\||\|\}\s*$|\|-+\s*$)")),
+    "wiki_item": (("**", ":", ";",), re.compile(r"^\s*(?:\*\*+|[:;]+)\s*\S")),
+    "wiki_cell": (("|", "!",), re.compile(r"^\s*[|!]\s*\S")),
+    "double_bar": (("||",), re.compile(r"\|\|")),
+    "long_rule": (("----",), re.compile(r"^\s*----+\s*$")),
 }
 INSIDE = ["fence", "inline", "pre", "escaped", "verbatim", "math"]
 FEATURES = ["tag", "open_tag", "escaped_tag", "comment", "entity", "setext", *INSIDE, *SIGNS]
@@ -89,8 +89,11 @@ def features(line: str, previous: str, inside: str) -> dict[int, float]:
     if SETEXT.match(line) and previous.strip() and not previous.lstrip().startswith(("|", "-", "*", "=")) and previous.rstrip()[-1] not in ".,;" and "  " not in previous.strip():
         counts["setext"] = 1
     if MARKS.search(line):
-        for name, pattern in SIGNS.items():
-            counts[name] = sum(1 for _ in pattern.finditer(line))
+        for name, (needs, pattern) in SIGNS.items():
+            for mark in needs:
+                if mark in line:
+                    counts[name] = sum(1 for _ in pattern.finditer(line))
+                    break
     return {AT[name]: float(np.log2(1 + n)) for name, n in counts.items() if n}
 
 
