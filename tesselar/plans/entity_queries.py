@@ -14,7 +14,7 @@ from tesselar.operators import resolve as E
 from tesselar.operators import similarity as S
 from tesselar.plans.registry import register
 from tesselar.plans.text_queries import q
-from tesselar.session import table
+from tesselar.session import bounded, table
 
 c = F.col
 
@@ -186,7 +186,7 @@ CLAIMED = f"WITH {LINKED}, claimed AS (SELECT DISTINCT a.entity_id AS subject, k
 @register("validate_cooccurrence", CLAIMED + "SELECT subject, object, CASE WHEN subject NOT IN (SELECT entity_id FROM em) THEN 'subject_not_found' WHEN object NOT IN (SELECT entity_id FROM em) THEN 'object_not_found' WHEN (subject, object) NOT IN (SELECT (x.entity_id, y.entity_id) FROM em x JOIN em y ON x.chunk_id = y.chunk_id) THEN 'no_cooccurrence' ELSE 'valid' END AS reason FROM claimed")
 def validate_cooccurrence(s, d):
     a, k = table(s, d, "entities").select(c("entity_id").alias("subject")), table(s, d, "concepts").select(c("entity_id").alias("object"))
-    claimed = a.join(F.broadcast(k), F.substring("subject", 5, 1) == F.substring("object", 5, 1)).distinct()  # the 140 concepts are a fixed table
+    claimed = a.join(bounded(k), F.substring("subject", 5, 1) == F.substring("object", 5, 1)).distinct()  # the 140 concepts are a fixed table
     return R.validated(claimed, entity_mentions(s, d)).select("subject", "object", "reason")
 
 

@@ -231,10 +231,10 @@ REGIONS = PLACES + ", home AS (SELECT entity, n_regionkey AS region, count(*) AS
 
 
 def _home(s, d):
-    from tesselar.session import table
+    from tesselar.session import bounded, table
 
     n = table(s, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("nation"), F.col("n_regionkey").alias("region"))
-    return _places(s, d).join(F.broadcast(n), "nation").groupBy("entity", "region").agg(F.count(F.lit(1)).alias("k"))
+    return _places(s, d).join(bounded(n), "nation").groupBy("entity", "region").agg(F.count(F.lit(1)).alias("k"))
 
 
 @register("bridge_entities", REGIONS + "SELECT x.entity AS entity, x.k AS first, y.k AS second, x.k + y.k AS total FROM home x JOIN home y ON x.entity = y.entity AND x.region = 0 AND y.region = 1")

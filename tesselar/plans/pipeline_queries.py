@@ -11,7 +11,7 @@ from tesselar.plans.link_queries import REFS, refs
 from tesselar.plans.registry import register
 from tesselar.functions import values as V
 from tesselar.plans.text_queries import _hints_sql, _lines, sections
-from tesselar.session import table
+from tesselar.session import bounded, table
 from tesselar.sources import documents as D
 from tesselar.sources import html as H
 from tesselar.storage import place_for
@@ -174,7 +174,7 @@ def parse_query(s, d):
 
     items = table(s, d, "eval_items")
     # concepts are a fixed table of 140 names
-    named = items.join(F.broadcast(table(s, d, "concepts").select(F.lower("name").alias("k"), "entity_id")), F.contains(F.lower("text"), c("k")), "left")
+    named = items.join(bounded(table(s, d, "concepts").select(F.lower("name").alias("k"), "entity_id")), F.contains(F.lower("text"), c("k")), "left")
     return named.groupBy("item_id", "text").agg(F.array_sort(F.collect_set("entity_id")).alias("entities")).select("item_id", "entities", _hints(c("text"), V.JURISDICTION_WORDS).alias("jurisdictions"), _hints(F.lower("text"), V.DOCUMENT_WORDS).alias("kinds"))
 
 

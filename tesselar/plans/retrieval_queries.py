@@ -11,7 +11,7 @@ from tesselar.operators import retrieval as T
 from tesselar.operators import similarity as S
 from tesselar.plans import graph_tables
 from tesselar.plans.registry import register
-from tesselar.session import table
+from tesselar.session import bounded, table
 
 c = F.col
 
@@ -158,7 +158,7 @@ def coverage_metrics(s, d):
     extra = s.createDataFrame([("contact_person",), ("paper_fallback",), ("input_records",)], "term string")
     terms = table(s, d, "concepts").select(c("name").alias("term")).union(extra).distinct()
     # both tables are fixed: 120 answers, 143 terms
-    return T.coverage(answers, answers.select("query").join(F.broadcast(terms)))
+    return T.coverage(answers, answers.select("query").join(bounded(terms)))
 
 
 @register("graph_util", graph_tables.GRAPH + "SELECT predicate, count(DISTINCT src) AS subjects, count(DISTINCT dst) AS objects, count(*) AS n FROM relations GROUP BY predicate")

@@ -7,6 +7,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -49,3 +50,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data directory."""
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast, its number of rows checked first: meant for tables that are fixed."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a table meant to be fixed has over {most} rows; it would be broadcast")
+    return F.broadcast(df)

@@ -138,3 +138,11 @@ def test_names_in_texts(spark):
     texts = spark.createDataFrame([(10, "By van der Berg, A.; J. Law Stud."), (11, "Berg (2001)"), (12, None), (13, "Bergen")], "other int, text string")
     got = {(r.id, r.other) for r in L.named_in(names, texts).collect()}
     assert got == {(1, 10), (2, 10), (2, 11), (6, 10)}
+
+
+def test_broadcasts_are_checked(spark):
+    from tesselar.session import bounded
+
+    assert bounded(spark.range(5), 5).count() == 5
+    with pytest.raises(ValueError, match="fixed"):
+        bounded(spark.range(6), 5)
