@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesselar.operators import closed
 from tesselar.storage import written
 
 
@@ -65,41 +66,20 @@ def triangles(edges: DataFrame) -> DataFrame:
     turned = _turned(pairs)
     one, two = turned.select("u", F.col("v").alias("v1")), turned.select("u", F.col("v").alias("v2"))
     wedge = one.join(two, "u").where(F.col("v1") < F.col("v2"))
-    closed = wedge.join(pairs, (F.col("v1") == F.col("a")) & (F.col("v2") == F.col("b")), "left_semi")
+    shut = wedge.join(pairs, (F.col("v1") == F.col("a")) & (F.col("v2") == F.col("b")), "left_semi")
     three = F.array_sort(F.array("u", "v1", "v2"))
-    return closed.select(three[0].alias("x"), three[1].alias("y"), three[2].alias("z"))
-
-
-def numbered(pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) with numbers instead of ids: written once, so a node's number is the same in every task."""
-    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct().withColumn("k", F.monotonically_increasing_id()), "numbers")
-    of = lambda c: nodes.select(F.col("n").alias(c), F.col("k").alias(f"k{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+    return shut.select(three[0].alias("x"), three[1].alias("y"), three[2].alias("z"))
 
 
 def triangle_count(pairs: DataFrame) -> DataFrame:
-    """One row: the number of triangles of a simple graph (a, b), without listing wedges.
+    """One row: the number of triangles of a graph (a, b), without listing wedges."""
+    return pairs.sparkSession.createDataFrame([closed.count(*closed.packed_edges(pairs))[:1]], "triangles bigint")
 
-    Edges are turned to the end of higher degree, so no node, however large a hub,
-    keeps a list longer than the root of twice the edges. Lists hold numbers, not ids. A
-    node's list goes to the lists it has an edge to, one way only, and what two
-    lists share closes a triangle.
-    """
-    turned = written(_turned(numbered(pairs)), "turned")
-    near = written(turned.groupBy("u").agg(F.array_sort(F.collect_list("v")).alias("near")), "near")
-    sent = near.select(F.col("near").alias("nu"), F.explode("near").alias("v"))
-    # the lists are small on disk and large in memory: never broadcast
-    met = sent.hint("merge").join(near.select(F.col("u").alias("v"), F.col("near").alias("nv")), "v")
-    return met.agg(F.coalesce(F.sum(F.size(F.array_intersect("nu", "nv"))), F.lit(0)).alias("triangles"))
 
-
-def clustering(edges: DataFrame) -> DataFrame:
-    """One row: triangles, wedges and 3 x triangles / wedges of the simple graph."""
-    pairs = written(simple(edges), "simple")
-    d = pairs.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("d"))
-    wedges = d.agg(F.sum(F.expr("d * (d - 1) div 2")).alias("wedges")).first()[0]
-    closed = triangle_count(pairs).withColumn("wedges", F.lit(wedges).cast("bigint"))
-    return closed.select("triangles", "wedges", F.round(3 * F.col("triangles") / F.col("wedges"), 6).alias("coefficient"))
+def clustering(packed: tuple[DataFrame, int]) -> DataFrame:
+    """One row: triangles, wedges and 3 x triangles / wedges of the simple graph of packed pairs (``closed``)."""
+    of = packed[0].sparkSession.createDataFrame([closed.count(*packed)], "triangles bigint, wedges bigint")
+    return of.select("triangles", "wedges", F.round(F.when(F.col("wedges") == 0, F.lit(float("nan"))).otherwise(3 * F.col("triangles") / F.col("wedges")), 6).alias("coefficient"))
 
 
 def concentration(edges: DataFrame) -> DataFrame:

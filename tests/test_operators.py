@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tesselar.functions import fuzzy, ids, models
 from tesselar.functions import text as X
-from tesselar.operators import chunking, graph, linkage, relations, resolve, retrieval, similarity
-from tesselar.plans import link_queries, retrieval_queries
+from tesselar.operators import chunking, closed, graph, linkage, relations, resolve, retrieval, similarity
+from tesselar.plans import graph_queries, link_queries, retrieval_queries
 from tesselar.sources import documents as D
 from tesselar.sources import html as H
 
@@ -123,6 +123,29 @@ def test_triangles_and_distances(spark):
     assert {r.node: r.distance for r in far.collect()} == {i: i for i in range(5)}
 
 
+def test_clustering_of_packed_pairs(spark, tmp_path, monkeypatch):
+    """Equal to brute force with hubs, repeats and nulls, whatever is held at once; a list is not sent along each of its edges."""
+    rng = random.Random(8)
+    groups = [[rng.randrange(150) for _ in range(rng.randrange(6))] for _ in range(400)] + [list(range(60)), [7], [7, 7]]
+    rows = [(s, o) for o, g in enumerate(groups) for s in [*g, *g[:1]]] + [(None, 1), (3, None)]
+    pairs = {p for g in groups for p in combinations(sorted(set(g)), 2)}
+    near = {n: {a + b - n for a, b in pairs if n in (a, b)} for n in range(150)}
+    expected = (sum(len(near[a] & near[b]) for a, b in pairs) // 3, sum(len(x) * (len(x) - 1) // 2 for x in near.values()))
+    for held in (closed.HELD, 50):
+        monkeypatch.setattr(closed, "HELD", held)
+        packed = closed.packed_co_members(spark.createDataFrame(rows, "src bigint, dst bigint"))
+        assert tuple(graph.clustering(packed).first())[:2] == expected
+    assert closed.count(*closed.packed_edges(spark.createDataFrame([*pairs, *[(b, a) for a, b in pairs]], "a int, b int"))) == expected
+    monkeypatch.setattr(closed, "CELL", 20)  # 256 cells and more
+    assert closed.count(*closed.packed_edges(spark.createDataFrame([*pairs], "a int, b int"))) == expected
+    every = np.array([u << 32 | v for u, v in combinations(range(300), 2)])
+    assert len(closed.pack(every)) < 2 * len(every) and (closed.unpack(closed.pack(every), len(every)) == every).all()
+    one = spark.createDataFrame([(1, 5), (2, 5)], "l_suppkey bigint, l_orderkey bigint")
+    one.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = graph_queries.g_clustering(spark, str(tmp_path)).first()  # no path of two edges: ended with a division by zero
+    assert (got.triangles, got.wedges) == (0, 0) and got.coefficient != got.coefficient
+
+
 def test_capped_union(spark):
     pairs = spark.createDataFrame([("a", "b", 1), ("c", "d", 2), ("b", "c", 3), ("x", "y", 4)], "a string, b string, ord int")
     roots = {r.node: r.root for r in resolve.capped_union(pairs, 3).collect()}
