@@ -7,11 +7,13 @@ each round to the shared folder and run until nothing changes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselar.operators import closed
-from tesselar.storage import written
+from tesselar.storage import bucketed, written
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -131,19 +133,41 @@ def _star(pairs: DataFrame, larger: bool) -> DataFrame:
     return out.unionByName(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
 
 
+#: Sources whose frontiers go together, a bit each.
+TOGETHER = 63
+
+
+def _levels(edges: DataFrame, sources: DataFrame, hops: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Sources (source, batch, bit), and for each distance from 0 on (batch, node, fresh): the bits of the sources that first reach a node there."""
+    # the window runs over the sources, a stated set
+    place = F.row_number().over(Window.orderBy("id")) - 1
+    numbered = written(sources.select("id").where(F.col("id").isNotNull()).distinct().select(F.col("id").alias("source"), F.floor(place / TOGETHER).cast("int").alias("batch"), (place % TOGETHER).alias("bit")), "sources")
+    own = F.expr("shiftleft(1L, bit)")
+    seen = written(numbered.select("batch", F.col("source").alias("node"), own.alias("seen"), own.alias("fresh")), "seen")
+    levels = [seen]
+    both = both_ways(edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()))  # repeats don't matter to bits
+    with bucketed(both, "near", "node") as near:
+        for _ in range(hops):
+            step = levels[-1].where("fresh <> 0").select("batch", "node", "fresh").join(near, "node").groupBy("batch", F.col("other").alias("node")).agg(F.bit_or("fresh").alias("now"))
+            state = levels[-1].select("batch", "node", "seen").join(step, ["batch", "node"], "full")
+            before, now = F.coalesce("seen", F.lit(0).cast("bigint")), F.coalesce("now", F.lit(0).cast("bigint"))
+            levels.append(written(state.select("batch", "node", before.bitwiseOR(now).alias("seen"), now.bitwiseAND(F.bitwise_not(before)).alias("fresh")), "seen"))
+            if not levels[-1].where("fresh <> 0").take(1):
+                break
+    return numbered, [x.where("fresh <> 0").select("batch", "node", "fresh") for x in levels]
+
+
 def distances(edges: DataFrame, sources: DataFrame, hops: int = 10) -> DataFrame:
     """(source, node, distance) by breadth-first frontiers over undirected edges, up to ``hops``."""
-    near = written(both_ways(edges).distinct(), "near")
-    seen = written(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("distance")), "seen")
-    for hop in range(1, hops + 1):
-        frontier = seen.where(F.col("distance") == hop - 1)
-        step = frontier.join(near, "node").select("source", F.col("other").alias("node")).distinct()
-        new = step.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("distance", F.lit(hop))
-        grown = written(seen.unionByName(new), "seen")
-        if not grown.where(F.col("distance") == hop).take(1):
-            break
-        seen = grown
-    return seen
+    numbered, levels = _levels(edges, sources, hops)
+    rows = [x.join(numbered, "batch").where("fresh & shiftleft(1L, bit) <> 0").select("source", "node", F.lit(i).alias("distance")) for i, x in enumerate(levels)]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def path_lengths(edges: DataFrame, sources: DataFrame, hops: int = 10) -> DataFrame:
+    """(distance, n): how many pairs of a source and a node are so far from each other, from 0 on."""
+    _, levels = _levels(edges, sources, hops)
+    return reduce(DataFrame.unionByName, (x.agg(F.lit(i).alias("distance"), F.coalesce(F.sum(F.bit_count("fresh")), F.lit(0).cast("bigint")).alias("n")) for i, x in enumerate(levels)))
 
 
 def bucket(degree: Column) -> Column:

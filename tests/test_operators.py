@@ -123,6 +123,27 @@ def test_triangles_and_distances(spark):
     assert {r.node: r.distance for r in far.collect()} == {i: i for i in range(5)}
 
 
+def test_frontiers_of_many_sources_go_together(spark, monkeypatch):
+    """A row a node and batch, not one a source and node; distances equal brute force."""
+    monkeypatch.setattr(graph, "TOGETHER", 5)
+    rng = random.Random(6)
+    pairs = [(rng.randrange(40), rng.randrange(40)) for _ in range(45)]
+    edges = spark.createDataFrame([*pairs, *pairs[:5], (3, None)], "src bigint, dst bigint")
+    near = {n: {y for p in pairs for x, y in (p, p[::-1]) if x == n} for n in range(40)}
+    expected = {}
+    for s in range(12):
+        expected[s, s], front = 0, {s}
+        for hop in range(1, 4):
+            front = {y for x in front for y in near[x] if (s, y) not in expected}
+            expected |= {(s, y): hop for y in front}
+    sources = spark.createDataFrame([(i,) for i in range(12)], "id bigint")
+    assert {(r.source, r.node): r.distance for r in graph.distances(edges, sources, 3).collect()} == expected
+    counts = {r.distance: r.n for r in graph.path_lengths(edges, sources, 3).collect()}
+    assert counts == {h: sum(d == h for d in expected.values()) for h in range(4)}
+    _, levels = graph._levels(edges, sources, 3)
+    assert all(x.count() <= 40 * 3 for x in levels) and not [t for t in spark.catalog.listTables() if t.name.startswith("near_")]
+
+
 def test_clustering_of_packed_pairs(spark, tmp_path, monkeypatch):
     """Equal to brute force with hubs, repeats and nulls, whatever is held at once; a list is not sent along each of its edges."""
     rng = random.Random(8)
