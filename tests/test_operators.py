@@ -268,6 +268,27 @@ def test_best_ratio_equals_brute_force(spark, score):
             assert all(u >= f(t, r) - 1e-9 for u, r in zip(best.bounds(t), right))
 
 
+def test_partial_ratio_of_all_windows_at_once(monkeypatch):
+    rng = random.Random(4)
+    text = lambda n, of="abcde é": "".join(rng.choice(of) for _ in range(n))
+    brute = lambda a, b: max(fuzzy.ratio_of(a, b[max(0, i) : i + len(a)]) for i in range(1 - len(a), len(b)))
+    pairs = [(text(n), text(m)) for n, m in [(1, 50), (3, 41), (20, 200), (63, 90), (64, 300), (65, 130), (140, 200), (70, 70)] for _ in range(4)] + [("xyz", "q" * 60)]
+    rated = 0
+    ratio_of = fuzzy.ratio_of
+    expected = [1.0 if a in b else brute(a, b) for a, b in pairs]
+
+    def counted(a, b):
+        nonlocal rated
+        rated += 1
+        return ratio_of(a, b)
+
+    monkeypatch.setattr(fuzzy, "ratio_of", counted)
+    assert [fuzzy.partial_ratio_of(*p) for p in pairs] == expected == fuzzy._partial_ratios(*zip(*pairs))
+    assert fuzzy._partial_ratios([b for _, b in pairs[:28]], [a for a, _ in pairs[:28]]) == expected[:28]
+    assert fuzzy._partial_ratios([None, "", "a"], ["a" * 50, "b", "a"]) == [0.0, 0.0, 1.0]
+    assert rated == 0  # before: once a window
+
+
 def test_best_ratio_of_other_beginnings(spark):
     left = spark.createDataFrame([("a", "the eu ai act"), ("b", "governnig risk"), ("c", "nothing alike")], "id string, title string")
     right = spark.createDataFrame([("2", "eu ai act"), ("1", "eu ai act"), ("3", "governing risk"), ("4", "qqqq")], "id string, title string")
