@@ -289,6 +289,29 @@ def test_partial_ratio_of_all_windows_at_once(monkeypatch):
     assert rated == 0  # before: once a window
 
 
+def test_works_of_other_authors_are_not_compared(spark, monkeypatch):
+    """Equal to all comparisons in order; titles of authors that can't be similar aren't rated."""
+    rng = random.Random(9)
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    names = [name() for _ in range(40)]
+    rows = [(f"r{i:03}", rng.choice([*names, name(), ""]), 2019, "ethics of " + "".join(rng.choice("ab") for _ in range(6))) for i in range(150)]
+    kept, expected = [], {}
+    for ref, own, _, title in rows:
+        like = [k for k in kept if own and k[1] == own or fuzzy.partial_ratio_of(own, k[1]) >= 0.8 and fuzzy.ratio_of(title, k[3]) >= 0.75]
+        expected[ref] = like[0][0] if like else ref
+        if not like:
+            kept.append((ref, own, 2019, title))
+    rows = [(r, o, y, t) for r, o, y, t in rows]
+    folded = {(o, y, t): r for r, o, y, t in reversed(rows)}
+    got = {r.ref: r.work for r in linkage.dedupe_works(spark.createDataFrame(rows, "ref string, surname string, year int, title string")).collect()}
+    assert set(got) == set(folded.values()) and len(set(got.values())) < len(got)
+    assert got == {r: expected[r] for r in got}
+    alike = fuzzy.PartlyAlike(names, 0.8)
+    for n in names[:10]:
+        assert {k for k, x in enumerate(names) if fuzzy.partial_ratio_of(n, x) >= 0.8} <= set(alike.before(n, len(names)))
+    assert list(fuzzy.PartlyAlike(["smith", "jones", "smyth"], 0.8).before("smith", 3)) == [0, 2]
+
+
 def test_best_ratio_of_other_beginnings(spark):
     left = spark.createDataFrame([("a", "the eu ai act"), ("b", "governnig risk"), ("c", "nothing alike")], "id string, title string")
     right = spark.createDataFrame([("2", "eu ai act"), ("1", "eu ai act"), ("3", "governing risk"), ("4", "qqqq")], "id string, title string")
