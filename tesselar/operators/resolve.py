@@ -147,87 +147,111 @@ def _union_rounds(pairs: DataFrame, cap: int) -> DataFrame:
 
 def edge_betweenness(nodes: list, edges: list[tuple]) -> dict[tuple, float]:
     """Share of all shortest paths that pass each edge, normalised by the number of node pairs."""
-    from collections import deque
-
-    near: dict = {n: [] for n in nodes}
-    for a, b in edges:
-        near[a].append(b)
-        near[b].append(a)
-    score = {tuple(sorted(e)): 0.0 for e in edges}
-    for s in nodes:
-        order, before, paths, far = [], {n: [] for n in nodes}, dict.fromkeys(nodes, 0), {s: 0}
-        paths[s] = 1
-        queue = deque([s])
-        while queue:
-            v = queue.popleft()
-            order.append(v)
-            for w in near[v]:
-                if w not in far:
-                    far[w] = far[v] + 1
-                    queue.append(w)
-                if far[w] == far[v] + 1:
-                    paths[w] += paths[v]
-                    before[w].append(v)
-        held = dict.fromkeys(nodes, 0.0)
+    place = {n: i for i, n in enumerate(nodes)}
+    near: list[list] = [[] for _ in nodes]
+    for k, (a, b) in enumerate(edges):
+        near[place[a]].append((place[b], k))
+        near[place[b]].append((place[a], k))
+    n = len(nodes)
+    score = [0.0] * len(edges)
+    for s in range(n):
+        far, paths, before = [-1] * n, [0] * n, [[] for _ in range(n)]
+        far[s], paths[s], order = 0, 1, [s]
+        for v in order:
+            next_, own = far[v] + 1, paths[v]
+            for w, k in near[v]:
+                if far[w] < 0:
+                    far[w] = next_
+                    order.append(w)
+                if far[w] == next_:
+                    paths[w] += own
+                    before[w].append((v, k))
+        held = [0.0] * n
         for w in reversed(order):
-            for v in before[w]:
+            for v, k in before[w]:
                 part = paths[v] / paths[w] * (1 + held[w])
-                score[tuple(sorted((v, w)))] += part
+                score[k] += part
                 held[v] += part
-    n = len(nodes)
-    return {e: v / (n * (n - 1)) for e, v in score.items()} if n > 1 else score
+    return {tuple(sorted(e)): v / (n * (n - 1)) if n > 1 else v for e, v in zip(edges, score)}
 
 
-def bridge_cut(links: DataFrame, least_nodes: int = 5, least_edges: int = 3, most_between: float = 0.25, ceiling: float = 0.91, most_nodes: int = 20, rounds: int = 1000) -> DataFrame:
-    """(a, b, similarity) that are left of ``links`` when weak bridges and oversized clusters are cut."""
-    of = graph.components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    keyed = links.join(of.withColumnRenamed("node", "a"), "a")
+class _Part:
+    """A connected part of a component while it is cut.
+
+    ``base`` has what passed each edge when it was last counted, ``moved`` the sum of
+    that over the edges cut since: a pair whose paths lost a share of s gives any
+    other edge s more at most, so no edge has more than base + moved now, and a part
+    is counted anew only where that can be over the bound.
+    """
+
+    def __init__(self, nodes: list, own: list, base: dict | None, moved: float):
+        self.nodes, self.own, self.base, self.moved, self.worst = nodes, own, base, moved, None
 
-    def cut(pdf):
-        from collections import deque
 
+def _cutter(least_nodes: int, least_edges: int, most_between: float, ceiling: float, most_nodes: int, rounds: int):
+    """The work on one component, as a frame (a, b, similarity)."""
+
+    def cut(pdf):
         edges = {tuple(sorted((r.a, r.b))): r.similarity for r in pdf.itertuples()}
 
-        def parts() -> list[tuple[list, list]]:
+        def parted(own: list, base: dict | None, moved: float) -> list[_Part]:
             near: dict = {}
-            for a, b in edges:
+            for a, b in own:
                 near.setdefault(a, []).append(b)
                 near.setdefault(b, []).append(a)
-            seen, out = set(), []
+            of: dict = {}
+            groups: list[list] = []
             for n in sorted(near):
-                if n in seen:
+                if n in of:
                     continue
-                group, queue = [], deque([n])
-                seen.add(n)
-                while queue:
-                    x = queue.popleft()
-                    group.append(x)
+                of[n], group = len(groups), [n]
+                for x in group:
                     for y in near[x]:
-                        if y not in seen:
-                            seen.add(y)
-                            queue.append(y)
-                inside = set(group)
-                out.append((sorted(group), [e for e in edges if e[0] in inside]))
-            return out
-
+                        if y not in of:
+                            of[y] = len(groups)
+                            group.append(y)
+                groups.append(group)
+            inside: list[list] = [[] for _ in groups]
+            for e in own:
+                inside[of[e[0]]].append(e)
+            return [rated(_Part(sorted(g), e, base, moved)) for g, e in zip(groups, inside)]
+
+        def rated(part: _Part) -> _Part:
+            if len(part.nodes) < least_nodes or len(part.own) < least_edges:
+                return part
+            weak, pairs = [e for e in part.own if edges[e] < ceiling], len(part.nodes) * (len(part.nodes) - 1)
+            if not weak or part.base is not None and max(part.base.get(e, 0.0) for e in weak) + part.moved <= most_between * pairs * (1 - 1e-9):
+                return part
+            between = edge_betweenness(part.nodes, part.own)
+            part.base, part.moved = {e: x * pairs for e, x in between.items()}, 0.0
+            part.worst = max(((between[e], e) for e in weak if between[e] > most_between), default=None)
+            return part
+
+        parts = parted(list(edges), None, 0.0)
         for _ in range(rounds):
-            worst = None
-            groups = parts()
-            for nodes, own in groups:
-                if len(nodes) >= least_nodes and len(own) >= least_edges:
-                    for e, between in edge_betweenness(nodes, own).items():
-                        if between > most_between and edges[e] < ceiling and (worst is None or (between, e) > worst):
-                            worst = (between, e)
-            if worst:
-                del edges[worst[1]]
-                continue
-            big = max(groups, key=lambda g: len(g[0]), default=None)
-            if big is None or len(big[0]) <= most_nodes:
-                break
-            del edges[min(big[1], key=lambda e: (edges[e], e))]
+            part = max((p for p in parts if p.worst), key=lambda p: p.worst, default=None)
+            if part:
+                gone = part.worst[1]
+            else:
+                part = max(parts, key=lambda p: len(p.nodes), default=None)
+                if part is None or len(part.nodes) <= most_nodes:
+                    break
+                gone = min(part.own, key=lambda e: (edges[e], e))
+            del edges[gone]
+            moved = part.moved + (part.base[gone] if part.base else 0.0)
+            parts = sorted([*(p for p in parts if p is not part), *parted([e for e in part.own if e != gone], part.base, moved)], key=lambda p: p.nodes[0])
         keep = [tuple(sorted((r.a, r.b))) in edges for r in pdf.itertuples()]
         return pdf[keep][["a", "b", "similarity"]]
 
+    return cut
+
+
+def bridge_cut(links: DataFrame, least_nodes: int = 5, least_edges: int = 3, most_between: float = 0.25, ceiling: float = 0.91, most_nodes: int = 20, rounds: int = 1000) -> DataFrame:
+    """(a, b, similarity) that are left of ``links`` when weak bridges and oversized clusters are cut."""
+    of = graph.components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    keyed = links.join(of.withColumnRenamed("node", "a"), "a")
+
+    cut = _cutter(least_nodes, least_edges, most_between, ceiling, most_nodes, rounds)
     kind = links.schema["a"].dataType.simpleString()
     return keyed.groupBy("component").applyInPandas(cut, f"a {kind}, b {kind}, similarity double")
 

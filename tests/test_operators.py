@@ -191,6 +191,33 @@ def test_bridge_cut(spark):
     assert ("a0", "b0") not in left and len(left) == 12
 
 
+def test_bridge_cut_counts_only_parts_that_a_cut_can_change(spark, monkeypatch):
+    rng = random.Random(2)
+    links = {tuple(sorted((40 * g + i, 40 * g + rng.randrange(max(0, i - 6), i)))): round(rng.uniform(0.38, 0.95), 2) for g in range(3) for i in range(1, 40) for _ in range(2)}
+    kept, cuts, counts = dict(links), 0, 0
+    while True:
+        of = brute_components(kept)
+        groups = [(sorted(n for n in of if of[n] == m), [e for e in kept if of[e[0]] == m]) for m in sorted(set(of.values()))]
+        bad = [(x, e) for n, own in groups if len(n) >= 5 and len(own) >= 3 for e, x in resolve.edge_betweenness(n, own).items() if x > 0.25 and kept[e] < 0.91]
+        counts += sum(len(n) >= 5 and len(own) >= 3 for n, own in groups)
+        big = max(groups, key=lambda g: len(g[0]))
+        if not bad and len(big[0]) <= 20:
+            break
+        del kept[max(bad)[1] if bad else min(big[1], key=lambda e: (kept[e], e))]
+        cuts += 1
+    counted, count = [], resolve.edge_betweenness
+    monkeypatch.setattr(resolve, "edge_betweenness", lambda *a: counted.append(1) or count(*a))
+
+    rows = spark.createDataFrame([(*e, x) for e, x in links.items()], "a int, b int, similarity double")
+    assert {(r.a, r.b) for r in resolve.bridge_cut(rows).collect()} == set(kept)
+    import pandas as pd
+
+    cut = resolve._cutter(5, 3, 0.25, 0.91, 20, 1000)
+    left = cut(pd.DataFrame([(*e, x) for e, x in links.items()], columns=["a", "b", "similarity"]))
+    assert set(zip(left.a, left.b)) == set(kept) and cuts > 10
+    assert len(counted) < counts / 3  # before: all parts at each cut
+
+
 def test_similar_pairs_and_search(spark):
     rng = np.random.default_rng(1)
     v = rng.standard_normal((40, 8))
