@@ -295,6 +295,49 @@ def test_best_ratio_equals_brute_force(spark, score):
             assert all(u >= f(t, r) - 1e-9 for u, r in zip(best.bounds(t), right))
 
 
+def test_sequence_matches_without_a_matcher(monkeypatch):
+    """Equal to SequenceMatcher over all pairs, with and without popular characters, but it isn't asked for any."""
+    rng = random.Random(11)
+    cases = []
+    for letters, least, most in (("ab ", 1, 12), ("abcdefghéß  ", 5, 130), ("abcdefghijklmnopqxyz0123  ", 150, 320), ("ab cqz", 190, 260)):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(12)]
+        text = lambda: " ".join(rng.choice(words) for _ in range(most))[: rng.randint(least, most)]  # noqa: E731, B023
+        right = [text() for _ in range(50)]
+        left = [text() for _ in range(15)] + [r[3:] + "x" for r in right[:8]] + ["zz" + r[: len(r) // 2] + text() for r in right[8:16]] + [None, "", right[4]]
+        rated = [[fuzzy.sequence_ratio_of(t, r) for r in right] for t in left]
+        for threshold in (0.3, 0.6):
+            best = [max(range(len(right)), key=lambda i: (x[i], -i)) for x in rated]  # noqa: B023
+            cases.append((right, left, threshold, [(i, x[i]) if x[i] >= threshold else None for i, x in zip(best, rated)]))
+
+    def asked(*_):
+        raise AssertionError("a pair was left to SequenceMatcher")
+
+    monkeypatch.setattr(fuzzy, "SequenceMatcher", asked)  # before: once a pair that the bounds left
+    monkeypatch.setattr(fuzzy._Short, "FIRST", 10)
+    for right, left, threshold, expected in cases:
+        assert fuzzy.Best(right, threshold, "sequence_ratio").many(left) == expected
+
+
+def test_abstracts_at_a_weak_threshold_are_seldom_compared(monkeypatch):
+    """Texts of other sentences stay behind the bound: one block more than common characters that aren't popular, not two for each."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("eeeeeeaaaaatttttooooiiiinnnnsssrrrhhlldcumpfgwybvkxjqz") for _ in range(rng.randint(3, 9))) for _ in range(300)]
+    right = [" ".join(rng.choice(words) for _ in range(150))[:800] for _ in range(60)]
+    left = [r[:300] + " h2 p " + r[330:790] for r in right[:20]] + [" ".join(rng.choice(words) for _ in range(150))[:800] for _ in range(20)]
+    rated, blocks = 0, fuzzy._anchored_blocks_of
+
+    def counted(*a):
+        nonlocal rated
+        rated += 1
+        return blocks(*a)
+
+    monkeypatch.setattr(fuzzy, "_anchored_blocks_of", counted)
+    got = fuzzy.Best(right, 0.6, "sequence_ratio").many(left)
+    own = [fuzzy.sequence_ratio_of(t, r) for t, r in zip(left[:20], right)]
+    assert got == [(i, x) if x >= 0.6 else None for i, x in enumerate(own)] + [None] * 20 and sum(x >= 0.6 for x in own) > 10
+    assert rated < 100  # of 2,400 pairs
+
+
 def test_partial_ratio_of_all_windows_at_once(monkeypatch):
     rng = random.Random(4)
     text = lambda n, of="abcde é": "".join(rng.choice(of) for _ in range(n))
