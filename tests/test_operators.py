@@ -390,6 +390,25 @@ def test_best_ratio_of_other_beginnings(spark):
         assert got == {"a": ("1", 0.818), "b": ("3", 0.929)}
 
 
+def test_cascade_rates_only_what_is_not_linked_yet(spark, tmp_path, monkeypatch):
+    from tesselar.plans import link_queries
+
+    text = "the committee reviewed the quarterly risk figures and published a short report on them " * 3
+    raw = [("r1", "Governing Risk In Practice", text), ("r2", "Governnig risk of practice", text), ("r3", None, text + "x"), ("r4", None, "too short")]
+    spark.createDataFrame([(*r, "regulation") for r in raw], "doc_id string, title string, text string, source_type string").write.parquet(f"{tmp_path}/raw_documents.parquet")
+    spark.createDataFrame([(7, "Governing risk in practice")], "doc_id bigint, title string").write.parquet(f"{tmp_path}/documents.parquet")
+    rated, best_ratio = [], link_queries.L.best_ratio
+
+    def watched(left, *a, **k):
+        rated.append({r.id for r in left.select("id").collect()})
+        return best_ratio(left, *a, **k)
+
+    monkeypatch.setattr(link_queries.L, "best_ratio", watched)
+    got = {r.id: (r.other, r.method) for r in link_queries.link_cascade(spark, str(tmp_path)).collect()}
+    assert got == {"r1": ("7", "exact"), "r2": ("7", "title"), "r3": ("r3", "abstract"), "r4": (None, "none")}
+    assert rated == [{"r2"}, {"r3"}]  # before: all with a title, all with a text
+
+
 def test_authors_and_journals_of_other_beginnings(spark, tmp_path):
     spark.createDataFrame([("e1", "Author", "Mueller, A."), ("e2", "Author", "Mueller, B."), ("e3", "Journal", "Journal of Law")], "entity_id string, type string, name string").write.parquet(str(tmp_path / "entities.parquet"))
     spark.createDataFrame([(1, "Author", "Moeller, A."), (2, "Journal", "The Journal of Law")], "pre_id bigint, type string, name string").write.parquet(str(tmp_path / "pre_entities.parquet"))
