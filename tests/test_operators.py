@@ -318,6 +318,35 @@ def test_sequence_matches_without_a_matcher(monkeypatch):
         assert fuzzy.Best(right, threshold, "sequence_ratio").many(left) == expected
 
 
+def test_titles_of_the_same_words_are_seldom_compared(monkeypatch):
+    """Titles far by their beginnings and ends stay behind the bound, and no best one does."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("eeeaattooiinnssrrhldcumpfg") for _ in range(rng.randint(*n)))
+    adjectives, nouns = [word((5, 13)) for _ in range(7)], [word((5, 13)) for _ in range(7)]
+    title = lambda: f"{rng.choice(adjectives)} {rng.choice(nouns)} and the {word((4, 12))} of {rng.choice(adjectives)} {rng.choice(nouns)}"
+    right = [title() for _ in range(1500)] + ["short", "two words", "é" * 30 + " " + "x" * 40 + " " + " ".join(adjectives)]
+    left = [title() for _ in range(20)] + ["shorts", " ".join(right[:4]), "nothing alike 123"]
+    for back in (False, True):
+        ends = fuzzy._Ends(right, back)
+        far = ends.distances(left)
+        assert len(ends.lengths) < 70 and far.max() > 12
+        for i, t in enumerate(left[:3] + left[-3:]):
+            t, places = (t[::-1] if back else t), {p: k for k, p in zip(ends.of, (ends._part(r.split(" "), 2) for r in right))}
+            for p, k in places.items():
+                assert far[left.index(t[::-1] if back else t), k] <= min(n + len(p) - 2 * fuzzy.lcs_length(t[:n], p) if n and p else n + len(p) for n in range(len(t) + 1)), i
+    compared, passing = 0, fuzzy._Short._passing
+
+    def counted(self, texts, of, *a):
+        nonlocal compared
+        compared += len(of)
+        return passing(self, texts, of, *a)
+
+    monkeypatch.setattr(fuzzy._Short, "_passing", counted)
+    rated = [[fuzzy.sequence_ratio_of(t, r) for r in right] for t in left]
+    assert fuzzy.Best(right, 0.6, "sequence_ratio").many(left) == [(x.index(max(x)), max(x)) if max(x) >= 0.6 else None for x in rated]
+    assert compared < 0.3 * len(left) * len(right)
+
+
 def test_abstracts_at_a_weak_threshold_are_seldom_compared(monkeypatch):
     """Texts of other sentences stay behind the bound: one block more than common characters that aren't popular, not two for each."""
     rng = random.Random(5)
@@ -409,6 +438,22 @@ def test_cascade_rates_only_what_is_not_linked_yet(spark, tmp_path, monkeypatch)
     assert rated == [{"r2"}, {"r3"}]  # before: all with a title, all with a text
 
 
+def test_cascade_deals_few_abstracts_to_few_cells(spark, tmp_path, monkeypatch):
+    """The other side is rated once where one part holds all that is left, not in sixteen parts."""
+    text = "the committee reviewed the quarterly risk figures and published a short report on them " * 3
+    spark.createDataFrame([("r1", None, text, "regulation")], "doc_id string, title string, text string, source_type string").write.parquet(f"{tmp_path}/raw_documents.parquet")
+    spark.createDataFrame([(7, "Governing risk in practice")], "doc_id bigint, title string").write.parquet(f"{tmp_path}/documents.parquet")
+    cells, best_ratio = [], link_queries.L.best_ratio
+
+    def watched(*a, others):
+        cells.append((a[5], others))
+        return best_ratio(*a, others=others)
+
+    monkeypatch.setattr(link_queries.L, "best_ratio", watched)
+    assert [(r.id, r.other, r.method) for r in link_queries.link_cascade(spark, str(tmp_path)).collect()] == [("r1", "r1", "abstract")]
+    assert cells[1] == (1, 24)
+
+
 def test_authors_and_journals_of_other_beginnings(spark, tmp_path):
     spark.createDataFrame([("e1", "Author", "Mueller, A."), ("e2", "Author", "Mueller, B."), ("e3", "Journal", "Journal of Law")], "entity_id string, type string, name string").write.parquet(str(tmp_path / "entities.parquet"))
     spark.createDataFrame([(1, "Author", "Moeller, A."), (2, "Journal", "The Journal of Law")], "pre_id bigint, type string, name string").write.parquet(str(tmp_path / "pre_entities.parquet"))
